@@ -238,7 +238,7 @@ def verified(arena: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> bo
     return True
 
 
-def repeated_spans(docs: DataFrame, window: int, store: Stored, dense: int = 256) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int, store: Stored, dense: int = 1024) -> DataFrame:
     """ID, KEY, start, end: bytes covered by repeated windows."""
     runs = store.put(described(docs, repeated_keys(find_runs(docs, window)), window))
     found = store.put(classes(runs.drop("bytes")))
