@@ -119,8 +119,9 @@ class GatedAttention:
         dx = dh * (1 - h * h)
         return {"W": x.T @ dx, "b": dx.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "o": z.T @ d, "c": d.sum(keepdims=True)}
 
-    def fit(self, bags: list[np.ndarray], target: np.ndarray, epochs: int = 25, batch: int = 128, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> None:
-        """Adam over shuffled batches of bags."""
+    def fit(self, bags: list[np.ndarray], target: np.ndarray, epochs: int = 25, batch: int = 128, rate: float = 3e-3, decay: float = 1e-4, steps: int = 300, seed: int = 7) -> None:
+        """Adam over shuffled batches of bags, for as many epochs as ``steps`` steps take if that is more."""
+        epochs = max(epochs, -(-steps // -(-len(bags) // batch)))
         everything = np.concatenate(bags)
         self.shift, self.scale = everything.mean(0), everything.std(0) + np.float32(0.02)
         rng, step = np.random.default_rng(seed), 0
