@@ -18,7 +18,6 @@ within one are compared by place.  Blank and short lines always stay.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +29,59 @@ from pyspark.sql import functions as F
 from .common import ID, KEY, Stored, arrow_map, as_long, connected_components, key_groups, keyed, mix, plain
 
 PLACES = 64
-SPACES = re.compile(r"\s+")
 
 
 def normalized(line: str) -> str:
-    return SPACES.sub(" ", line.lower()).strip()
+    return " ".join(line.lower().split())
+
+
+def shingles(line: str, size: int) -> set[str]:
+    return {line[k : k + size] for k in range(max(1, len(line) - size + 1))}
+
+
+def shared_ends(a: str, b: str) -> tuple[int, int]:
+    """Lengths of the longest common start and of the longest common end beyond it."""
+    most = min(len(a), len(b))
+    low, high = 0, most
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a.startswith(b[low:middle], low) else (low, middle - 1)
+    start, high, low = low, most - low, 0
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[len(a) - middle :] == b[len(b) - middle :] else (low, middle - 1)
+    return start, low
+
+
+class Lines:
+    """The lines of a group; shingle sets are built when a comparison needs them."""
+
+    def __init__(self, texts: list[str], size: int, similarity: float):
+        self.texts, self.size, self.similarity = texts, size, similarity
+        self.sets: dict[int, set[str]] = {}
+
+    def set_of(self, k: int) -> set[str]:
+        if k not in self.sets:
+            self.sets[k] = shingles(self.texts[k], self.size)
+        return self.sets[k]
+
+    def similar(self, new: int, old: int) -> bool:
+        """Is the Jaccard similarity of the shingle sets as high as asked?
+
+        Only shingles that touch what lies between the common start and end can differ; if even
+        their number leaves the similarity high enough, the newer line's set is not needed.
+        """
+        a, b = self.texts[old], self.texts[new]
+        start, end = shared_ends(a, b)
+        middle_a, middle_b = (max(0, len(x) - start - end) + self.size - 1 for x in (a, b))
+        known = len(self.set_of(old))
+        if known - middle_a >= self.similarity * (known + middle_b):
+            return True
+        one, two = self.set_of(old), self.set_of(new)
+        if min(len(one), len(two)) < self.similarity * max(len(one), len(two)):
+            return False
+        common = len(one & two)
+        return common >= self.similarity * (len(one) + len(two) - common)
 
 
 def name(line: str) -> int:
@@ -155,10 +202,8 @@ def verified_links(groups: DataFrame, shingle: int, similarity: float, dense: in
             u, v = [], []
             starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
             for i, j in zip(starts.tolist(), np.append(starts[1:], len(cells)).tolist()):
-                sets, root = [], list(range(j - i))
-                for k in range(i, j):
-                    line = texts[k].as_py()
-                    sets.append({line[a : a + shingle] for a in range(max(1, len(line) - shingle + 1))})
+                lines, root = Lines(texts.slice(i, j - i).to_pylist(), shingle, similarity), list(range(j - i))
+                across = sides[i] != -1
 
                 def find(x: int) -> int:
                     while root[x] != x:
@@ -166,18 +211,16 @@ def verified_links(groups: DataFrame, shingle: int, similarity: float, dense: in
                         x = root[x]
                     return x
 
-                for a in range(j - i):
-                    for b in range(a):
-                        if sides[i + a] == sides[i + b] != -1 or names[i + a] == names[i + b]:
-                            continue
-                        x, y = find(a), find(b)
-                        if x == y or min(len(sets[a]), len(sets[b])) < similarity * max(len(sets[a]), len(sets[b])):
-                            continue
-                        common = len(sets[a] & sets[b])
-                        if common >= similarity * (len(sets[a]) + len(sets[b]) - common):
-                            root[max(x, y)] = min(x, y)
-                            u.append(names[i + a])
-                            v.append(names[i + b])
+                # where two parts of a group meet, each part's own links come first: another cell sends them
+                for inside in (True, False) if across else (True,):
+                    for a in range(j - i):
+                        for b in range(a):
+                            x, y = find(a), find(b)
+                            if x != y and (sides[i + a] == sides[i + b]) == inside and lines.similar(a, b):
+                                root[max(x, y)] = min(x, y)
+                                if not across or not inside:
+                                    u.append(names[i + a])
+                                    v.append(names[i + b])
             yield {"u": u, "v": v}
 
     return arrow_map(rows.repartition("cell").sortWithinPartitions("cell", "side", "name"), run, "u long, v long").distinct()
@@ -186,7 +229,7 @@ def verified_links(groups: DataFrame, shingle: int, similarity: float, dense: in
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted(ID, KEY, line, name)`` → (name, text): the normalized lines."""
     lists = wanted.groupBy(ID, KEY).agg(F.collect_list("line").alias("__lines"), F.collect_list("name").alias("__names"))
-    rows = docs.select(ID, KEY, "text").join(lists, [ID, KEY]).select("text", "__lines", "__names")
+    rows = docs.select(ID, KEY, "text").join(lists.hint("merge"), [ID, KEY]).select("text", "__lines", "__names")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -206,12 +249,11 @@ def duplicate_lines(docs: DataFrame, shingle: int = 8, similarity: float = 0.8,
     lines = store.put(occurrences(docs, shingle, bands, rows, min_chars))
     place = F.struct(ID, KEY, "line")
     groups = store.put(candidate_groups(lines))
-    firsts = lines.groupBy("name").agg(F.min(place).alias("at"))
-    wanted = groups.select("name").distinct().join(firsts, "name").select(f"at.{ID}", f"at.{KEY}", "at.line", "name")
+    firsts = store.put(lines.groupBy("name").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n")))
+    wanted = groups.select("name").distinct().join(firsts.select("name", "at"), "name").select(f"at.{ID}", f"at.{KEY}", "at.line", "name")
     texts = store.put(texts_of(docs, wanted).groupBy("name").agg(F.first("text").alias("text")))
     roots = connected_components(verified_links(groups.join(texts, "name"), shingle, similarity, dense), store)
-    first = lines.groupBy("name").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"))
-    first = first.join(roots, first["name"] == roots["node"], "left").select("name", "at", "n", F.coalesce("root", "name").alias("root"))
+    first = firsts.join(roots, firsts["name"] == roots["node"], "left").select("name", "at", "n", F.coalesce("root", "name").alias("root"))
     first = store.put(first)
     kept = first.groupBy("root").agg(F.min("at").alias("kept"), F.sum("n").alias("m")).where("m > 1")
     losing = store.put(first.select("name", "root").join(kept, "root").select("name", "kept"))
@@ -227,7 +269,7 @@ def removals(docs: DataFrame, **options) -> DataFrame:
 
 def without_lines(docs: DataFrame, lists: DataFrame) -> DataFrame:
     """``docs`` with the listed lines cut from ``text``, its other columns unchanged; ``__lost``: the text is left without any line."""
-    rows = keyed(docs).join(lists, [ID, KEY], "left")
+    rows = keyed(docs).join(lists.hint("merge"), [ID, KEY], "left")
     lines = F.split("text", "\n", -1)
     left = F.filter(lines, lambda x, k: ~F.coalesce(F.array_contains("removed", k), F.lit(False)))
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))

@@ -188,7 +188,7 @@ def one_of_each(docs: DataFrame, shingle: int = 3, threshold: int = 3) -> DataFr
     """``docs`` with one row of each component, all columns unchanged; of equal repeated rows one stays."""
     kept = near_duplicates(docs, shingle, threshold).where("keep").groupBy(ID, KEY).agg(F.count(F.lit(1)).alias("__rows"))
     kept = Stored(docs.sparkSession).put(kept)
-    out = keyed(docs).join(kept.select(ID, KEY), [ID, KEY], "left_semi")
+    out = keyed(docs).join(kept.select(ID, KEY).hint("merge"), [ID, KEY], "left_semi")
     if not kept.where("__rows > 1").isEmpty():
         out = out.dropDuplicates([ID, KEY])
     return out.select(*docs.columns)
