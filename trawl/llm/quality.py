@@ -1,6 +1,6 @@
 """Document quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of 512 bytes.  Each passage is encoded (byte-class pair
+A document is a bag of equal passages of about 512 bytes.  Each passage is encoded (byte-class pair
 frequencies and repetition, then one learned tanh layer); gated attention
 ``a = softmax(w . (tanh(V h) * sigmoid(U h)))`` weighs the passages and a logistic unit scores the
 weighted mean.  All parameters are learned together from document labels alone.
@@ -43,7 +43,7 @@ def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
     lengths = np.diff(offsets)
-    per_doc = np.maximum(1, -(-lengths // PASSAGE))
+    per_doc = np.maximum(1, (lengths + PASSAGE // 2) // PASSAGE)  # of equal size: a tail of a few bytes would be like no other
     first = np.concatenate([[0], np.cumsum(per_doc)[:-1]])
     count = int(per_doc.sum())
     out = np.zeros((count, WIDTH), dtype=np.float32)
@@ -52,7 +52,7 @@ def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     begin = offsets[:-1] - offsets[0]
     doc = np.repeat(np.arange(len(lengths)), lengths)
     at = np.arange(len(data)) - begin[doc]
-    place = first[doc] + at // PASSAGE
+    place = first[doc] + at * per_doc[doc] // lengths[doc]
     kind = byte_classes()[data]
     pair = place[1:] * (CLASSES * CLASSES) + kind[:-1] * CLASSES + kind[1:]
     pair = pair[doc[1:] == doc[:-1]]
@@ -94,7 +94,7 @@ class GatedAttention:
 
     def forward(self, x: np.ndarray, first: np.ndarray) -> tuple:
         p = self.p
-        x = (x - self.shift) / self.scale
+        x = np.clip((x - self.shift) / self.scale, -5, 5)
         h = np.tanh(x @ p["W"] + p["b"])
         t, s = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
         e = (t * s) @ p["w"]
@@ -123,7 +123,9 @@ class GatedAttention:
         """Adam over shuffled batches of bags, for as many epochs as ``steps`` steps take if that is more."""
         epochs = max(epochs, -(-steps // -(-len(bags) // batch)))
         everything = np.concatenate(bags)
-        self.shift, self.scale = everything.mean(0), everything.std(0) + np.float32(0.02)
+        spread = everything.std(0)
+        # what never varied here has nothing learned about it, so it must not move a score later
+        self.shift, self.scale = everything.mean(0), np.where(spread < 1e-3, np.float32(1e6), spread + np.float32(0.02))
         rng, step = np.random.default_rng(seed), 0
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         for epoch in range(epochs):
