@@ -35,8 +35,28 @@ def normalized(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def shingles(line: str, size: int) -> set[str]:
-    return {line[k : k + size] for k in range(max(1, len(line) - size + 1))}
+def shingle_hashes(c: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of the shingles of ``size`` code points."""
+    h = np.zeros(max(0, len(c) - size + 1), dtype=np.uint64)
+    for i in range(size):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += c[i : len(c) - size + 1 + i]
+    return mix(h)
+
+
+def shingles(line: str, size: int) -> np.ndarray:
+    """The set of a line's shingles as sorted 64-bit hashes; a shorter line is one shingle."""
+    if len(line) < size:
+        return np.array([name(line)], dtype=np.int64).view(np.uint64)
+    h = shingle_hashes(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64), size)
+    h.sort()
+    return h[np.append(True, h[1:] != h[:-1])]
+
+
+def common_count(one: np.ndarray, two: np.ndarray) -> int:
+    both = np.concatenate([one, two])
+    both.sort(kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 def shared_ends(a: str, b: str) -> tuple[int, int]:
@@ -58,9 +78,9 @@ class Lines:
 
     def __init__(self, texts: list[str], size: int, similarity: float):
         self.texts, self.size, self.similarity = texts, size, similarity
-        self.sets: dict[int, set[str]] = {}
+        self.sets: dict[int, np.ndarray] = {}
 
-    def set_of(self, k: int) -> set[str]:
+    def set_of(self, k: int) -> np.ndarray:
         if k not in self.sets:
             self.sets[k] = shingles(self.texts[k], self.size)
         return self.sets[k]
@@ -80,7 +100,7 @@ class Lines:
         one, two = self.set_of(old), self.set_of(new)
         if min(len(one), len(two)) < self.similarity * max(len(one), len(two)):
             return False
-        common = len(one & two)
+        common = common_count(one, two)
         return common >= self.similarity * (len(one) + len(two) - common)
 
 
@@ -94,10 +114,7 @@ def signatures(lines: list[str], shingle: int) -> np.ndarray:
     """MinHash values, one row of ``PLACES`` for each line."""
     lengths = np.array([len(x) for x in lines], dtype=np.int64)
     c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    h = np.zeros(max(0, len(c) - shingle + 1), dtype=np.uint64)
-    for i in range(shingle):
-        h = h * np.uint64(0x100000001B3) + c[i : len(c) - shingle + 1 + i]
-    h = mix(h)
+    h = shingle_hashes(c, shingle)
     begin = np.cumsum(lengths) - lengths
     owner = np.repeat(np.arange(len(lines)), lengths)[: len(h)]
     whole = np.arange(len(h)) - begin[owner] <= lengths[owner] - shingle
