@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 DATA = "/root/testdata/sf0.001"
@@ -14,7 +15,7 @@ def rows(frame):
     frame = frame[sorted(frame.columns)]
     out = []
     for values in frame.itertuples(index=False):
-        out.append(tuple("" if v is None or v != v else f"{v:.5f}" if isinstance(v, float) else str(v) for v in values))
+        out.append(tuple("" if pd.isna(v) else f"{v:.5f}" if isinstance(v, float) else str(v) for v in values))
     return sorted(out)
 
 

@@ -86,7 +86,7 @@ def annotation(comment: Column, name: str, prefix: str = "@trawl") -> Column:
 
 
 def annotation_tags(comment: Column, prefix: str = "@trawl") -> Column:
-    return F.when(annotation(comment, "tags", prefix).isNull(), F.array().cast("array<string>")).otherwise(F.transform(F.split(annotation(comment, "tags", prefix), ","), F.trim))
+    return F.when(annotation(comment, "tags", prefix).isNull(), F.array().cast("array<string>")).otherwise(F.transform(F.split(annotation(comment, "tags", prefix), ","), lambda x: F.trim(x)))
 
 
 def merged_tags(own: Column, automatic: Column) -> Column:
@@ -164,7 +164,7 @@ def query_pattern(q: Column) -> Column:
 def sub_queries(response: Column, limit: int = 4) -> Column:
     """The strings of a JSON array inside a reply, trimmed, blanks dropped."""
     found = F.from_json(F.regexp_extract(response, r"(?s)\[.*\]", 0), "array<string>")
-    return F.slice(F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), F.trim), lambda x: x != ""), 1, limit)
+    return F.slice(F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""), 1, limit)
 
 
 def response_issues(reply: Column) -> Column:
