@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import ID, KEY, Stored, arrow_map, as_long, connected_components, key_groups, keyed, mix, plain
 
 PLACES = 64
+BASE = 0x9E3779B97F4A7C15
 
 
 def normalized(line: str) -> str:
@@ -36,11 +37,16 @@ def normalized(line: str) -> str:
 
 
 def shingle_hashes(c: np.ndarray, size: int) -> np.ndarray:
-    """64-bit hashes of the shingles of ``size`` code points."""
-    h = np.zeros(max(0, len(c) - size + 1), dtype=np.uint64)
-    for i in range(size):
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h += c[i : len(c) - size + 1 + i]
+    """64-bit hashes of the shingles of ``size`` code points, from hashes of half the size."""
+    if len(c) < size:
+        return np.empty(0, dtype=np.uint64)
+    h, done = c, 1
+    for bit in bin(size)[3:]:
+        h = h[:-done] * np.uint64(pow(BASE, done, 1 << 64)) + h[done:]
+        done *= 2
+        if bit == "1":
+            h = h[:-1] * np.uint64(BASE) + c[done:]
+            done += 1
     return mix(h)
 
 
@@ -91,12 +97,13 @@ class Lines:
         Only shingles that touch what lies between the common start and end can differ; if even
         their number leaves the similarity high enough, the newer line's set is not needed.
         """
-        a, b = self.texts[old], self.texts[new]
-        start, end = shared_ends(a, b)
-        middle_a, middle_b = (max(0, len(x) - start - end) + self.size - 1 for x in (a, b))
-        known = len(self.set_of(old))
-        if known - middle_a >= self.similarity * (known + middle_b):
-            return True
+        if new not in self.sets:
+            a, b = self.texts[old], self.texts[new]
+            start, end = shared_ends(a, b)
+            middle_a, middle_b = (max(0, len(x) - start - end) + self.size - 1 for x in (a, b))
+            known = len(self.set_of(old))
+            if known - middle_a >= self.similarity * (known + middle_b):
+                return True
         one, two = self.set_of(old), self.set_of(new)
         if min(len(one), len(two)) < self.similarity * max(len(one), len(two)):
             return False
@@ -110,8 +117,8 @@ def name(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def signatures(lines: list[str], shingle: int) -> np.ndarray:
-    """MinHash values, one row of ``PLACES`` for each line."""
+def signatures(lines: list[str], shingle: int, wanted: int = PLACES) -> np.ndarray:
+    """MinHash values, one row of the first ``wanted`` of ``PLACES`` places for each line."""
     lengths = np.array([len(x) for x in lines], dtype=np.int64)
     c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     h = shingle_hashes(c, shingle)
@@ -128,17 +135,20 @@ def signatures(lines: list[str], shingle: int) -> np.ndarray:
     out = out.reshape(-1, PLACES)
     out[short] = np.array([name(x) & 0xFFFFFFFF for x, s in zip(lines, short) if s], dtype=np.int64)[:, None] if short.any() else 0
     # an empty place asks the others in an order fixed for that place
-    filled = out.copy()
+    filled = out[:, :wanted].copy()
+    row, col = np.nonzero(filled < 0)
     for attempt in range(1, 8 * PLACES):
-        row, col = np.nonzero(filled < 0)
         if not len(row):
             break
+        places = np.arange(wanted, dtype=np.uint64)
         if attempt < 4 * PLACES:
-            source = mix(np.uint64(attempt * PLACES) + col.astype(np.uint64)) % np.uint64(PLACES)
+            source = mix(np.uint64(attempt * PLACES) + places) % np.uint64(PLACES)
         else:
-            source = (col + attempt).astype(np.uint64) % np.uint64(PLACES)
-        value = out[row, source.astype(np.int64)]
-        filled[row, col] = np.where(value < 0, -1, value + ((attempt % 64) << 32))
+            source = (places + np.uint64(attempt)) % np.uint64(PLACES)
+        value = out[row, source.astype(np.int64)[col]]
+        found = value >= 0
+        filled[row[found], col[found]] = value[found] + ((attempt % 64) << 32)
+        row, col = row[~found], col[~found]
     return filled.astype(np.uint64)
 
 
@@ -177,7 +187,7 @@ def occurrences(docs: DataFrame, shingle: int, bands: int, rows: int, min_chars:
                 while j < len(fresh) and (size < 2_000_000 or j == i) and j - i < (1 << 25):
                     size += len(fresh[j])
                     j += 1
-                for at, row in zip(starts[i:j], as_long(band_keys(signatures(fresh[i:j], shingle), bands, rows)).tolist()):
+                for at, row in zip(starts[i:j], as_long(band_keys(signatures(fresh[i:j], shingle, bands * rows), bands, rows)).tolist()):
                     found[at] = row
                 i = j
             yield {ID: ids, KEY: keys, "line": places, "name": names, "keys": found}
