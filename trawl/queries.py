@@ -429,3 +429,18 @@ def call_names(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id, length(text) > 5000 AS too_long, substr(text, 1, 400) AS head FROM documents")
 def truncate_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", (F.length("text") > 5000).alias("too_long"), T.truncate(F.col("text"), 100).alias("head"))
+
+
+COMMENT_SQL = f"SELECT doc_id, '// @trawl-tags: ' || lang || ', ' || symbol || chr(10) || '// @trawl-intent: ' || symbol || chr(10) || 'x' AS c FROM ({CHUNKS})"
+
+
+@query(rf"SELECT doc_id, coalesce(array_to_string(list_transform(string_split(nullif(trim(regexp_extract(c, '@trawl-tags:[ \t]*([^\n]+)', 1)), ''), ','), lambda x: trim(x)), '|'), '') AS tags, nullif(trim(regexp_extract(c, '@trawl-intent:[ \t]*([^\n]+)', 1)), '') AS intent FROM ({COMMENT_SQL})")
+def doc_annotations(spark: SparkSession, sf: str) -> DataFrame:
+    comment = F.concat(F.lit("// @trawl-tags: "), "lang", F.lit(", "), "symbol", F.lit("\n// @trawl-intent: "), "symbol", F.lit("\nx"))
+    return chunks(spark, sf).select("doc_id", F.array_join(T.annotation_tags(comment), "|").alias("tags"), T.annotation(comment, "intent").alias("intent"))
+
+
+@query(f"SELECT doc_id, round(0.1 * len(list_filter([symbol, lang], lambda x: contains('{QUERY}', lower(x)))) + CASE WHEN symbol <> '' AND contains('{QUERY}', lower(symbol)) THEN 0.2 ELSE 0 END, 6) AS boost FROM ({CHUNKS}) WHERE text IS NOT NULL")
+def tag_intent_boost(spark: SparkSession, sf: str) -> DataFrame:
+    boost = rank.tag_boost(F.array("symbol", "lang"), F.lit(QUERY)) + rank.intent_boost(F.col("symbol"), F.lit(QUERY))
+    return chunks(spark, sf).where("text IS NOT NULL").select("doc_id", F.round(boost, 6).alias("boost"))
