@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 PASSAGE = 512
+BLOCK = 1 << 18
 CLASSES = 16
 WIDTH = CLASSES * CLASSES + 6
 
 
 def byte_classes() -> np.ndarray:
     """The class of each byte."""
-    table = np.full(256, 15, dtype=np.int64)
+    table = np.full(256, 15, dtype=np.uint8)
     groups = [range(97, 123), range(65, 91), range(48, 58), b" ", b"\t\n\r\x0b\x0c", b".", b",", b"!?", b"'\"`", b"|", b"*$%&#@", b"^~_=+<>/\\", b"()[]{}", b";:-", range(192, 256)]
     for k, members in enumerate(groups):
         table[list(members)] = k
@@ -38,7 +39,10 @@ def byte_classes() -> np.ndarray:
 
 
 def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(features of every passage, first passage of each row) of a text column."""
+    """(features of every passage, first passage of each row) of a text column.
+
+    Bytes are counted a block at a time, so that beside the features only a few bytes are held for each byte of text.
+    """
     column = column.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
@@ -50,33 +54,49 @@ def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
         return out, first
     begin = offsets[:-1] - offsets[0]
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    at = np.arange(len(data)) - begin[doc]
-    place = first[doc] + at * per_doc[doc] // lengths[doc]
     kind = byte_classes()[data]
-    pair = place[1:] * (CLASSES * CLASSES) + kind[:-1] * CLASSES + kind[1:]
-    pair = pair[doc[1:] == doc[:-1]]
-    pairs = np.bincount(pair, minlength=count * CLASSES * CLASSES).reshape(count, -1)
-    size = np.bincount(place, minlength=count)
-    out[:, : CLASSES * CLASSES] = np.sqrt(pairs / np.maximum(1, size)[:, None])
+    pairs, size, breaks = out[:, : CLASSES * CLASSES], np.zeros(count, np.int64), np.zeros(count, np.int64)
+
+    def owners(at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        return first[doc] + (at - begin[doc]) * per_doc[doc] // lengths[doc]
+
+    for i in range(0, len(data), BLOCK):
+        j = min(i + BLOCK, len(data))
+        low, high = np.searchsorted(begin, [i, j - 1], side="right") - 1
+        inside = np.arange(low, high + 1)
+        doc = np.repeat(inside, np.minimum(begin[inside] + lengths[inside], j) - np.maximum(begin[inside], i))
+        at = np.arange(i, j)
+        place = owners(at, doc)
+        base, n = int(place[0]), int(place[-1] - place[0]) + 1
+        size[base : base + n] += np.bincount(place - base, minlength=n)
+        breaks[base : base + n] += np.bincount(place[data[i:j] == 10] - base, minlength=n)
+        second = at > begin[doc]
+        at, place = at[second], place[second] - base
+        pair = place * (CLASSES * CLASSES) + kind[at - 1].astype(np.int64) * CLASSES + kind[at]
+        pairs[base : base + n] += np.bincount(pair, minlength=n * CLASSES * CLASSES).reshape(n, -1)
+    np.divide(pairs, np.maximum(1, size).astype(np.float32)[:, None], out=pairs)
+    np.sqrt(pairs, out=pairs)
     blank = (kind == 3) | (kind == 4)
     start = ~blank
-    start[1:] &= blank[:-1] | (doc[1:] != doc[:-1])
+    opens = np.zeros(len(data), dtype=bool)
+    opens[begin[lengths > 0]] = True
+    start[1:] &= blank[:-1] | opens[1:]
     words = np.flatnonzero(start)
-    n_words = np.bincount(place[words], minlength=count)
+    doc = np.searchsorted(begin, words, side="right") - 1
+    place = owners(words, doc)
+    n_words = np.bincount(place, minlength=count)
     # 16 bytes from each word on, as a hash: repeated within the passage, and anywhere in the document
     padded = np.concatenate([data, np.zeros(16, dtype=np.uint8)])
     wide = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 16)[words]).view(np.uint64).reshape(-1, 2)
     h = wide[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ (wide[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7))
-    for slot, owner in ((1, place[words]), (2, doc[words])):
+    for slot, owner in ((1, place), (2, doc)):
         key = (h >> np.uint64(20) << np.uint64(20)) ^ owner.astype(np.uint64)
         _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
-        again = np.bincount(place[words], weights=times[inverse] > 1, minlength=count)
-        out[:, -slot] = again / np.maximum(1, n_words)
+        out[:, -slot] = np.bincount(place[times[inverse] > 1], minlength=count) / np.maximum(1, n_words)
     out[:, -3] = np.log1p(size / np.maximum(1, n_words))
     out[:, -4] = np.log1p(n_words) / 5
     out[:, -5] = np.log1p(lengths[np.repeat(np.arange(len(lengths)), per_doc)]) / 10
-    out[:, -6] = np.bincount(place, weights=data == 10, minlength=count) / np.maximum(1, size)
+    out[:, -6] = breaks / np.maximum(1, size)
     return out, first
 
 
@@ -155,18 +175,17 @@ class Constant:
         return np.full(len(first), self.share)
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = 6000) -> GatedAttention | Constant:
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = 6000, slice_bytes: int = 1_000_000) -> GatedAttention | Constant:
     """Fits on at most ``train_docs`` rows of ``docs(doc_id, text)`` with a label in ``labels(doc_id, quality)``."""
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("__y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            if batch.num_rows:
-                x, first = passages(batch.column("text"))
-                ends = np.append(first[1:], len(x))
-                yield {"doc_id": batch.column("doc_id"), "y": batch.column("__y"), "x": [x[i:j].tobytes() for i, j in zip(first, ends)]}
+        for part in slices(batches, slice_bytes):
+            x, first = passages(part.column("text"))
+            ends = np.append(first[1:], len(x))
+            yield {"doc_id": part.column("doc_id"), "y": part.column("__y"), "x": [x[i:j].tobytes() for i, j in zip(first, ends)]}
 
     rows = rows.select(F.col("doc_id").cast("long"), F.col("__y").cast("double"), F.col("text").cast("string"))
     got = arrow_map(rows, run, "doc_id long, y double, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
@@ -186,7 +205,7 @@ def slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
             yield batch.slice(i, step)
 
 
-def predict(docs: DataFrame, model: GatedAttention | Constant, slice_bytes: int = 4_000_000) -> DataFrame:
+def predict(docs: DataFrame, model: GatedAttention | Constant, slice_bytes: int = 1_000_000) -> DataFrame:
     """``docs(doc_id, text, held_out)`` → doc_id, held_out, score; about ``slice_bytes`` of text are encoded at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -198,7 +217,7 @@ def predict(docs: DataFrame, model: GatedAttention | Constant, slice_bytes: int
     return arrow_map(rows, run, "doc_id long, held_out boolean, score double")
 
 
-def accepted(docs: DataFrame, model: GatedAttention | Constant, threshold: float = 0.3, slice_bytes: int = 4_000_000) -> DataFrame:
+def accepted(docs: DataFrame, model: GatedAttention | Constant, threshold: float = 0.3, slice_bytes: int = 1_000_000) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score ``threshold`` or more; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
