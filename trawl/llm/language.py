@@ -63,11 +63,20 @@ def train(rows: DataFrame, top: int = 400) -> dict[str, list[int]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             by: dict[str, list[np.ndarray]] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by.setdefault(lang, []).append(ngrams(text))
-            for lang, parts in by.items():
-                values, counts = np.unique(np.concatenate(parts), return_counts=True)
-                yield {"lang": [lang] * len(values), "gram": values, "n": counts}
+            held = 0
+            for text, lang in zip(batch.column(0), batch.column(1)):
+                codes = ngrams(text.as_py())
+                by.setdefault(lang.as_py(), []).append(codes)
+                held += len(codes)
+                if held > 1_000_000:  # bounds what a task holds at once
+                    yield from counted(by)
+                    by, held = {}, 0
+            yield from counted(by)
+
+    def counted(by: dict[str, list[np.ndarray]]) -> Iterator[dict]:
+        for lang, parts in by.items():
+            values, counts = np.unique(np.concatenate(parts), return_counts=True)
+            yield {"lang": [lang] * len(values), "gram": values, "n": counts}
 
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
     store = Stored(rows.sparkSession)
