@@ -259,6 +259,19 @@ def test_line_dedup(spark, empty, odd):
     assert line_dedup.removals(empty).count() == 0 and line_dedup.removals(odd).count() >= 1
 
 
+def test_line_dedup_of_short_lines(spark):
+    from trawl.llm import queries
+
+    rng = random.Random(10)
+    a, b = (" ".join(words(rng, 25)) for _ in range(2))
+    texts = [a + "\nLes.", a + "\nLes.", a + "\n les. \n", b + "\nLes.\n\nNeu.", "Les.", "Lea.", a + "\nLex."]
+    d = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {(r["__id"], r["line"]) for r in line_dedup.duplicate_lines(d, short=True)[1].collect()}
+    assert got == {(1, 0), (1, 1), (2, 0), (2, 1), (3, 1), (4, 0), (6, 0)}
+    left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in queries.stage_lines(spark, d, "").collect()}
+    assert left == {0: (texts[0], len(texts[0])), 3: (b + "\n\nNeu.", len(b) + 6), 5: ("Lea.", 4), 6: ("Lex.", 4)}
+
+
 @pytest.mark.parametrize("block", [16_384, 50])
 def test_top_k(spark, block):
     rng = np.random.default_rng(4)

@@ -13,7 +13,8 @@ members are verified once.  Groups of more than ``dense`` lines are cut into par
 parts are verified apart, so no task gets an unbounded group, and all pairs are covered.  Only a
 spanning forest of a group's links is sent on; components are found by distributed contraction.
 Nulls and empty texts have no lines.  Repeated rows (same doc_id and text) are treated alike: lines
-within one are compared by place.  Blank and short lines always stay.
+within one are compared by place.  Blank lines always stay.  Shorter lines stay too, unless ``short`` is set:
+then those that equal an earlier one (normalized) go as well; they have no bands and are never compared.
 """
 
 from __future__ import annotations
@@ -162,17 +163,18 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def occurrences(docs: DataFrame, shingle: int, bands: int, rows: int, min_chars: int) -> DataFrame:
-    """``docs(ID, KEY, text)`` → ID, KEY, line (place), name, keys (the bands; null but at a name's first sight in a batch)."""
+def occurrences(docs: DataFrame, shingle: int, bands: int, rows: int, min_chars: int, short: bool = False) -> DataFrame:
+    """``docs(ID, KEY, text)`` → ID, KEY, line (place), name, keys (the bands; null but at a name's first sight in a batch, and for lines under ``min_chars``)."""
+    least = 1 if short else min_chars
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             ids, keys, places, names, fresh, seen, starts = [], [], [], [], [], set(), []
             for doc, key, text in zip(batch.column(ID).to_pylist(), batch.column(KEY).to_pylist(), batch.column("text")):
                 for k, line in enumerate((text.as_py() or "").split("\n")):
-                    if len(line) >= min_chars and len(line := normalized(line)) >= min_chars:
+                    if len(line) >= least and len(line := normalized(line)) >= least:
                         n = name(line)
-                        if n not in seen:
+                        if len(line) >= min_chars and n not in seen:
                             seen.add(n)
                             fresh.append(line)
                             starts.append(len(ids))
@@ -270,10 +272,10 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return arrow_map(rows, run, "name long, text string")
 
 
-def duplicate_lines(docs: DataFrame, shingle: int = 8, similarity: float = 0.8, bands: int = 8, rows: int = 3, min_chars: int = 10, dense: int = 128) -> tuple[DataFrame, DataFrame]:
+def duplicate_lines(docs: DataFrame, shingle: int = 8, similarity: float = 0.8, bands: int = 8, rows: int = 3, min_chars: int = 10, dense: int = 128, short: bool = False) -> tuple[DataFrame, DataFrame]:
     """``docs(doc_id, text)`` → (lines: ID, KEY, line, name, keys; removed: ID, KEY, line)."""
     store, docs = Stored(docs.sparkSession), plain(docs)
-    lines = store.put(occurrences(docs, shingle, bands, rows, min_chars))
+    lines = store.put(occurrences(docs, shingle, bands, rows, min_chars, short))
     place = F.struct(ID, KEY, "line")
     groups = store.put(candidate_groups(lines))
     firsts = store.put(lines.groupBy("name").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n")))

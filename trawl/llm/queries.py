@@ -63,7 +63,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines (that take part), n_removed, removed (their places, from 0, comma-separated)."""
     docs = table(spark, sf_dir, "documents")
-    lines, removed = line_dedup.duplicate_lines(docs)
+    lines, removed = line_dedup.duplicate_lines(docs, short=True)
     counts = lines.select(ID, KEY, F.lit(1).alias("a"), F.lit(None).cast("int").alias("line")).unionByName(removed.select(ID, KEY, F.lit(0).alias("a"), "line"))
     counts = counts.groupBy(ID, KEY).agg(F.sum("a").alias("n_lines"), F.sort_array(F.collect_list("line")).alias("removed"))
     rows = plain(docs).select("doc_id", ID, KEY).join(counts, [ID, KEY], "left")
@@ -91,7 +91,7 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; ``n_chars`` follows the text, and those of which nothing is left go, as each line has an earlier copy."""
-    lists = Stored(spark).put(line_dedup.removals(docs))
+    lists = Stored(spark).put(line_dedup.removals(docs, short=True))
     out = line_dedup.without_lines(docs, lists).where("NOT __lost").drop("__lost")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
