@@ -122,6 +122,37 @@ def test_simhash_links_of_random_fingerprints(spark):
     assert (simhash.forest(dense, 3) == 0).all()
 
 
+def five_word_sets(texts):
+    split = [(t or "").lower().split() for t in texts]
+    return [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in split]
+
+
+@pytest.mark.parametrize("dense", [512, 2])
+def test_near_duplicates_of_the_pipeline(spark, docs, empty, odd, dense):
+    from trawl.llm import queries
+
+    rng, texts = random.Random(12), corpus()
+    for k in range(60):
+        w = words(rng, rng.choice([8, 14, 40, 150, 300]))
+        texts.append(" ".join(w))
+        for _ in range(2):
+            edited = list(w)
+            for _ in range(rng.randint(1, max(1, len(w) // 40))):  # each edit changes at most 5 shingles
+                edited[rng.randrange(len(w))] = "".join(rng.choice(SYLLABLES) for _ in range(5))
+            texts.append(" ".join(edited))
+    sets = five_word_sets(texts)
+    near = lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])
+    root = components(len(texts), near)
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    assert sum(near(a, b) and (prints[a] ^ prints[b]).bit_count() > 3 for a, b in itertools.combinations(range(len(texts)), 2)) > 20
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = queries.stage_near_duplicates(spark, d, "") if dense == 512 else simhash.one_of_similar(d, dense=dense)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root))
+    if dense == 512:
+        assert simhash.one_of_similar(docs).columns == docs.columns and simhash.one_of_similar(empty).count() == 0
+        assert simhash.one_of_similar(odd).count() == 3
+
+
 def test_decontamination(spark, docs, empty, odd):
     items = spark.createDataFrame([(1, " ".join(corpus()[8].split()[3:33])), (2, "zz yy xx ww vv uu tt ss"), (3, None), (None, "a b c"), (4, "")], "item_id long, text string")
     found = decontam.contaminations(docs, items).collect()

@@ -118,24 +118,18 @@ def name(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def signatures(lines: list[str], shingle: int, wanted: int = PLACES) -> np.ndarray:
-    """MinHash values, one row of the first ``wanted`` of ``PLACES`` places for each line."""
-    lengths = np.array([len(x) for x in lines], dtype=np.int64)
-    c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    h = shingle_hashes(c, shingle)
-    begin = np.cumsum(lengths) - lengths
-    owner = np.repeat(np.arange(len(lines)), lengths)[: len(h)]
-    whole = np.arange(len(h)) - begin[owner] <= lengths[owner] - shingle
-    short = lengths < shingle
-    h, owner = h[whole], owner[whole]
-    packed = np.sort((owner.astype(np.uint64) << np.uint64(38)) | (h >> np.uint64(26)))  # line, place (6 bits), value (32 bits)
+def minima(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """The least hash in each of the ``PLACES`` places of each of n sets, -1 where a place is empty."""
+    packed = np.sort((owner.astype(np.uint64) << np.uint64(38)) | (h >> np.uint64(26)))  # set, place (6 bits), value (32 bits)
     slot = packed >> np.uint64(32)
     first = np.append(True, slot[1:] != slot[:-1]) if len(slot) else np.empty(0, bool)
-    out = np.full(len(lines) * PLACES, -1, dtype=np.int64)
+    out = np.full(n * PLACES, -1, dtype=np.int64)
     out[slot[first].astype(np.int64)] = (packed[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    out = out.reshape(-1, PLACES)
-    out[short] = np.array([name(x) & 0xFFFFFFFF for x, s in zip(lines, short) if s], dtype=np.int64)[:, None] if short.any() else 0
-    # an empty place asks the others in an order fixed for that place
+    return out.reshape(-1, PLACES)
+
+
+def filled_places(out: np.ndarray, wanted: int) -> np.ndarray:
+    """The first ``wanted`` places; an empty one asks the others in an order fixed for that place."""
     filled = out[:, :wanted].copy()
     row, col = np.nonzero(filled < 0)
     for attempt in range(1, 8 * PLACES):
@@ -153,6 +147,21 @@ def signatures(lines: list[str], shingle: int, wanted: int = PLACES) -> np.ndarr
     return filled.astype(np.uint64)
 
 
+def signatures(lines: list[str], shingle: int, wanted: int = PLACES) -> np.ndarray:
+    """MinHash values, one row of the first ``wanted`` of ``PLACES`` places for each line."""
+    lengths = np.array([len(x) for x in lines], dtype=np.int64)
+    c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    h = shingle_hashes(c, shingle)
+    begin = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(lines)), lengths)[: len(h)]
+    whole = np.arange(len(h)) - begin[owner] <= lengths[owner] - shingle
+    short = lengths < shingle
+    h, owner = h[whole], owner[whole]
+    out = minima(h, owner, len(lines))
+    out[short] = np.array([name(x) & 0xFFFFFFFF for x, s in zip(lines, short) if s], dtype=np.int64)[:, None] if short.any() else 0
+    return filled_places(out, wanted)
+
+
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     out = np.empty((len(sig), bands), dtype=np.uint64)
     for b in range(bands):
@@ -216,13 +225,18 @@ def candidate_groups(lines: DataFrame) -> DataFrame:
     return arrow_map(keys.repartition("band").sortWithinPartitions("band", "name"), run, "grp long, name long, n long").distinct()
 
 
-def verified_links(groups: DataFrame, shingle: int, similarity: float, dense: int) -> DataFrame:
-    """``groups(grp, name, n, text)`` → (u, v) links of lines that are as similar as asked."""
+def dealt(groups: DataFrame, dense: int, *columns: str) -> DataFrame:
+    """``groups(grp, name, n, ...)`` → cell, side (-1: a part with itself), name and the columns: each pair of parts of a group."""
     parts = F.ceil(F.col("n") / dense)
     own = F.pmod(F.xxhash64("name"), parts)
     rows = groups.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     cell = F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other"))
-    rows = rows.select(cell.alias("cell"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).cast("long").alias("side"), "name", "text")
+    return rows.select(cell.alias("cell"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).cast("long").alias("side"), "name", *columns)
+
+
+def verified_links(groups: DataFrame, shingle: int, similarity: float, dense: int) -> DataFrame:
+    """``groups(grp, name, n, text)`` → (u, v) links of lines that are as similar as asked."""
+    rows = dealt(groups, dense, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for table in key_groups(batches, "cell", 20_000):

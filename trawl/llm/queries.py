@@ -97,8 +97,8 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, on shingles of five words; 3 differing bits of 64 lie well above similarity 0.8."""
-    return simhash.one_of_each(docs, shingle=5, threshold=3)
+    """One document of each group of near duplicates, at a similarity of 0.8 or more of their sets of five-word shingles."""
+    return simhash.one_of_similar(docs, shingle=5, similarity=0.8)
 
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

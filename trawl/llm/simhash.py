@@ -13,6 +13,12 @@ Inside an anchor only a spanning forest of the links leaves the task, and groups
 256 distinct fingerprints are compared by pieces of all 64 bits, one of which must be equal.  Components: distributed contraction.
 Null and empty texts have fingerprint zero and link like any other.  Repeated rows: one result
 each.  A null doc_id is never a component's id unless all of its ids are null (then null).
+
+``one_of_similar`` links by similarity instead: documents whose sets of word shingles reach a Jaccard
+similarity of ``similarity``.  At 0.8 about 10 of 64 bits differ, and anchors for so many bits would hold
+a fixed share of all pairs.  So MinHash bands of the same shingle hashes propose the candidates (at 0.8,
+12 bands of 3 miss 0.02 %), those with more than ``reach`` differing bits are passed over (at 0.8 that
+misses under one in 10**6), and the others link only if their exact sets are as similar as asked.
 """
 
 from __future__ import annotations
@@ -25,16 +31,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, KEY, Stored, arrow_map, connected_components, key_groups, keyed, local_components, plain
+from .common import ID, KEY, Stored, arrow_map, as_long, connected_components, key_groups, keyed, local_components, plain
+from .line_dedup import band_keys, candidate_groups, common_count, dealt, filled_places, minima
 
 BITS = 64
+SLACK = 1e-9
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Bit by bit, the majority of the XXH64 values (seed 42) of the text's word shingles."""
+def digests(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 values (seed 42) of the text's word shingles; a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, dtype="<u8")
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     joined = b" ".join(words)
     if len(words) <= shingle:
@@ -43,7 +51,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         stops = ends[shingle - 1 :].tolist()
         starts = [0, *(ends[: len(words) - shingle] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[i:j], 42) for i, j in zip(starts, stops)], dtype="<u8")
+    return np.array([digest(joined[i:j], 42) for i, j in zip(starts, stops)], dtype="<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """Bit by bit, the value that more than half of the hashes have, else 0."""
     counts = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(h), 4096):
         bits = np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -51,6 +63,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Bit by bit, the majority of the hashes of the text's word shingles."""
+    return majority(digests(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``docs(doc_id, text, ID, KEY)`` → doc_id, ID, KEY, fp (the fingerprint's bits as a long)."""
 
@@ -188,7 +205,107 @@ def one_of_each(docs: DataFrame, shingle: int = 3, threshold: int = 3) -> DataFr
     """``docs`` with one row of each component, all columns unchanged; of equal repeated rows one stays."""
     kept = near_duplicates(docs, shingle, threshold).where("keep").groupBy(ID, KEY).agg(F.count(F.lit(1)).alias("__rows"))
     kept = Stored(docs.sparkSession).put(kept)
+    return only(docs, kept, not kept.where("__rows > 1").isEmpty())
+
+
+def only(docs: DataFrame, kept: DataFrame, repeated: bool) -> DataFrame:
+    """The rows of ``docs`` whose address is in ``kept``; of equal repeated rows one."""
     out = keyed(docs).join(kept.select(ID, KEY).hint("merge"), [ID, KEY], "left_semi")
-    if not kept.where("__rows > 1").isEmpty():
+    if repeated:
         out = out.dropDuplicates([ID, KEY])
     return out.select(*docs.columns)
+
+
+def shingle_sets(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """``docs(doc_id, text, ID, KEY)`` → doc_id, ID, KEY, name (of the set of shingle hashes), fp (its fingerprint), keys (its bands; null for the empty set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            names, fps, keys, held, places, size = [], [], [None] * batch.num_rows, [], [], 0
+            for k, text in enumerate(batch.column("text")):
+                own = np.unique(digests(text.as_py(), shingle))
+                names.append(xxhash.xxh64_intdigest(own.tobytes(), 7))
+                fps.append(majority(own))
+                if len(own):
+                    held.append(own)
+                    places.append(k)
+                    size += len(own)
+                if held and (size > 500_000 or k == batch.num_rows - 1):
+                    owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
+                    sig = filled_places(minima(np.concatenate(held), owner, len(held)), bands * rows)
+                    for at, row in zip(places, as_long(band_keys(sig, bands, rows)).tolist()):
+                        keys[at] = row
+                    held, places, size = [], [], 0
+            yield {"doc_id": batch.column("doc_id"), ID: batch.column(ID), KEY: batch.column(KEY), "name": as_long(np.array(names, np.uint64)), "fp": as_long(np.array(fps, np.uint64)), "keys": keys}
+
+    return arrow_map(docs.select("doc_id", ID, KEY, "text"), run, f"doc_id long, {ID} long, {KEY} long, name long, fp long, keys array<long>")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """``wanted(ID, KEY, name, fp)`` → name, fp, hashes (the sorted set as bytes), one row each name."""
+    rows = docs.select(ID, KEY, "text").join(wanted.hint("merge"), [ID, KEY]).select("name", "fp", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                yield {"name": part.column("name"), "fp": part.column("fp"), "hashes": [np.unique(digests(x.as_py(), shingle)).tobytes() for x in part.column("text")]}
+
+    return arrow_map(rows, run, "name long, fp long, hashes binary").dropDuplicates(["name"])
+
+
+def alike(sets: list[np.ndarray], fps: np.ndarray, side: np.ndarray, similarity: float, reach: int) -> list[tuple[int, int]]:
+    """Index pairs that connect all that pairs of the asked similarity connect: of one side -1, or else across sides.
+
+    Where two sides meet, links inside a side only save comparisons; another cell sends them.
+    """
+    across = bool(side[0] != -1)
+    label, sizes, out = np.arange(len(sets)), np.array([len(x) for x in sets]), []
+    for inside in (True, False) if across else (True,):
+        for a in range(1, len(sets)):
+            fits = np.minimum(sizes[:a], sizes[a]) >= similarity * np.maximum(sizes[:a], sizes[a]) - SLACK
+            fits &= np.bitwise_count(fps[:a] ^ fps[a]) <= reach
+            others = np.flatnonzero(fits & (label[:a] != label[a]) & ((side[:a] == side[a]) == inside))
+            while len(others):
+                b, others = int(others[0]), others[1:]
+                common = common_count(sets[a], sets[b])
+                if common >= similarity * (sizes[a] + sizes[b] - common) - SLACK:
+                    label[label == label[a]] = label[b]
+                    others = others[label[others] != label[b]]
+                    if inside != across:
+                        out.append((a, b))
+    return out
+
+
+def similar_links(groups: DataFrame, similarity: float, reach: int, dense: int) -> DataFrame:
+    """``groups(grp, name, n, fp, hashes)`` → (u, v) links of sets that are as similar as asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for table in key_groups(batches, "cell", 1_000):
+            cells, sides, names, fps = (table.column(c).to_numpy() for c in ("cell", "side", "name", "fp"))
+            hashes, u, v = table.column("hashes"), [], []
+            starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+            for i, j in zip(starts.tolist(), np.append(starts[1:], len(cells)).tolist()):
+                sets = [np.frombuffer(x.as_buffer(), dtype="<u8") for x in hashes.slice(i, j - i)]
+                pairs = np.array(alike(sets, fps[i:j].view(np.uint64), sides[i:j], similarity, reach), dtype=np.int64).reshape(-1, 2) + i
+                u += names[pairs[:, 0]].tolist()
+                v += names[pairs[:, 1]].tolist()
+            yield {"u": u, "v": v}
+
+    rows = dealt(groups, dense, "fp", "hashes")
+    return arrow_map(rows.repartition("cell").sortWithinPartitions("cell", "side", "name"), run, "u long, v long").distinct()
+
+
+def one_of_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 12, rows: int = 3, reach: int = 28, dense: int = 512) -> DataFrame:
+    """``docs`` with one row (the smallest address) of each component of documents with similar shingle sets, all columns unchanged."""
+    store, texts = Stored(docs.sparkSession), plain(docs)
+    sets = store.put(shingle_sets(texts, shingle, bands, rows))
+    place = F.struct(F.col("doc_id").isNull().alias("n"), ID, KEY)
+    distinct = store.put(sets.groupBy("name").agg(F.min(place).alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    groups = store.put(candidate_groups(distinct))
+    wanted = groups.select("name").distinct().join(distinct, "name").select(f"rep.{ID}", f"rep.{KEY}", "name", "fp")
+    found = similar_links(groups.join(sets_of(texts, wanted, shingle), "name"), similarity, reach, dense)
+    roots = connected_components(found, store)
+    classes = distinct.join(roots, distinct["name"] == roots["node"], "left").select("rep", F.coalesce("root", "name").alias("root"))
+    kept = store.put(classes.groupBy("root").agg(F.min("rep").alias("rep")).select(f"rep.{ID}", f"rep.{KEY}"))
+    return only(docs, kept, not sets.groupBy(ID, KEY).count().where("count > 1").isEmpty())
