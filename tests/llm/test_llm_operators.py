@@ -169,6 +169,16 @@ def test_decontamination(spark, docs, empty, odd):
     assert decontam.clean(odd, items).count() == 6
 
 
+def test_decontamination_by_short_items_and_without_spaces(spark):
+    items = spark.createDataFrame([(1, "Zorbal"), (2, "grün Quax"), (3, "東京は日本の首都です"), (4, "...")], "item_id long, text string")
+    texts = ["a zorbal here", "Zorbals", "it is grün, quax!", "quax grün", "皆さん、東京は日本の首都です。", "東京は日本の大きな首都です", "京都", "nothing", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["score"], r["first_word"], r["end_word"]) for r in decontam.contaminations(d, items).collect()}
+    assert set(got) == {(0, 1), (2, 2), (4, 3), (5, 3)}
+    assert got[0, 1] == (1.0, 1, 2) and got[2, 2] == (1.0, 2, 4) and got[4, 3] == (1.0, 3, 13)
+    assert [r["doc_id"] for r in decontam.clean(d, items).orderBy("doc_id").collect()] == [1, 3, 6, 7, 8]
+
+
 def repeated_bytes(texts, n):
     raw = [(t or "").encode() for t in texts]
     seen = {}

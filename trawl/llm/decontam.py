@@ -1,6 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Test items and documents are lower-cased word sequences.  Every ``n``-gram of an item is counted
+Test items and documents are lower-cased word sequences; in scripts that put no spaces between words
+each character is one.  Every ``n``-gram of an item (of a shorter item: its whole sequence) is counted
 over all documents; the rarest ``rare`` share of an item's n-grams (ties included) are its seeds.
 Where a document holds a seed, the words around it are aligned with the item (match 2, mismatch
 and gap -1); the score is divided by that of the whole item, and documents with ``threshold`` or
@@ -9,7 +10,7 @@ more hold a verbatim, edited or partly paraphrased copy.
 Scale: two scans of the documents without any shuffle of text; per batch only counts of the
 items' n-grams (first scan) and matches (second) leave a task.  Items are broadcast in blocks of
 at most ``block_bytes`` of text, however many there are; each block is a pass over all documents.
-Nulls, and items with fewer than ``n`` words, match nothing; equal items each match.  Repeated rows
+Nulls, and items without any word, match nothing; equal items each match.  Repeated rows
 match each for itself.
 """
 
@@ -28,15 +29,23 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 WORD = re.compile(r"\w+")
+# Thai, Lao, Myanmar, Khmer, Tai Le and New Tai Lue, kana, bopomofo, Han, Yi, Javanese
+SPACELESS = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua48f\ua980-\ua9df\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+ANY_SPACELESS = re.compile(f"[{SPACELESS}]")
+WORD_OR_CHARACTER = re.compile(rf"[^\W{SPACELESS}]+|(?=\w)[{SPACELESS}]")
 MATCH, MISS, GAP = 2, -1, 1
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    text = text.lower()
+    return (WORD if text.isascii() or not ANY_SPACELESS.search(text) else WORD_OR_CHARACTER).findall(text)
 
 
 class Items:
-    """A block of test items with their n-grams as codes over the block's own words (0: any other word)."""
+    """A block of test items with their n-grams as codes over the block's own words (0: any other word).
+
+    Items shorter than n have one gram, all of their words; as no digit of a gram is 0, codes of different lengths differ.
+    """
 
     def __init__(self, rows: list[tuple[int, str]], n: int):
         self.n = n
@@ -47,7 +56,8 @@ class Items:
             raise ValueError("a block of items has too many different words")
         self.ids = [x for x, _ in rows]
         self.sequences = [np.array([self.vocabulary[w] for w in t], dtype=np.int64) for t in tokens]
-        self.codes = [np.unique(self.grams(s)[1]) for s in self.sequences]
+        self.lengths = sorted({min(n, len(s)) for s in self.sequences} - {0})
+        self.codes = [np.unique(self.grams(s, min(n, len(s)))[1]) for s in self.sequences]
         self.seeds = np.unique(np.concatenate([*self.codes, np.empty(0, np.int64)]))
         self.owners: dict[int, list[int]] = {}
 
@@ -55,10 +65,9 @@ class Items:
         get = self.vocabulary.get
         return np.array([get(w, 0) for w in words(text)], dtype=np.int64)
 
-    def grams(self, sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, codes) of the n-grams whose words all belong to items."""
-        n = self.n
-        if len(sequence) < n:
+    def grams(self, sequence: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, codes) of the grams of n words that all belong to items."""
+        if not 0 < n <= len(sequence):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         code, known = np.zeros(len(sequence) - n + 1, np.int64), np.ones(len(sequence) - n + 1, bool)
         for k in range(n):
@@ -70,7 +79,8 @@ class Items:
 
     def hits(self, sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, seed codes) in a document."""
-        at, code = self.grams(sequence)
+        grams = [self.grams(sequence, n) for n in self.lengths] or [self.grams(sequence, self.n)]
+        at, code = (np.concatenate(x) for x in zip(*grams))
         if not len(at) or not len(self.seeds):
             return at[:0], code[:0]
         found = np.searchsorted(self.seeds, code)
