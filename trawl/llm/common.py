@@ -10,6 +10,9 @@ Conventions that hold for every operator of this subpackage
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -24,25 +27,38 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; a temporary one only in local mode, where there is one machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trawl-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 class Stored:
-    """Tables written to shared storage; ``drop`` removes those that no later plan reads."""
+    """Tables written to shared storage; ``drop`` removes those that no later plan reads.
+
+    A result reads some of them when it is computed, so the rest goes by ``release`` or at the driver's end.
+    """
+
+    kept: list[tuple[SparkSession, str]] = []
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/trawl-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
         self.count = 0
+        Stored.kept.append((spark, self.root))
 
     def put(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.count}"
@@ -55,8 +71,15 @@ class Stored:
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             if path := self.paths.pop(id(df), None):
-                target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+                delete(self.spark, path)
+
+    @staticmethod
+    @atexit.register
+    def release() -> None:
+        """Deletes all tables of this driver; results that were not written or collected can't be computed afterwards."""
+        while Stored.kept:
+            with contextlib.suppress(Exception):  # the session may be gone
+                delete(*Stored.kept.pop())
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,30 +127,54 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def key_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 400_000) -> Iterator[dict[str, np.ndarray]]:
+def key_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 400_000, size: int = 1 << 26) -> Iterator[pa.Table]:
     """Regroups a partition sorted by ``key`` into tables that never cut a group in two.
 
-    Memory: about ``rows`` rows, or one group if that is larger.
+    Memory: about ``rows`` rows or ``size`` bytes, or one group if that is larger; callers bound their groups.
     """
+    for table, whole in group_pieces(batches, key, rows, size):
+        assert whole
+        yield table
+
+
+def group_pieces(batches: Iterator[pa.RecordBatch], key: str, rows: int, size: int = 1 << 26, most: int | None = None) -> Iterator[tuple[pa.Table, bool]]:
+    """Like ``key_groups``, but a group of more than ``most`` rows comes in pieces of its own, marked False."""
     held: list[pa.Table] = []
-    count = 0
+    count = weight = 0
+    limit, cut_key = rows, None
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(pa.Table.from_batches([batch]))
         count += batch.num_rows
-        if count < rows:
+        weight += batch.nbytes
+        if count < limit and weight < size:
             continue
         table = pa.concat_tables(held)
         keys = table.column(key).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1], side="left"))
-        held, count = [table.slice(cut)], table.num_rows - cut
+        if cut_key is not None and keys[0] == cut_key:
+            end = int(np.searchsorted(keys, cut_key, side="right"))
+            yield table.slice(0, end), False
+            table, keys = table.slice(end), keys[end:]
+        cut = int(np.searchsorted(keys, keys[-1], side="left")) if len(keys) else 0
         if cut:
-            yield table.slice(0, cut)
-        else:
-            rows = max(rows, 2 * count)
+            yield table.slice(0, cut), True
+        table = table.slice(cut)
+        if most is not None and table.num_rows > most:
+            cut_key = keys[-1]
+            yield table, False
+            table = table.slice(table.num_rows)
+        held, count, weight = [table] if table.num_rows else [], table.num_rows, table.nbytes
+        limit, size = max(rows, 2 * count), max(size, 2 * weight)
     if held:
-        yield pa.concat_tables(held)
+        table = pa.concat_tables(held)
+        if cut_key is not None:
+            end = int(np.searchsorted(table.column(key).to_numpy(), cut_key, side="right")) if table.column(key)[0].as_py() == cut_key else 0
+            if end:
+                yield table.slice(0, end), False
+            table = table.slice(end)
+        if table.num_rows:
+            yield table, True
 
 
 def local_components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ID, KEY, Stored, arrow_map, as_long, mix, plain
-from .windows import RUN, classes, covered, merged, mixed, per_row, repeated_keys
+from .windows import SENT, classes, covered, merged, mixed, per_row, repeated_keys, sent
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -174,19 +174,21 @@ def find_runs(docs: DataFrame, window: int, words_at_once: int = 400_000) -> Dat
             doc = np.repeat(np.arange(len(lengths)), lengths)
             key, at, lo, hi = anchors(np.concatenate(names), doc, begin, end, window)
             owner = doc[lo]
-            yield {"key": as_long(key), ID: np.array(ids)[owner], KEY: np.array(keys)[owner], "at": (at - begin[owner]).astype(np.int32), "lo": (lo - begin[owner]).astype(np.int32), "hi": (hi - begin[owner]).astype(np.int32)}
+            yield sent(key, np.array(ids)[owner], np.array(keys)[owner], at - begin[owner], lo - begin[owner], hi - begin[owner])
 
-    return arrow_map(docs.select(ID, KEY, "text"), run, RUN)
+    return arrow_map(docs.select(ID, KEY, "text"), run, SENT)
 
 
 def described(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
-    """The runs with ``r`` (a hash of all their words and shape) and ``w`` (a hash of each window)."""
+    """The runs with ``r`` (a hash of all their words and shape), ``d`` (a digest of their words) and ``w`` (a hash of each window)."""
     rows = docs.select(ID, KEY, "text").join(per_row(runs), [ID, KEY])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for doc, row_key, text, found in zip(batch.column(ID).to_pylist(), batch.column(KEY).to_pylist(), batch.column("text"), batch.column("runs")):
-                names = word_names(split_words(text.as_py()))
+                words = split_words(text.as_py())
+                names, joined = word_names(words), b" ".join(words)
+                begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in words])])
                 fields = found.values.flatten()
                 key, at, lo, hi = (x.to_numpy(zero_copy_only=False) for x in fields)
                 prefix = Prefix(names)
@@ -195,15 +197,16 @@ def described(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
                 starts = np.arange(len(names) - window + 1)
                 w = as_long(second.of(starts, starts + window)).tolist()
                 k = len(key)
-                yield {"key": key, "r": as_long(r), ID: [doc] * k, KEY: [row_key] * k, "at": at, "lo": lo, "hi": hi, "w": [w[i : j + 1] for i, j in zip(lo.tolist(), hi.tolist())]}
+                d = [int.from_bytes(hashlib.blake2b(joined[i:j], digest_size=8).digest(), "little", signed=True) for i, j in zip(begin[lo].tolist(), (begin[hi + window] - 1).tolist())]
+                yield {"key": key, "r": as_long(r), "d": d, ID: [doc] * k, KEY: [row_key] * k, "at": at, "lo": lo, "hi": hi, "w": [w[i : j + 1] for i, j in zip(lo.tolist(), hi.tolist())]}
 
-    return arrow_map(rows, run, f"key long, r long, {ID} long, {KEY} long, at int, lo int, hi int, w array<long>")
+    return arrow_map(rows, run, f"key long, r long, d long, {ID} long, {KEY} long, at int, lo int, hi int, w array<long>")
 
 
 def later_spans(docs: DataFrame, window: int, store: Stored) -> DataFrame:
     """ID, KEY, start, end: words covered by windows that start earlier elsewhere."""
     runs = store.put(described(docs, repeated_keys(find_runs(docs, window)), window))
-    found = store.put(classes(runs))
+    runs, found = classes(runs, store)
     place = F.struct(ID, KEY, "lo")
     known = runs.join(found.where("n > 1"), ["key", "r"])
     whole = known.where(place != F.col("first")).select(ID, KEY, F.col("lo").alias("start"), (F.col("hi") + window).alias("end"))

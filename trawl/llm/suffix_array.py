@@ -7,12 +7,16 @@ over prefix polynomial hashes, so it takes O(log window) steps.  Neighbours in s
 agree on ``window`` bytes are repeats; the bytes of all such pairs are compared, and on a
 collision the lot is judged again on its bytes.
 
-Scale: see ``windows``.  Runs of equal content never meet in the sort: they are counted by hash
-of the whole run together with their key (128 bits, map-side combined) and send one run each.
-Keys with more than ``dense`` different contents (a passage in countless contexts) are dealt out
-by window: those are counted by 128-bit hash instead of being sorted in one task.
-Null texts are empty; texts shorter than the window stay.  Rows repeated with equal id and text
-are occurrences of each other.
+Scale: see ``windows``.  Runs of equal content never meet in the sort; they form classes, which a
+digest verifies.  A key with more than ``dense`` different contents (a passage in countless contexts)
+is split: its runs are cut into blocks of neighbouring windows, by offset from the anchor, and each
+block gets the content that all its windows share as its key, as equal windows at equal offsets do
+share it.  Blocks form classes and are sorted in the same way, and cut once more into single windows
+where even they have too many contents.  So a task sorts at most ``dense`` runs of one key.
+The hashes are taken modulo 2**64, for which strings of equal hash are known from 512 bytes on: in the
+sort strings are shorter (``window``) and compared byte by byte; classes have their digest.
+Null texts are empty; texts shorter than the window stay; texts of any length are whole.  Rows
+repeated with equal id and text are occurrences of each other.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ID, KEY, Stored, arrow_map, as_long, key_groups, mix, plain
-from .windows import RUN, classes, covered, merged, mixed, per_row, repeated_keys
+from .windows import SENT, classes, covered, merged, mixed, per_row, repeated_keys, sent
 
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 GRAM = 64
@@ -95,7 +99,7 @@ def find_runs(docs: DataFrame, window: int) -> DataFrame:
                 if len(data) < window:
                     continue
                 key, at, lo, hi = anchors(data, window)
-                held.append((as_long(key), np.full(len(key), doc), np.full(len(key), row_key), at, lo, hi))
+                held.append((key, np.full(len(key), doc), np.full(len(key), row_key), at, lo, hi))
                 count += len(key)
                 if count > 50_000:
                     yield columns(held)
@@ -105,13 +109,20 @@ def find_runs(docs: DataFrame, window: int) -> DataFrame:
 
     def columns(held: list) -> dict:
         key, doc, row_key, at, lo, hi = (np.concatenate(x) for x in zip(*held))
-        return {"key": key, ID: doc, KEY: row_key, "at": at.astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)}
+        return sent(key, doc, row_key, at, lo, hi)
 
-    return arrow_map(docs.select(ID, KEY, "text"), run, RUN)
+    return arrow_map(docs.select(ID, KEY, "text"), run, SENT)
+
+
+PIECE = f"key long, r long, d long, {ID} long, {KEY} long, at int, lo int, hi int, bytes binary"
+
+
+def digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
 def described(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
-    """The runs with ``r`` (a hash of all their bytes and shape) and ``bytes``."""
+    """The runs with ``bytes``, ``r`` (a hash of the bytes and the run's shape) and ``d`` (a digest of the bytes)."""
     rows = docs.select(ID, KEY, "text").join(per_row(runs), [ID, KEY])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -121,14 +132,44 @@ def described(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
                 data = np.frombuffer(raw, dtype=np.uint8)
                 key, at, lo, hi = (x.to_numpy(zero_copy_only=False) for x in found.values.flatten())
                 lo64 = lo.astype(np.int64)
-                r = mix(PrefixHash(data, BASES[1]).of(lo64, hi - lo + window)) ^ mix((at - lo).astype(np.uint64) * np.uint64(65536) + (hi - lo).astype(np.uint64))
+                r = mix(PrefixHash(data, BASES[1]).of(lo64, hi - lo + window)) ^ shape(at, lo, hi)
                 k = len(key)
                 for i in range(0, k, 10_000):
                     j = slice(i, i + 10_000)
                     n = len(key[j])
-                    yield {"key": key[j], "r": as_long(r[j]), ID: [doc] * n, KEY: [row_key] * n, "at": at[j], "lo": lo[j], "hi": hi[j], "bytes": [raw[a:b].to_pybytes() for a, b in zip(lo[j].tolist(), (hi[j] + window).tolist())]}
+                    pieces = [raw[a:b].to_pybytes() for a, b in zip(lo[j].tolist(), (hi[j] + window).tolist())]
+                    yield {"key": key[j], "r": as_long(r[j]), "d": [digest(x) for x in pieces], ID: [doc] * n, KEY: [row_key] * n, "at": at[j], "lo": lo[j], "hi": hi[j], "bytes": pieces}
+
+    return arrow_map(rows, run, PIECE)
+
+
+def shape(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return mix((at - lo).astype(np.uint64) * np.uint64(65536) + (hi - lo).astype(np.uint64))
 
-    return arrow_map(rows, run, f"key long, r long, {ID} long, {KEY} long, at int, lo int, hi int, bytes binary")
+
+def cut(runs: DataFrame, window: int, block: int) -> DataFrame:
+    """``runs(key, ID, KEY, at, lo, hi, bytes)`` → ``PIECE``: their windows in blocks of ``block`` neighbouring offsets from the anchor.
+
+    The new key names what all windows of the block share: the old key, the block, and the bytes in each of its windows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for key, doc, row_key, at, lo, hi, data in zip(*(batch.column(c).to_pylist() for c in ("key", ID, KEY, "at", "lo", "hi", "bytes"))):
+                names, pieces, lows, highs = [], [], [], []
+                for k in range((at - hi) // block, (at - lo) // block + 1):
+                    first, last = max(lo, at - k * block - block + 1), min(hi, at - k * block)
+                    shared = at - k * block - lo  # where the block's last window starts
+                    names.append(digest(b"%d %d " % (key, k) + data[shared : shared + window - block + 1]))
+                    pieces.append(data[first - lo : last - lo + window])
+                    lows.append(first)
+                    highs.append(last)
+                n = len(names)
+                low, high = np.array(lows), np.array(highs)
+                own = [digest(x) for x in pieces]
+                yield {"key": names, "r": as_long(np.array(own, np.int64).view(np.uint64) ^ shape(at - low, 0 * low, high - low)), "d": own, ID: [doc] * n, KEY: [row_key] * n, "at": [at] * n, "lo": low, "hi": high, "bytes": pieces}
+
+    return arrow_map(runs.select("key", ID, KEY, "at", "lo", "hi", "bytes"), run, PIECE)
 
 
 class Suffixes:
@@ -238,16 +279,29 @@ def verified(arena: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> bo
     return True
 
 
-def repeated_spans(docs: DataFrame, window: int, store: Stored, dense: int = 1024) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int, store: Stored, dense: int = 1024, blocks: tuple[int, ...] = (16, 1)) -> DataFrame:
     """ID, KEY, start, end: bytes covered by repeated windows."""
     runs = store.put(described(docs, repeated_keys(find_runs(docs, window)), window))
-    found = store.put(classes(runs.drop("bytes")))
-    place = F.struct(ID, KEY, "lo")
-    copies = runs.drop("bytes").join(found.where("n > 1").select("key", "r"), ["key", "r"])
-    whole = copies.select(ID, KEY, F.col("lo").alias("start"), (F.col("hi") + window).alias("end"))
-    kinds = found.join(mixed(found), "key")
-    firsts = runs.join(kinds, ["key", "r"]).where(place == F.col("first"))
-    firsts = store.put(firsts.select("key", ID, KEY, "at", "lo", "hi", "n", "kinds", "bytes"))
+    out = None
+    for block in (*blocks, 0):
+        runs, found = classes(runs, store)
+        place = F.struct(ID, KEY, "lo")
+        copies = runs.drop("bytes").join(found.where("n > 1").select("key", "r"), ["key", "r"])
+        spans = copies.select(ID, KEY, F.col("lo").alias("start"), (F.col("hi") + window).alias("end"))
+        kinds = found.join(mixed(found), "key")
+        firsts = runs.join(kinds, ["key", "r"]).where(place == F.col("first"))
+        firsts = store.put(firsts.select("key", ID, KEY, "at", "lo", "hi", "n", "kinds", "bytes"))
+        within = F.col("kinds") <= dense if block else F.lit(True)  # single windows differ in content only where keys collide
+        spans = spans.unionByName(sorted_spans(firsts.where(within), window))
+        out = spans if out is None else out.unionByName(spans)
+        crowded = firsts.where(~within)
+        if not block or crowded.isEmpty():
+            return out
+        runs = store.put(cut(crowded, window, block))
+
+
+def sorted_spans(firsts: DataFrame, window: int) -> DataFrame:
+    """``firsts(key, ID, KEY, at, lo, hi, n, bytes)`` → ID, KEY, start, end of the windows that another run of the same key holds, by suffix sort."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for table in key_groups(batches, "key", 4_000):
@@ -263,20 +317,7 @@ def repeated_spans(docs: DataFrame, window: int, store: Stored, dense: int = 102
                 last = np.append(first[1:], len(row)) - 1
                 yield {ID: ids[row[first]], KEY: row_keys[row[first]], "start": start[first].astype(np.int32), "end": (start[last] + window).astype(np.int32)}
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            for key, doc, row_key, at, lo, hi, text in zip(*(batch.column(c).to_pylist() for c in ("key", ID, KEY, "at", "lo", "hi", "bytes"))):
-                data, p = np.frombuffer(text, dtype=np.uint8), np.arange(hi - lo + 1)
-                h = [as_long(mix(PrefixHash(data, b).of(p, window))) for b in BASES]
-                k = len(p)
-                yield {"key": [key] * k, "offset": (at - lo - p).astype(np.int32), "h1": h[0], "h2": h[1], ID: [doc] * k, KEY: [row_key] * k, "p": (lo + p).astype(np.int32)}
-
-    sorted_ = arrow_map(firsts.where(F.col("kinds") <= dense).repartition("key").sortWithinPartitions("key", ID, KEY, "lo"), sort, f"{ID} long, {KEY} long, start int, end int")
-    dealt = arrow_map(firsts.where(F.col("kinds") > dense), deal, f"key long, offset int, h1 long, h2 long, {ID} long, {KEY} long, p int")
-    names = ["key", "offset", "h1", "h2"]
-    again = dealt.groupBy(names).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(names)
-    hashed = dealt.join(again, names).select(ID, KEY, F.col("p").alias("start"), (F.col("p") + window).alias("end"))
-    return whole.unionByName(sorted_).unionByName(hashed)
+    return arrow_map(firsts.repartition("key").sortWithinPartitions("key", ID, KEY, "lo"), sort, f"{ID} long, {KEY} long, start int, end int")
 
 
 def remove_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
