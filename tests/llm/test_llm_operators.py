@@ -7,8 +7,10 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
+from trawl.llm.common import Stored, group_pieces
 from trawl.llm import decontam, language, line_dedup, packing, quality, recompression, simhash, suffix_array, topk, url_reputation
 
 SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it".split()
@@ -116,10 +118,9 @@ def test_simhash_links_of_random_fingerprints(spark):
     want = components(len(fps), lambda a, b: int(fps[a] ^ fps[b]).bit_count() <= 3)
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
     place = {int(x): k for k, x in enumerate(fps.view(np.int64))}
-    pairs = {(place[r["u"]], place[r["v"]]) for r in simhash.links(df, 3).collect()}
-    assert components(len(fps), lambda a, b: (a, b) in pairs or (b, a) in pairs) == want
-    dense = np.array([1 << k for k in range(64)] + [0], dtype=np.uint64)
-    assert (simhash.forest(dense, 3) == 0).all()
+    for dense in (2048, 1):
+        pairs = {(place[r["u"]], place[r["v"]]) for r in simhash.links(df, 3, Stored(spark), dense).collect()}
+        assert components(len(fps), lambda a, b: (a, b) in pairs or (b, a) in pairs) == want
 
 
 def five_word_sets(texts):
@@ -193,10 +194,12 @@ def repeated_bytes(texts, n):
     return raw, marks
 
 
-@pytest.mark.parametrize("dense", [2, 1024])
-def test_suffix_array(spark, docs, empty, odd, dense, monkeypatch):
-    spans = suffix_array.repeated_spans
+@pytest.mark.parametrize("dense,colliding", [(2, False), (1, True), (1024, False), (1024, True)])
+def test_suffix_array(spark, docs, empty, odd, dense, colliding, monkeypatch):
+    spans, described = suffix_array.repeated_spans, suffix_array.described
     monkeypatch.setattr(suffix_array, "repeated_spans", lambda d, w, s: spans(d, w, s, dense))
+    if colliding:  # all runs in one class, until digests tell them apart
+        monkeypatch.setattr(suffix_array, "described", lambda *a: described(*a).withColumn("r", F.col("r") % 2))
     raw, marks = repeated_bytes(corpus(), 400)
     got = {r["doc_id"]: r for r in suffix_array.remove_repeats(docs).collect()}
     for k, (b, m) in enumerate(zip(raw, marks)):
@@ -215,7 +218,11 @@ def test_suffix_array_survives_a_collision(monkeypatch):
     assert sorted(zip(row.tolist(), start.tolist())) == [(0, 0), (1, 0), (1, 1), (2, 1)]
 
 
-def test_recompression(docs, empty, odd):
+@pytest.mark.parametrize("colliding", [False, True])
+def test_recompression(docs, empty, odd, colliding, monkeypatch):
+    described = recompression.described
+    if colliding:
+        monkeypatch.setattr(recompression, "described", lambda *a: described(*a).withColumn("r", F.col("r") % 2))
     first, got = set(), {r["doc_id"]: r for r in recompression.remove_repeats(docs).collect()}
     for k, t in enumerate(corpus()):
         w = (t or "").encode().split()
@@ -291,15 +298,65 @@ def test_line_dedup(spark, empty, odd):
     sets = [{x[i : i + 8] for i in range(max(1, len(x) - 7))} for _, _, x in places]
     root = components(len(places), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     want = {(k, j) for n, (k, j, _) in enumerate(places) if root[n] != n}
-    for dense in (128, 2):
-        got = {(r["__id"], r["line"]) for r in line_dedup.duplicate_lines(d, dense=dense)[1].collect()}
+    weak = lambda b: xxhash.xxh3_128_intdigest(b) >> 64 << 64 | len(b) % 2
+    for options in ({}, {"dense": 2}, {"digest": weak}):
+        got = {(r["__id"], r["line"]) for r in line_dedup.duplicate_lines(d, **options)[1].collect()}
         assert got == want
+    d = d.withColumns({"removed": F.lit("x"), "line": F.lit(3)})
     out = {r["doc_id"]: r for r in line_dedup.without_lines(d, line_dedup.removals(d)).collect()}
+    assert out[0]["removed"] == "x"
     assert len(out) == len(texts) and out[30]["text"] is None and out[32]["text"] == "short"
     assert all(out[k]["text"] == "\n".join(x for j, x in enumerate(t.split("\n")) if (k, j) not in want) for k, t in enumerate(texts) if t is not None)
     assert line_dedup.removals(empty).count() == 0 and line_dedup.removals(odd).count() >= 1
 
 
+def test_line_dedup_of_very_long_texts(spark):
+    rng = random.Random(11)
+    own = [" ".join(words(rng, 6)) + f" {k}" for k in range(20_000)]
+    long = " ".join(words(rng, 20_000))
+    texts = ["\n".join([*own, long]), "\n".join([own[5], "kept line of text", long[:-9] + " changed"]), "\n" * 50_000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in line_dedup.without_lines(d, line_dedup.removals(d)).collect()}
+    assert out[1] == "kept line of text" and out[2] == texts[2] and len(out[0]) > len(long)
+
+
+def test_chains_across_parts_of_a_large_group(spark):
+    """A chain in which only neighbours are similar, in one band, cut into parts of two."""
+    from trawl.llm import groups
+
+    rows = [(k, 10 * k) for k in range(40)] + [(100 + k, 5000 + 1000 * k) for k in range(5)]
+    values = spark.createDataFrame(rows, "name long, x long")
+    grouped = values.select(F.lit(1).cast("long").alias("grp"), "name", F.lit(45).cast("long").alias("n"))
+
+    def compare(columns, label, k):
+        x, label, out = columns[0].to_numpy(), list(label), []
+        for a in range(k or 0, len(x)):
+            for b in range(a if k is None else k):
+                if label[a] != label[b] and abs(x[a] - x[b]) <= 10:
+                    old, new = label[a], label[b]
+                    label = [new if y == old else y for y in label]
+                    out.append((a, b))
+        return out
+
+    for dense in (2, 64):
+        found = groups.linked(grouped, values, ("x",), compare, Stored(spark), dense, 10).collect()
+        pairs = {(r["u"], r["v"]) for r in found}
+        root = components(45, lambda a, b: (rows[a][0], rows[b][0]) in pairs or (rows[b][0], rows[a][0]) in pairs)
+        assert root == [0] * 40 + list(range(40, 45))
+
+
+def test_groups_larger_than_a_piece():
+    import pyarrow as pa
+
+    keys = np.sort(np.array([1] * 3 + [2] * 50 + [3] * 2 + [4] * 7))
+    batches = [pa.RecordBatch.from_pydict({"k": keys[i : i + 4]}) for i in range(0, len(keys), 4)]
+    got = [(t.column("k").to_pylist(), whole) for t, whole in group_pieces(iter(batches), "k", 5, most=10)]
+    assert sum((x for x, _ in got), []) == keys.tolist()
+    assert {k for x, whole in got if not whole for k in x} == {2} and all(2 not in x for x, whole in got if whole)
+    whole = [t.column("k").to_pylist() for t, _ in group_pieces(iter(batches), "k", 5)]
+    assert sorted(k for x in whole for k in set(x)) == [1, 2, 3, 4]
+
+
 def test_line_dedup_of_short_lines(spark):
     from trawl.llm import queries
 

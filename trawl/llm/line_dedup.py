@@ -7,30 +7,33 @@ propose candidates (at Jaccard 0.8, 8 bands of 3 miss 0.3 %), whose exact shingl
 reach ``similarity``.  Verified links join into components, and of each component only the first
 line stays (smallest doc_id, then place).  Lines shorter than a shingle match when equal.
 
-Scale: equal lines collapse to one XXH64 value before anything is compared; a task sends each
-value's bands once, so a very common line costs one row a task.  Candidate groups with the same
-members are verified once.  Groups of more than ``dense`` lines are cut into parts and the pairs of
-parts are verified apart, so no task gets an unbounded group, and all pairs are covered.  Only a
-spanning forest of a group's links is sent on; components are found by distributed contraction.
-Nulls and empty texts have no lines.  Repeated rows (same doc_id and text) are treated alike: lines
-within one are compared by place.  Blank lines always stay.  Shorter lines stay too, unless ``short`` is set:
-then those that equal an earlier one (normalized) go as well; they have no bands and are never compared.
+Scale: equal lines collapse to one 64-bit name before anything is compared; a task sends each
+name's bands once, so a very common line costs one row a task.  With its name goes another 64 bits
+of the same XXH3 hash; names that meet two of these are replaced.  Candidate groups with the same
+members are verified once, large ones level by level (see ``groups``), so no task gets an unbounded
+group and no link is lost.  Only spanning links are sent on; components are found by distributed
+contraction.  Nulls and empty texts have no lines, empty tables no rows; texts and lines of any length
+are whole.  Repeated rows (same doc_id and text) are treated alike: lines within one are compared by
+place.  Blank lines always stay.  Shorter lines stay too, unless ``short`` is set: then those that
+equal an earlier one (normalized) go as well; they have no bands and are never compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, KEY, Stored, arrow_map, as_long, connected_components, key_groups, keyed, mix, plain
+from .common import ID, KEY, Stored, arrow_map, as_long, connected_components, keyed, mix, plain
+from .groups import Compare, candidate_groups, linked
 
 PLACES = 64
 BASE = 0x9E3779B97F4A7C15
+MASK = (1 << 64) - 1
 
 
 def normalized(line: str) -> str:
@@ -112,12 +115,15 @@ class Lines:
         return common >= self.similarity * (len(one) + len(two) - common)
 
 
-def name(line: str) -> int:
-    """A normalized line's 64-bit name, as a signed long."""
-    h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 7)
+def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def name(line: str) -> int:
+    """A normalized line's hash, as a signed long."""
+    return signed(xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 7))
+
+
 def minima(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """The least hash in each of the ``PLACES`` places of each of n sets, -1 where a place is empty."""
     packed = np.sort((owner.astype(np.uint64) << np.uint64(38)) | (h >> np.uint64(26)))  # set, place (6 bits), value (32 bits)
@@ -172,17 +178,17 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def occurrences(docs: DataFrame, shingle: int, bands: int, rows: int, min_chars: int, short: bool = False) -> DataFrame:
-    """``docs(ID, KEY, text)`` → ID, KEY, line (place), name, keys (the bands; null but at a name's first sight in a batch, and for lines under ``min_chars``)."""
+def occurrences(docs: DataFrame, shingle: int, bands: int, rows: int, min_chars: int, short: bool = False, digest: Callable[[bytes], int] = xxhash.xxh3_128_intdigest) -> DataFrame:
+    """``docs(ID, KEY, text)`` → ID, KEY, line (place), name and check (two halves of ``digest``), keys (the bands; null but at a name's first sight in a batch, and for lines under ``min_chars``)."""
     least = 1 if short else min_chars
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            ids, keys, places, names, fresh, seen, starts = [], [], [], [], [], set(), []
+            ids, keys, places, names, checks, fresh, seen, starts = [], [], [], [], [], [], set(), []
             for doc, key, text in zip(batch.column(ID).to_pylist(), batch.column(KEY).to_pylist(), batch.column("text")):
                 for k, line in enumerate((text.as_py() or "").split("\n")):
                     if len(line) >= least and len(line := normalized(line)) >= least:
-                        n = name(line)
+                        n = digest(line.encode("utf-8", "surrogatepass"))
                         if len(line) >= min_chars and n not in seen:
                             seen.add(n)
                             fresh.append(line)
@@ -190,7 +196,8 @@ def occurrences(docs: DataFrame, shingle: int, bands: int, rows: int, min_chars:
                         ids.append(doc)
                         keys.append(key)
                         places.append(k)
-                        names.append(n)
+                        names.append(signed(n & MASK))
+                        checks.append(signed(n >> 64))
             found: list = [None] * len(ids)
             i = 0
             while i < len(fresh):
@@ -201,72 +208,46 @@ def occurrences(docs: DataFrame, shingle: int, bands: int, rows: int, min_chars:
                 for at, row in zip(starts[i:j], as_long(band_keys(signatures(fresh[i:j], shingle, bands * rows), bands, rows)).tolist()):
                     found[at] = row
                 i = j
-            yield {ID: ids, KEY: keys, "line": places, "name": names, "keys": found}
+            yield {ID: ids, KEY: keys, "line": places, "name": names, "check": checks, "keys": found}
 
-    return arrow_map(docs.select(ID, KEY, "text"), run, f"{ID} long, {KEY} long, line int, name long, keys array<long>")
+    return arrow_map(docs.select(ID, KEY, "text"), run, f"{ID} long, {KEY} long, line int, name long, check long, keys array<long>")
 
 
-def candidate_groups(lines: DataFrame) -> DataFrame:
-    """(grp, name, n): the distinct sets of two or more names that share a band."""
+def first_places(lines: DataFrame, store: Stored) -> tuple[DataFrame, DataFrame]:
+    """(the lines, and name, at (the first place), n (occurrences)), with names under which no two lines stand."""
+    while True:
+        firsts = store.put(lines.groupBy("name").agg(F.min(F.struct(ID, KEY, "line")).alias("at"), F.count(F.lit(1)).alias("n"), F.min("check").alias("low"), F.max("check").alias("high")))
+        clashing = firsts.where("low <> high").select("name", "low")
+        if clashing.isEmpty():
+            return lines, firsts.drop("low", "high")
+        new = F.when(F.col("check") == F.coalesce("low", "check"), F.col("name")).otherwise(F.xxhash64("name", "check"))
+        lines = store.put(lines.join(clashing, "name", "left").withColumn("name", new).drop("low"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for table in key_groups(batches, "band", 200_000):
-            band, names = table.column("band").to_numpy(), table.column("name").to_numpy()
-            new = np.append(True, (band[1:] != band[:-1]) | (names[1:] != names[:-1]))
-            band, names = band[new], names[new]
-            starts = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
-            sizes = np.diff(np.append(starts, len(band)))
-            sets = np.add.reduceat(mix(names.view(np.uint64)), starts)
-            size, group = np.repeat(sizes, sizes), np.repeat(mix(sets + sizes.astype(np.uint64)), sizes)
-            many = size > 1
-            yield {"grp": as_long(group[many]), "name": names[many], "n": size[many]}
-
-    keys = lines.where("keys IS NOT NULL").select(F.explode("keys").alias("band"), "name")
-    return arrow_map(keys.repartition("band").sortWithinPartitions("band", "name"), run, "grp long, name long, n long").distinct()
-
-
-def dealt(groups: DataFrame, dense: int, *columns: str) -> DataFrame:
-    """``groups(grp, name, n, ...)`` → cell, side (-1: a part with itself), name and the columns: each pair of parts of a group."""
-    parts = F.ceil(F.col("n") / dense)
-    own = F.pmod(F.xxhash64("name"), parts)
-    rows = groups.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    cell = F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other"))
-    return rows.select(cell.alias("cell"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).cast("long").alias("side"), "name", *columns)
-
-
-def verified_links(groups: DataFrame, shingle: int, similarity: float, dense: int) -> DataFrame:
-    """``groups(grp, name, n, text)`` → (u, v) links of lines that are as similar as asked."""
-    rows = dealt(groups, dense, "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for table in key_groups(batches, "cell", 20_000):
-            cells, sides = table.column("cell").to_numpy(), table.column("side").to_pylist()
-            names, texts = table.column("name").to_pylist(), table.column("text")
-            u, v = [], []
-            starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
-            for i, j in zip(starts.tolist(), np.append(starts[1:], len(cells)).tolist()):
-                lines, root = Lines(texts.slice(i, j - i).to_pylist(), shingle, similarity), list(range(j - i))
-                across = sides[i] != -1
-
-                def find(x: int) -> int:
-                    while root[x] != x:
-                        root[x] = root[root[x]]
-                        x = root[x]
-                    return x
-
-                # where two parts of a group meet, each part's own links come first: another cell sends them
-                for inside in (True, False) if across else (True,):
-                    for a in range(j - i):
-                        for b in range(a):
-                            x, y = find(a), find(b)
-                            if x != y and (sides[i + a] == sides[i + b]) == inside and lines.similar(a, b):
-                                root[max(x, y)] = min(x, y)
-                                if not across or not inside:
-                                    u.append(names[i + a])
-                                    v.append(names[i + b])
-            yield {"u": u, "v": v}
-
-    return arrow_map(rows.repartition("cell").sortWithinPartitions("cell", "side", "name"), run, "u long, v long").distinct()
+def comparison(shingle: int, similarity: float) -> Compare:
+    """Compares the texts of normalized lines."""
+
+    def compare(values: list[pa.Array], label: np.ndarray, k: int | None) -> list[tuple[int, int]]:
+        lines, first, out = Lines(values[0].to_pylist(), shingle, similarity), {}, []
+        root = [first.setdefault(x, i) for i, x in enumerate(label.tolist())]
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a in range(k or 0, len(root)):
+            for b in range(a if k is None else k):
+                x, y = find(a), find(b)
+                if x != y and lines.similar(a, b):
+                    root[max(x, y)] = min(x, y)
+                    out.append((a, b))
+            if k is not None:
+                lines.sets.pop(a, None)
+        return out
+
+    return compare
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -286,16 +267,15 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return arrow_map(rows, run, "name long, text string")
 
 
-def duplicate_lines(docs: DataFrame, shingle: int = 8, similarity: float = 0.8, bands: int = 8, rows: int = 3, min_chars: int = 10, dense: int = 128, short: bool = False) -> tuple[DataFrame, DataFrame]:
+def duplicate_lines(docs: DataFrame, shingle: int = 8, similarity: float = 0.8, bands: int = 8, rows: int = 3, min_chars: int = 10, dense: int = 128, short: bool = False, digest: Callable[[bytes], int] = xxhash.xxh3_128_intdigest) -> tuple[DataFrame, DataFrame]:
     """``docs(doc_id, text)`` → (lines: ID, KEY, line, name, keys; removed: ID, KEY, line)."""
     store, docs = Stored(docs.sparkSession), plain(docs)
-    lines = store.put(occurrences(docs, shingle, bands, rows, min_chars, short))
+    lines, firsts = first_places(store.put(occurrences(docs, shingle, bands, rows, min_chars, short, digest)), store)
     place = F.struct(ID, KEY, "line")
-    groups = store.put(candidate_groups(lines))
-    firsts = store.put(lines.groupBy("name").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n")))
+    groups = candidate_groups(lines, store)
     wanted = groups.select("name").distinct().join(firsts.select("name", "at"), "name").select(f"at.{ID}", f"at.{KEY}", "at.line", "name")
     texts = store.put(texts_of(docs, wanted).groupBy("name").agg(F.first("text").alias("text")))
-    roots = connected_components(verified_links(groups.join(texts, "name"), shingle, similarity, dense), store)
+    roots = connected_components(linked(groups, texts, ("text",), comparison(shingle, similarity), store, dense, 20_000), store)
     first = firsts.join(roots, firsts["name"] == roots["node"], "left").select("name", "at", "n", F.coalesce("root", "name").alias("root"))
     first = store.put(first)
     kept = first.groupBy("root").agg(F.min("at").alias("kept"), F.sum("n").alias("m")).where("m > 1")
@@ -312,9 +292,16 @@ def removals(docs: DataFrame, **options) -> DataFrame:
 
 def without_lines(docs: DataFrame, lists: DataFrame) -> DataFrame:
     """``docs`` with the listed lines cut from ``text``, its other columns unchanged; ``__lost``: the text is left without any line."""
-    rows = keyed(docs).join(lists.hint("merge"), [ID, KEY], "left")
-    lines = F.split("text", "\n", -1)
-    left = F.filter(lines, lambda x, k: ~F.coalesce(F.array_contains("removed", k), F.lit(False)))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    lost = F.coalesce(F.size("removed") > 0, F.lit(False)) & (F.length(F.trim(F.regexp_replace(text, r"\s+", ""))) == 0)
-    return rows.withColumns({"text": text, "__lost": lost}).select(*docs.columns, "__lost")
+    rows = keyed(docs).join(lists.select(ID, KEY, F.col("removed").alias("__removed")).hint("merge"), [ID, KEY], "left")
+
+    def cut(lines: Column) -> Column:
+        """What lies between neighbouring places of ``__removed``: each line is copied once."""
+        after = F.concat(F.array(F.lit(-1)), F.col("__removed"))
+        until = F.concat(F.col("__removed"), F.array(F.size(lines)))
+        between = F.arrays_zip(after.alias("a"), until.alias("b"))
+        return F.array_join(F.flatten(F.transform(between, lambda x: F.slice(lines, x["a"] + 2, x["b"] - x["a"] - 1))), "\n")
+
+    # the lines are bound to a variable, so that the text is split once
+    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.transform(F.array(F.split("text", "\n", -1)), cut)[0])
+    lost = F.coalesce(F.size("__removed") > 0, F.lit(False)) & ~F.col("text").rlike(r"\S")
+    return rows.withColumn("text", text).withColumn("__lost", lost).select(*docs.columns, "__lost")

@@ -9,10 +9,12 @@ field of 31 bits, of 2**26), and compared inside anchors only.
 
 Scale: texts are fingerprinted where they are read and never shuffled.  Equal fingerprints
 collapse (map-side combined) before they are replicated, so copies, however many, are one row.
-Inside an anchor only a spanning forest of the links leaves the task, and groups of more than
-256 distinct fingerprints are compared by pieces of all 64 bits, one of which must be equal.  Components: distributed contraction.
-Null and empty texts have fingerprint zero and link like any other.  Repeated rows: one result
-each.  A null doc_id is never a component's id unless all of its ids are null (then null).
+Inside an anchor only a spanning forest of the links leaves the task.  Anchors with more than ``dense``
+distinct fingerprints are dealt out anew: the 64 bits are cut into ``threshold + 1`` pieces, one of which
+linked fingerprints share, so each goes to its (anchor, piece) cells, which split the group.  Components:
+distributed contraction.  Null and empty texts have fingerprint zero and link like any other; texts of any
+length are whole; an empty table gives no rows.  Repeated rows: one result each.  A null doc_id is never a
+component's id unless all of its ids are null (then null).
 
 ``one_of_similar`` links by similarity instead: documents whose sets of word shingles reach a Jaccard
 similarity of ``similarity``.  At 0.8 about 10 of 64 bits differ, and anchors for so many bits would hold
@@ -31,8 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, KEY, Stored, arrow_map, as_long, connected_components, key_groups, keyed, local_components, plain
-from .line_dedup import band_keys, candidate_groups, common_count, dealt, filled_places, minima
+from .common import ID, KEY, Stored, arrow_map, as_long, connected_components, group_pieces, keyed, local_components, plain
+from .groups import Compare, candidate_groups, linked
+from .line_dedup import band_keys, common_count, filled_places, minima
 
 BITS = 64
 SLACK = 1e-9
@@ -112,16 +115,13 @@ class Covering:
         return np.concatenate(keys), np.concatenate(owners)
 
 
-def close_pairs(keys: np.ndarray, fps: np.ndarray, threshold: int, dense: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with equal key (keys are sorted) that connect what close pairs connect.
-
-    Groups of up to ``dense`` rows give all their close pairs, larger ones a forest.
-    """
+def close_pairs(keys: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs with equal key (keys are sorted) and close fingerprints."""
     n = len(keys)
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     sizes = np.diff(np.append(starts, n))
-    left, right = [], []
-    rest = np.repeat(np.where(sizes <= dense, sizes, 0), sizes) - (np.arange(n) - np.repeat(starts, sizes))  # rows of the group from here on
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    rest = np.repeat(sizes, sizes) - (np.arange(n) - np.repeat(starts, sizes))  # rows of the group from here on
     at, d = np.flatnonzero(rest > 1), 1
     while len(at):
         near = np.bitwise_count(fps[at] ^ fps[at + d]) <= threshold
@@ -129,39 +129,10 @@ def close_pairs(keys: np.ndarray, fps: np.ndarray, threshold: int, dense: int =
         right.append(at[near] + d)
         d += 1
         at = at[rest[at] > d]
-    for k in np.flatnonzero(sizes > dense):
-        label = forest(fps[starts[k] : starts[k] + sizes[k]], threshold)
-        moved = np.flatnonzero(label != np.arange(sizes[k]))
-        left.append(starts[k] + label[moved])
-        right.append(starts[k] + moved)
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(left), np.concatenate(right)
 
 
-def forest(fps: np.ndarray, threshold: int) -> np.ndarray:
-    """Smallest index connected to each fingerprint.  Close ones agree in one of threshold + 1 pieces; memory stays linear."""
-    label = np.arange(len(fps))
-    width = BITS // (threshold + 1)
-    for piece in range(threshold + 1):
-        value = fps >> np.uint64(piece * width)
-        if piece < threshold:
-            value = value & np.uint64((1 << width) - 1)
-        order = np.argsort(value, kind="stable")
-        cuts = np.flatnonzero(np.append(True, np.diff(value[order]) != 0))
-        for i, j in zip(cuts, np.append(cuts[1:], len(order))):
-            run = order[i:j]
-            for k in range(len(run) - 1):
-                others = run[k + 1 :]
-                others = others[label[others] != label[run[k]]]
-                near = others[np.bitwise_count(fps[others] ^ fps[run[k]]) <= threshold]
-                if len(near):
-                    joined = np.unique(np.append(label[near], label[run[k]]))
-                    label[np.isin(label, joined)] = joined[0]
-    return label
-
-
-def links(distinct: DataFrame, threshold: int) -> DataFrame:
+def links(distinct: DataFrame, threshold: int, store: Stored, dense: int = 2048) -> DataFrame:
     """``distinct(fp)`` → (u, v): links that connect all fingerprints connected by close pairs."""
     covering = Covering(threshold)
 
@@ -172,19 +143,50 @@ def links(distinct: DataFrame, threshold: int) -> DataFrame:
                 keys, owners = covering.anchors(fps[i : i + 50_000])
                 yield {"anchor": keys.view(np.int64), "fp": fps[i : i + 50_000][owners].view(np.int64)}
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for table in key_groups(batches, "anchor", 100_000):
-            keys, fps = table.column("anchor").to_numpy(), table.column("fp").to_numpy()
-            a, b = close_pairs(keys, fps.view(np.uint64), threshold)
-            label = local_components(len(fps), a, b)
+    def compare(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[dict]:
+        """Links, and unchanged (as anchor, fp) the rows of groups of more than ``most``."""
+        for table, whole in group_pieces(batches, key, 100_000, most=100_000):
+            keys, fps = table.column(key).to_numpy(), table.column("fp").to_numpy()
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            sizes = np.diff(np.append(starts, len(keys)))
+            large = np.repeat(sizes > most, sizes) if whole else np.ones(len(keys), bool)
+            yield {"u": keys[large], "v": fps[large], "large": np.ones(int(large.sum()), bool)}
+            keys, fps = keys[~large], fps[~large]
+            label = local_components(len(fps), *close_pairs(keys, fps.view(np.uint64), threshold))
             moved = np.flatnonzero(label != np.arange(len(fps)))
-            yield {"u": fps[label[moved]], "v": fps[moved]}
+            yield {"u": fps[label[moved]], "v": fps[moved], "large": np.zeros(len(moved), bool)}
 
     replicas = arrow_map(distinct.select("fp"), spread, "anchor long, fp long")
-    return arrow_map(replicas.repartition("anchor").sortWithinPartitions("anchor", "fp"), compare, "u long, v long").distinct()
+    met = replicas.repartition("anchor").sortWithinPartitions("anchor", "fp")
+    found = store.put(arrow_map(met, lambda batches: compare(batches, "anchor", dense), "u long, v long, large boolean"))
+    small = found.where("NOT large").select("u", "v").distinct()
+    large = found.where("large").select(F.col("u").alias("anchor"), F.col("v").alias("fp"))
+    if large.isEmpty():
+        return small
+    width = BITS // (threshold + 1)
+    cells = [F.xxhash64("anchor", F.lit(k), F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1))) for k in range(threshold + 1)]
+    pieces = large.select(F.explode(F.array(*cells)).alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell", "fp")
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        """A cell's fingerprints meet in tiles of ``dense``, so memory stays bounded for any cell but for its fingerprints."""
+        for table, _ in group_pieces(batches, "cell", 100_000):
+            keys, fps = table.column("cell").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            left, right = [], []
+            for i, j in zip(starts.tolist(), np.append(starts[1:], len(keys)).tolist()):
+                for a in range(i, j, dense):
+                    for b in range(a, j, dense):
+                        x, y = np.nonzero(np.bitwise_count(fps[a : min(a + dense, j), None] ^ fps[None, b : min(b + dense, j)]) <= threshold)
+                        left.append(a + x[a + x < b + y])
+                        right.append((b + y)[a + x < b + y])
+            label = local_components(len(fps), np.concatenate(left), np.concatenate(right))
+            moved = np.flatnonzero(label != np.arange(len(fps)))
+            yield {"u": as_long(fps[label[moved]]), "v": as_long(fps[moved])}
+
+    return small.unionByName(arrow_map(pieces, agree, "u long, v long")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 3, dense: int = 2048) -> DataFrame:
     """``docs(doc_id, text)`` → one row each: doc_id, ID, KEY, fingerprint (hex), component_id, keep.
 
     ``keep`` marks the one row (or equal repeated rows) of a component with the smallest address.
@@ -192,7 +194,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 3) -> Da
     store = Stored(docs.sparkSession)
     prints = store.put(fingerprints(plain(docs), shingle))
     distinct = store.put(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), ID, KEY)).alias("rep")))
-    roots = connected_components(links(distinct, threshold), store)
+    roots = connected_components(links(distinct, threshold, store, dense), store)
     classes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "rep", F.coalesce("root", "fp").alias("root"))
     classes = store.put(classes)
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"), F.min("rep").alias("rep"))
@@ -254,46 +256,28 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return arrow_map(rows, run, "name long, fp long, hashes binary").dropDuplicates(["name"])
 
 
-def alike(sets: list[np.ndarray], fps: np.ndarray, side: np.ndarray, similarity: float, reach: int) -> list[tuple[int, int]]:
-    """Index pairs that connect all that pairs of the asked similarity connect: of one side -1, or else across sides.
+def comparison(similarity: float, reach: int) -> Compare:
+    """Compares fingerprints and sets of shingle hashes."""
 
-    Where two sides meet, links inside a side only save comparisons; another cell sends them.
-    """
-    across = bool(side[0] != -1)
-    label, sizes, out = np.arange(len(sets)), np.array([len(x) for x in sets]), []
-    for inside in (True, False) if across else (True,):
-        for a in range(1, len(sets)):
-            fits = np.minimum(sizes[:a], sizes[a]) >= similarity * np.maximum(sizes[:a], sizes[a]) - SLACK
-            fits &= np.bitwise_count(fps[:a] ^ fps[a]) <= reach
-            others = np.flatnonzero(fits & (label[:a] != label[a]) & ((side[:a] == side[a]) == inside))
+    def compare(values: list[pa.Array], known: np.ndarray, k: int | None) -> list[tuple[int, int]]:
+        fps, sets = values[0].to_numpy().view(np.uint64), [np.frombuffer(x.as_buffer(), dtype="<u8") for x in values[1]]
+        _, label = np.unique(known, return_inverse=True)
+        sizes, out = np.array([len(x) for x in sets]), []
+        for a in range(k or 1, len(sets)):
+            end = a if k is None else k
+            fits = np.minimum(sizes[:end], sizes[a]) >= similarity * np.maximum(sizes[:end], sizes[a]) - SLACK
+            fits &= np.bitwise_count(fps[:end] ^ fps[a]) <= reach
+            others = np.flatnonzero(fits & (label[:end] != label[a]))
             while len(others):
                 b, others = int(others[0]), others[1:]
                 common = common_count(sets[a], sets[b])
                 if common >= similarity * (sizes[a] + sizes[b] - common) - SLACK:
                     label[label == label[a]] = label[b]
                     others = others[label[others] != label[b]]
-                    if inside != across:
-                        out.append((a, b))
-    return out
-
-
-def similar_links(groups: DataFrame, similarity: float, reach: int, dense: int) -> DataFrame:
-    """``groups(grp, name, n, fp, hashes)`` → (u, v) links of sets that are as similar as asked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for table in key_groups(batches, "cell", 1_000):
-            cells, sides, names, fps = (table.column(c).to_numpy() for c in ("cell", "side", "name", "fp"))
-            hashes, u, v = table.column("hashes"), [], []
-            starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
-            for i, j in zip(starts.tolist(), np.append(starts[1:], len(cells)).tolist()):
-                sets = [np.frombuffer(x.as_buffer(), dtype="<u8") for x in hashes.slice(i, j - i)]
-                pairs = np.array(alike(sets, fps[i:j].view(np.uint64), sides[i:j], similarity, reach), dtype=np.int64).reshape(-1, 2) + i
-                u += names[pairs[:, 0]].tolist()
-                v += names[pairs[:, 1]].tolist()
-            yield {"u": u, "v": v}
+                    out.append((a, b))
+        return out
 
-    rows = dealt(groups, dense, "fp", "hashes")
-    return arrow_map(rows.repartition("cell").sortWithinPartitions("cell", "side", "name"), run, "u long, v long").distinct()
+    return compare
 
 
 def one_of_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 12, rows: int = 3, reach: int = 28, dense: int = 512) -> DataFrame:
@@ -302,9 +286,9 @@ def one_of_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, b
     sets = store.put(shingle_sets(texts, shingle, bands, rows))
     place = F.struct(F.col("doc_id").isNull().alias("n"), ID, KEY)
     distinct = store.put(sets.groupBy("name").agg(F.min(place).alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    groups = store.put(candidate_groups(distinct))
+    groups = candidate_groups(distinct, store)
     wanted = groups.select("name").distinct().join(distinct, "name").select(f"rep.{ID}", f"rep.{KEY}", "name", "fp")
-    found = similar_links(groups.join(sets_of(texts, wanted, shingle), "name"), similarity, reach, dense)
+    found = linked(groups, store.put(sets_of(texts, wanted, shingle)), ("fp", "hashes"), comparison(similarity, reach), store, dense, 1_000)
     roots = connected_components(found, store)
     classes = distinct.join(roots, distinct["name"] == roots["node"], "left").select("rep", F.coalesce("root", "name").alias("root"))
     kept = store.put(classes.groupBy("root").agg(F.min("rep").alias("rep")).select(f"rep.{ID}", f"rep.{KEY}"))
