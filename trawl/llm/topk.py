@@ -7,13 +7,18 @@ largest norm is the bucket's *local* cosine threshold: over 1 nothing there can
 pair is never shuffled; else a block picks per query block length pruning (the prefix of vectors,
 longest first, that can reach the bound) or, for thresholds near 1, coordinate pruning (a
 candidate's value on the query's strongest coordinate must lie in the feasible range).  What is
-left is verified by integer products, so results are exact, ties to the smaller vec_id.
+left is multiplied in float64, which is exact while the norms' product stays below 2**53; beyond,
+all that its rounding error leaves in doubt is multiplied again in whole numbers of any size.  So results
+are exact, ties to the smaller vec_id.  Scores that no long holds become the largest or smallest
+score, ``MOST`` or ``-MOST``, and are ranked as such.
 
 Scale: queries are a stated set (here every 50th row).  They go, in blocks of ``query_block``
 rows, only to candidate blocks that can improve them.  Blocks are bounded by row counts, as hot
 lengths (many copies of a vector) are dealt over as many blocks as they need, by id hash.
-Nulls, vectors with null or non-finite components and empty vectors take no part; only vectors of
-equal dimension are compared.  Components are integers, exact while products stay below 2**53.
+Nulls, vectors with null or non-finite components, empty vectors and vectors whose norm no double
+holds take no part; only vectors of equal dimension are compared.  Components are whole numbers, kept
+as doubles without loss.  Of rows with the same vec_id the smallest vector is the query; none of them
+is among its candidates, and for other queries each is a candidate of its own.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,37 +28,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored, arrow_map
 
 FOUND = "query_id long, vec_id long, score long"
 SLACK = 1e-9
+MOST = 2**63 - 1
 
 
 def quantized(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
-    """``vectors(vec_id, embedding)`` → vec_id, v array<long>, dim, norm; only usable rows."""
+    """``vectors(vec_id, embedding)`` → vec_id, v array<double>, dim, norm; only usable rows."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     rows = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where((F.size("embedding") > 0) & ~bad)
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return rows.withColumns({"dim": F.size("v"), "norm": norm})
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: whole(x.cast("double") * scale)).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return rows.withColumns({"dim": F.size("v"), "norm": norm}).where(F.col("norm") < float("inf"))
+
+
+def whole(x: Column) -> Column:
+    """The floor as a double; from 2**52 on every double is whole."""
+    return F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """A list column of equally long rows as float64 (integers below 2**53 stay exact)."""
+    """A list column of equally long rows as float64."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
-    """Places of the k highest scores of other rows, ties to the smaller id."""
+def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int, query: np.ndarray, vectors: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """(places, exact scores) of the k highest scores of other rows, ties to the smaller id; ``most`` bounds the products' size."""
     places = np.flatnonzero(ids != own)
+    error = 0.0 if most < 2.0**53 else most * (len(query) + 2) * 2.0**-52
     if len(places) > k:
         kth = np.partition(scores[places], len(places) - k)[len(places) - k]
-        places = places[scores[places] >= kth]
-    return places[np.lexsort((ids[places], -scores[places]))[:k]]
+        least = min(kth - 2 * error, float(MOST) * (1 - 2.0**-50)) if kth - 2 * error > -float(MOST) else -math.inf
+        places = places[scores[places] >= least]
+    if error:
+        whole = [int(x) for x in query]
+        exact = np.array([max(-MOST, min(MOST, sum(a * int(b) for a, b in zip(whole, row)))) for row in vectors[places].tolist()], dtype=np.int64)
+    else:
+        exact = scores[places].astype(np.int64)
+    order = np.lexsort((ids[places], -exact))[:k]
+    return places[order], exact[order]
 
 
 def search_block(queries: pa.Table, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray, k: int, coordinate_from: float = 0.9) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -75,8 +94,8 @@ def search_block(queries: pa.Table, ids: np.ndarray, vectors: np.ndarray, norms:
         scores = q[by_length] @ vectors[:longest].T
         for row, at, n in zip(scores, by_length, prefix):
             if n:
-                places = best(row[:n], ids[:n], q_ids[at], k)
-                yield np.full(len(places), q_ids[at]), ids[places], row[places]
+                places, exact = best(row[:n], ids[:n], q_ids[at], k, q[at], vectors, q_norms[at] * norms[0])
+                yield np.full(len(places), q_ids[at]), ids[places], exact
     if len(by_coordinate):
         unit = vectors / np.maximum(norms, 1e-300)[:, None]
         for at in by_coordinate:
@@ -85,8 +104,8 @@ def search_block(queries: pa.Table, ids: np.ndarray, vectors: np.ndarray, norms:
             spread = math.sqrt(max(0.0, (1 - u * u) * (1 - t * t))) + 1e-6
             places = np.flatnonzero((unit[:, focus] >= (u * t - spread if u * t - spread > -1 and t > -u else -1.0)) & (unit[:, focus] <= (u * t + spread if t > u else 1.0)))
             scores = vectors[places] @ q[at]
-            chosen = best(scores, ids[places], q_ids[at], k)
-            yield np.full(len(chosen), q_ids[at]), ids[places][chosen], scores[chosen]
+            chosen, exact = best(scores, ids[places], q_ids[at], k, q[at], vectors[places], q_norms[at] * norms[0])
+            yield np.full(len(chosen), q_ids[at]), ids[places][chosen], exact
 
 
 def _meet(pairs: DataFrame, k: int) -> DataFrame:
@@ -117,7 +136,7 @@ def _meet(pairs: DataFrame, k: int) -> DataFrame:
             found = list(search_block(queries, rest.column("vec_id").to_numpy()[order], matrix(rest.column("v"))[order], norms[order], k))
             if found:
                 a, b, c = (np.concatenate(x) for x in zip(*found))
-                yield {"query_id": a, "vec_id": b, "score": c.astype(np.int64)}
+                yield {"query_id": a, "vec_id": b, "score": c}
 
     return arrow_map(pairs, run, FOUND)
 
@@ -150,7 +169,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, width: float = 1.15, block:
 
     data = rows.join(F.broadcast(groups), ["dim", "bucket"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
     n_blocks = max(1, -(-total // (50 * query_block)))
-    queries = rows.where(is_query).withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)))
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "dim", "norm")).alias("q")).select("vec_id", "q.*")
+    queries = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)))
 
     def meet(asked: DataFrame, candidates: DataFrame) -> DataFrame:
         """asked: with grp, part, qb and bound; candidates: dealt to the query blocks that ask for their block."""
