@@ -5,11 +5,12 @@ frequencies and repetition, then one learned tanh layer); gated attention
 ``a = softmax(w . (tanh(V h) * sigmoid(U h)))`` weighs the passages and a logistic unit scores the
 weighted mean.  All parameters are learned together from document labels alone.
 
-Fitting takes at most ``train_docs`` labelled documents (those with the smallest hash of their
-doc_id): that bound keeps the driver's share constant.  Scoring reads every whole text in one
+Fitting takes at most ``train_docs`` labelled documents, those with the smallest hash of their doc_id,
+and of these, in that order, no more than have ``train_bytes`` bytes of text (but the first of each class):
+the bounds keep the driver's share constant, about two bytes for each byte of text.  Scoring reads every whole text in one
 scan without a shuffle; the model is some 10,000 numbers.
-Null and empty texts are one passage of zeros and get a score too.  Duplicate labels: the smallest
-counts.  If labels of one class only (or none) can be learned from, all documents get its share.
+Null and empty texts are one passage of zeros and get a score too; texts of any length are whole.
+Repeated rows are scored alike; an empty table gives no rows.  Duplicate labels: the smallest counts.  If labels of one class only (or none) can be learned from, all documents get its share.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import Stored, arrow_map
 
 PASSAGE = 512
 BLOCK = 1 << 18
@@ -175,11 +176,12 @@ class Constant:
         return np.full(len(first), self.share)
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = 6000, slice_bytes: int = 1_000_000) -> GatedAttention | Constant:
-    """Fits on at most ``train_docs`` rows of ``docs(doc_id, text)`` with a label in ``labels(doc_id, quality)``."""
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = 6000, train_bytes: int = 48_000_000, slice_bytes: int = 1_000_000) -> GatedAttention | Constant:
+    """Fits on at most ``train_docs`` rows of ``docs(doc_id, text)`` with a label in ``labels(doc_id, quality)``, of ``train_bytes`` bytes at most."""
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("__y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    store = Stored(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for part in slices(batches, slice_bytes):
@@ -188,7 +190,14 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = 6000, slice_byte
             yield {"doc_id": part.column("doc_id"), "y": part.column("__y"), "x": [x[i:j].tobytes() for i, j in zip(first, ends)]}
 
     rows = rows.select(F.col("doc_id").cast("long"), F.col("__y").cast("double"), F.col("text").cast("string"))
-    got = arrow_map(rows, run, "doc_id long, y double, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
+    encoded = store.put(arrow_map(rows, run, "doc_id long, y double, x binary"))
+    # windows over train_docs documents at most (rows, where ids repeat)
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
+    sizes = encoded.select("doc_id", "y", (F.octet_length("x") * (PASSAGE / (4 * WIDTH))).alias("size")).groupBy("doc_id", "y").agg(F.sum("size").alias("size"))
+    sizes = sizes.select("doc_id", F.sum("size").over(order).alias("total"), F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("place"))
+    fitting = sizes.where((F.col("total") <= train_bytes) | (F.col("place") == 1)).select("doc_id")
+    got = encoded.join(F.broadcast(fitting), "doc_id", "left_semi").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
+    store.drop(encoded)
     target = got.column("y").to_numpy().astype(np.float32)
     if not len(target) or target.min() == target.max():
         return Constant(float(target.mean()) if len(target) else 0.5)
