@@ -9,9 +9,10 @@ more hold a verbatim, edited or partly paraphrased copy.
 
 Scale: two scans of the documents without any shuffle of text; per batch only counts of the
 items' n-grams (first scan) and matches (second) leave a task.  Items are broadcast in blocks of
-at most ``block_bytes`` of text, however many there are; each block is a pass over all documents.
-Nulls, and items without any word, match nothing; equal items each match.  Repeated rows
-match each for itself.
+at most ``block_bytes`` of text, however many there are.  One block is held at a time: each is two
+passes over the documents, and what it finds or leaves is stored before the next.  Nulls, and items without any word, match nothing; equal items each
+match; items and texts of any length are whole.  Repeated rows match each for itself; without documents
+or items there are no matches.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import Stored, arrow_map
 
 WORD = re.compile(r"\w+")
 # Thai, Lao, Myanmar, Khmer, Tai Le and New Tai Lue, kana, bopomofo, Han, Yi, Javanese
@@ -156,12 +158,14 @@ def blocks(benchmark: DataFrame, n: int, block_bytes: int) -> Iterator[Items]:
             yield Items([tuple(r) for r in got], n)
 
 
-def seeded(docs: DataFrame, benchmark: DataFrame, n: int, rare: float, block_bytes: int) -> list[Broadcast]:
-    """Every block of items with its rare seeds, by counts over all documents."""
+def seeded(docs: DataFrame, benchmark: DataFrame, n: int, rare: float, block_bytes: int) -> Iterator[Broadcast]:
+    """Each block of items with its rare seeds, by counts over all documents; it is gone when the next is asked for."""
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.col("text").cast("string"))
-    out = []
+    last = None
     for items in blocks(benchmark, n, block_bytes):
+        if last is not None:
+            last.unpersist()
         sent = spark.sparkContext.broadcast(items)
 
         def count(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[dict]:
@@ -178,29 +182,45 @@ def seeded(docs: DataFrame, benchmark: DataFrame, n: int, rare: float, block_byt
         counts = arrow_map(texts, count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
         items.keep_rare({r[0]: r[1] for r in counts.collect()}, rare)
         sent.unpersist()
-        out.append(spark.sparkContext.broadcast(items))
-    return out
+        last = spark.sparkContext.broadcast(items)
+        yield last
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, n: int = 3, rare: float = 0.75, threshold: float = 0.5, block_bytes: int = 4_000_000) -> DataFrame:
     """``docs(doc_id, text)``, ``benchmark(item_id, text)`` → doc_id, item_id, score, first_word, end_word."""
-    sent = seeded(docs, benchmark, n, rare, block_bytes)
+    rows, store = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), Stored(docs.sparkSession)
+
+    def found(sent: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            for batch in batches:
+                hits = [(doc.as_py(), *m) for doc, text in zip(batch.column(0), batch.column(1)) if text.is_valid for m in matches(sent.value, text.as_py(), threshold)]
+                yield dict(zip(("doc_id", "item_id", "score", "first_word", "end_word"), zip(*hits) if hits else [[]] * 5))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            rows = [(doc.as_py(), *m) for doc, text in zip(batch.column(0), batch.column(1)) if text.is_valid for b in sent for m in matches(b.value, text.as_py(), threshold)]
-            yield dict(zip(("doc_id", "item_id", "score", "first_word", "end_word"), zip(*rows) if rows else [[]] * 5))
+        return arrow_map(rows, run, "doc_id long, item_id long, score double, first_word int, end_word int")
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, item_id long, score double, first_word int, end_word int")
+    parts: list[DataFrame] = []
+    for sent in seeded(docs, benchmark, n, rare, block_bytes):
+        if parts:  # stored before the next block is needed
+            parts[-1] = store.put(parts[-1])
+        parts.append(found(sent))
+    if not parts:
+        return rows.limit(0).selectExpr("doc_id", "0L AS item_id", "0D AS score", "0 AS first_word", "0 AS end_word")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 3, rare: float = 0.75, threshold: float = 0.5, block_bytes: int = 4_000_000) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text holds no item; nothing is shuffled."""
-    sent = seeded(docs, benchmark, n, rare, block_bytes)
+    store = Stored(docs.sparkSession)
+
+    def free_of(left: DataFrame, sent: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                free = [not (x.is_valid and matches(sent.value, x.as_py(), threshold)) for x in batch.column("text").cast(pa.string())]
+                yield batch.filter(pa.array(free, type=pa.bool_()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            free = [not (x.is_valid and any(matches(b.value, x.as_py(), threshold) for b in sent)) for x in batch.column("text").cast(pa.string())]
-            yield batch.filter(pa.array(free, type=pa.bool_()))
+        return left.mapInArrow(run, docs.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    left = docs
+    for sent in seeded(docs, benchmark, n, rare, block_bytes):
+        left = free_of(docs if left is docs else store.put(left), sent)
+    return left
