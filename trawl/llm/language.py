@@ -7,6 +7,8 @@ with every profile by out-of-place distance (an n-gram that a profile lacks cost
 Scale: training emits one row per (language, n-gram) and batch and combines them map-side; the
 models are ``top`` numbers per language.  Scoring is a scan without a shuffle.
 Null texts and texts without a letter: ``und``, score 0.  Without training rows all are ``und``.
+Texts of any length are whole.  Repeated rows teach as often as they occur and get equal results;
+empty tables give no rows.
 Ties: the n-gram with the smaller code, the language first in the alphabet.
 """
 
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stored, arrow_map
@@ -81,10 +83,13 @@ def train(rows: DataFrame, top: int = 400) -> dict[str, list[int]]:
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
     store = Stored(rows.sparkSession)
     counts = store.put(arrow_map(rows, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
-    out = {x: [r[0] for r in counts.where(F.col("lang") == x).orderBy(F.desc("n"), "gram").limit(top).select("gram").collect()] for x in langs}
+    # ``top`` rows for each language, cut before the exchange
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    out: dict[str, list[int]] = {}
+    for lang, gram in counts.withColumn("place", place).where(F.col("place") <= top).orderBy("lang", "place").select("lang", "gram").collect():
+        out.setdefault(lang, []).append(gram)
     store.drop(counts)
-    return {k: v for k, v in out.items() if v}
+    return out
 
 
 def distances(text: str, codes: np.ndarray, ranks: np.ndarray, top: int) -> tuple[np.ndarray, int]:

@@ -8,7 +8,8 @@ Scale: texts are tokenized where they are read and never shuffled; only 44-byte
 They are dealt by doc_id in lots of ``lot`` pieces, so no task depends on a source or a copy
 group, and each task leaves at most ``open_bins`` sequences unfilled.
 Nulls and empty texts count as empty: one piece, the separator.  A document longer than a
-sequence is cut into full sequences with the remainder as its *first* piece.
+sequence is cut into full sequences with the remainder as its *first* piece; texts of any length
+are whole.  Repeated rows are packed as often as they occur; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ is allowed if the host's posterior mean less ``z`` posterior standard deviations
 Scale: the three levels are map-side combined counts; pages are read once for ids and urls (not
 html) and joined by host, where adaptive execution splits a hot host or broadcasts a small table.
 Null urls, and urls without ``://``: empty host and path, judged by the overall rate.  Null
-outcomes teach nothing.  Registered domain: the last two labels; suffix: the last one.
+outcomes teach nothing, of several outcomes of a page the worst counts.  Repeated rows are judged
+alike and count as often as they occur; urls of any length are whole; an empty table gives no rows.
+Registered domain: the last two labels; suffix: the last one.
 """
 
 from __future__ import annotations
