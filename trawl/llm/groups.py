@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, arrow_map, as_long, connected_components, group_pieces, key_groups, local_components, mix
+from .common import Stored, arrow_map, as_long, group_pieces, key_groups, local_components, mix
 
 OTHERS = 1024
 #: (what is compared, labels of what is connected already, k) -> index pairs that connect what similar
@@ -106,25 +106,22 @@ def linked(groups: DataFrame, values: DataFrame, columns: tuple[str, ...], compa
     large = groups.where(F.col("n") > dense)
     if large.isEmpty():
         return links.distinct()
-    members, level, size = large.select("grp", "name"), 0, large.count()
+    members, labels, level, size = large.select("grp", "name"), large.withColumn("label", F.col("name")), 0, large.count()
     while True:
         level += 1
         found = store.put(inside(members.join(counted(members), "grp"), level))
         links = links.unionByName(found.select("u", "v"))
         members = store.put(members.join(found.select("grp", F.col("v").alias("name")), ["grp", "name"], "left_anti"))
+        labels = labels.join(found.select("grp", "u", F.col("v").alias("label")), ["grp", "label"], "left").select("grp", "name", "n", F.coalesce("u", "label").alias("label"))
         left = members.count()
-        if left > size // 2 or not left:
+        if left > size // 2:
             break
         size = left
-    links = store.put(links.distinct())
-    return links.unionByName(outside(large, values, columns, compare, links, store, dense, rows)).distinct()
+    return links.unionByName(outside(store.put(labels), values, columns, compare, store, dense, rows)).distinct()
 
 
-def outside(large: DataFrame, values: DataFrame, columns: tuple[str, ...], compare: Compare, links: DataFrame, store: Stored, dense: int, rows: int) -> DataFrame:
-    """Links between names outside their group's largest component so far and all names of other components."""
-    roots = connected_components(links, store)
-    members = large.join(roots, large["name"] == roots["node"], "left").select("grp", "name", "n", F.coalesce("root", "name").alias("label"))
-    members = store.put(members)
+def outside(members: DataFrame, values: DataFrame, columns: tuple[str, ...], compare: Compare, store: Stored, dense: int, rows: int) -> DataFrame:
+    """Links between names outside their group's largest component so far (``members(grp, name, label)``) and all names of other components."""
     sizes = members.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("m"))
     largest = sizes.groupBy("grp").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("m"))
     largest = store.put(largest.where("m < all").select("grp", "main", F.ceil((F.col("all") - F.col("m")) / dense).alias("blocks"), F.ceil(F.col("all") / OTHERS).alias("parts")))

@@ -33,7 +33,6 @@ from .groups import Compare, candidate_groups, linked
 
 PLACES = 64
 BASE = 0x9E3779B97F4A7C15
-MASK = (1 << 64) - 1
 
 
 def normalized(line: str) -> str:
@@ -115,13 +114,9 @@ class Lines:
         return common >= self.similarity * (len(one) + len(two) - common)
 
 
-def signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
-
-
 def name(line: str) -> int:
     """A normalized line's hash, as a signed long."""
-    return signed(xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 7))
+    return int.from_bytes(xxhash.xxh64_digest(line.encode("utf-8", "surrogatepass"), 7), "big", signed=True)
 
 
 def minima(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -178,13 +173,13 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def occurrences(docs: DataFrame, shingle: int, bands: int, rows: int, min_chars: int, short: bool = False, digest: Callable[[bytes], int] = xxhash.xxh3_128_intdigest) -> DataFrame:
+def occurrences(docs: DataFrame, shingle: int, bands: int, rows: int, min_chars: int, short: bool = False, digest: Callable[[bytes], bytes] = xxhash.xxh3_128_digest) -> DataFrame:
     """``docs(ID, KEY, text)`` → ID, KEY, line (place), name and check (two halves of ``digest``), keys (the bands; null but at a name's first sight in a batch, and for lines under ``min_chars``)."""
     least = 1 if short else min_chars
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            ids, keys, places, names, checks, fresh, seen, starts = [], [], [], [], [], [], set(), []
+            ids, keys, places, names, fresh, seen, starts = [], [], [], [], [], set(), []
             for doc, key, text in zip(batch.column(ID).to_pylist(), batch.column(KEY).to_pylist(), batch.column("text")):
                 for k, line in enumerate((text.as_py() or "").split("\n")):
                     if len(line) >= least and len(line := normalized(line)) >= least:
@@ -196,8 +191,7 @@ def occurrences(docs: DataFrame, shingle: int, bands: int, rows: int, min_chars:
                         ids.append(doc)
                         keys.append(key)
                         places.append(k)
-                        names.append(signed(n & MASK))
-                        checks.append(signed(n >> 64))
+                        names.append(n)
             found: list = [None] * len(ids)
             i = 0
             while i < len(fresh):
@@ -208,7 +202,8 @@ def occurrences(docs: DataFrame, shingle: int, bands: int, rows: int, min_chars:
                 for at, row in zip(starts[i:j], as_long(band_keys(signatures(fresh[i:j], shingle, bands * rows), bands, rows)).tolist()):
                     found[at] = row
                 i = j
-            yield {ID: ids, KEY: keys, "line": places, "name": names, "check": checks, "keys": found}
+            halves = np.frombuffer(b"".join(names), dtype=">i8").astype(np.int64).reshape(-1, 2)
+            yield {ID: ids, KEY: keys, "line": places, "name": halves[:, 1], "check": halves[:, 0], "keys": found}
 
     return arrow_map(docs.select(ID, KEY, "text"), run, f"{ID} long, {KEY} long, line int, name long, check long, keys array<long>")
 
@@ -267,7 +262,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return arrow_map(rows, run, "name long, text string")
 
 
-def duplicate_lines(docs: DataFrame, shingle: int = 8, similarity: float = 0.8, bands: int = 8, rows: int = 3, min_chars: int = 10, dense: int = 128, short: bool = False, digest: Callable[[bytes], int] = xxhash.xxh3_128_intdigest) -> tuple[DataFrame, DataFrame]:
+def duplicate_lines(docs: DataFrame, shingle: int = 8, similarity: float = 0.8, bands: int = 8, rows: int = 3, min_chars: int = 10, dense: int = 128, short: bool = False, digest: Callable[[bytes], bytes] = xxhash.xxh3_128_digest) -> tuple[DataFrame, DataFrame]:
     """``docs(doc_id, text)`` → (lines: ID, KEY, line, name, keys; removed: ID, KEY, line)."""
     store, docs = Stored(docs.sparkSession), plain(docs)
     lines, firsts = first_places(store.put(occurrences(docs, shingle, bands, rows, min_chars, short, digest)), store)
