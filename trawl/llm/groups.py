@@ -96,20 +96,21 @@ def linked(groups: DataFrame, values: DataFrame, columns: tuple[str, ...], compa
     ``rows``: how many rows, about, a task holds of small groups.
     """
 
-    def inside(members: DataFrame, level: int) -> DataFrame:
+    def inside(members: DataFrame, values: DataFrame, level: int) -> DataFrame:
         """Links within the parts of groups, ``members(grp, name, n)``."""
         part = F.pmod(F.xxhash64("name", F.lit(level)), F.ceil(F.col("n") / dense))
         cells = members.withColumns({"cell": F.xxhash64("grp", part), "side": F.lit(-1).cast("long"), "label": F.col("name")})
         return compared(cells.join(values, "name"), compare, columns, rows)
 
-    links = inside(groups.where(F.col("n") <= dense), 0).select("u", "v")
+    links = inside(groups.where(F.col("n") <= dense), values, 0).select("u", "v")
     large = groups.where(F.col("n") > dense)
     if large.isEmpty():
         return links.distinct()
     members, labels, level, size = large.select("grp", "name"), large.withColumn("label", F.col("name")), 0, large.count()
+    values = store.put(values.join(large.select("name").distinct(), "name", "left_semi"))
     while True:
         level += 1
-        found = store.put(inside(members.join(counted(members), "grp"), level))
+        found = store.put(inside(members.join(counted(members), "grp"), values, level))
         links = links.unionByName(found.select("u", "v"))
         members = store.put(members.join(found.select("grp", F.col("v").alias("name")), ["grp", "name"], "left_anti"))
         labels = labels.join(found.select("grp", "u", F.col("v").alias("label")), ["grp", "label"], "left").select("grp", "name", "n", F.coalesce("u", "label").alias("label"))
