@@ -7,7 +7,7 @@ average length and document frequencies, so only one row is exchanged.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -24,39 +24,58 @@ def occurrences(words: str, term: str) -> Column:
     return F.size(F.filter(words, lambda x: x == term)).cast("double")
 
 
+def counted(docs: DataFrame, terms: list[str], *keep: str, text_col: str = "text") -> DataFrame:
+    """``keep`` columns, __len (tokens) and __tf0, __tf1, ... (of each term); one pass over the text, narrow rows."""
+    rows = docs.select(*keep, tokens(F.col(text_col)).alias("__t"))
+    return rows.select(*keep, F.size("__t").cast("double").alias("__len"), *[occurrences("__t", w).alias(f"__tf{k}") for k, w in enumerate(terms)])
+
+
+def statistics(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """One row: __n, __mean and __df0, __df1, ..."""
+    return rows.agg(F.count(F.lit(1)).cast("double").alias("__n"), F.avg("__len").alias("__mean"), *[F.sum((F.col(f"__tf{k}") > 0).cast("double")).alias(f"__df{k}") for k in range(len(terms))])
+
+
+def scored(rows: DataFrame, stats: DataFrame, terms: list[str], *keep: str) -> DataFrame:
+    """``keep`` and bm25 of the rows of ``counted`` that hold any of the terms."""
+    rows = rows.where(" OR ".join(f"__tf{k} > 0" for k in range(len(terms)))).crossJoin(F.broadcast(stats)).where(F.col("__n") >= LEAST)
+    total = sum((weight(F.col(f"__tf{k}"), F.col(f"__df{k}"), F.col("__len"), F.col("__mean"), F.col("__n")) for k in range(len(terms))), F.lit(0.0))
+    return rows.select(*keep, total.alias("bm25"))
+
+
 def score(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, bm25) of the documents that hold any of the terms."""
     terms = sorted(set(terms))
     if not terms:
         return docs.select(id_col, F.lit(0.0).alias("bm25")).limit(0)
-    t = tokens(F.col(text_col))
-    counted = docs.select(id_col, t.alias("__t")).select(id_col, F.size("__t").cast("double").alias("__len"), *[occurrences("__t", w).alias(f"__tf{k}") for k, w in enumerate(terms)])
-    stats = counted.agg(F.count(F.lit(1)).cast("double").alias("__n"), F.avg("__len").alias("__mean"), *[F.sum((F.col(f"__tf{k}") > 0).cast("double")).alias(f"__df{k}") for k in range(len(terms))])
-    rows = counted.where(" OR ".join(f"__tf{k} > 0" for k in range(len(terms)))).crossJoin(F.broadcast(stats)).where(F.col("__n") >= LEAST)
-    total = sum((weight(F.col(f"__tf{k}"), F.col(f"__df{k}"), F.col("__len"), F.col("__mean"), F.col("__n")) for k in range(len(terms))), F.lit(0.0))
-    return rows.select(id_col, total.alias("bm25"))
+    rows = counted(docs, terms, id_col, text_col=text_col)
+    return scored(rows, statistics(rows, terms), terms, id_col)
 
 
 def top_k(docs: DataFrame, terms: list[str], k: int, id_col: str = "doc_id") -> DataFrame:
     return score(docs, terms, id_col).orderBy(F.desc("bm25"), id_col).limit(k)
 
 
-def score_many(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", query_col: str = "item_id") -> DataFrame:
+def score_many(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", query_col: str = "item_id", broadcast_terms: int = 200_000, parts: int = 64) -> DataFrame:
     """Top k documents for each of many queries: (query, id, bm25, rank).
 
-    Postings are built only for terms that a query has (a semi join before the term counts), and
-    the per-query cut is a rank window, which Spark limits before it shuffles.
+    Terms that no query has are dropped where the text is read, before anything is exploded, if there are at most
+    ``broadcast_terms`` asked ones (counted first), else by a semi join.  A document counts its terms in its own
+    row, so no (document, term) pairs are exchanged to count them.  Postings of a common term are dealt over
+    ``parts`` parts of the documents when they meet the queries, and each query keeps its best k of a part.
     """
-    lengths = docs.select(id_col, tokens(F.col("text")).alias("__t")).withColumn("__len", F.size("__t").cast("double"))
-    asked = queries.select(query_col, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    stats = lengths.agg(F.count(F.lit(1)).cast("double").alias("__n"), F.avg("__len").alias("__mean"))
-    postings = lengths.select(id_col, "__len", F.explode("__t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = postings.groupBy("term", id_col, "__len").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    asked = queries.select(query_col, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
+    terms = asked.select("term").distinct()
+    rows = docs.select(id_col, tokens(F.col("text")).alias("__t")).withColumn("__len", F.size("__t").cast("double"))
+    few = terms.limit(broadcast_terms + 1).count() <= broadcast_terms
+    words = rows.select(id_col, "__len", F.explode("__t").alias("term")).join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    tf = words.groupBy(id_col, "__len", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    stats = rows.agg(F.count(F.lit(1)).cast("double").alias("__n"), F.avg("__len").alias("__mean"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    hits = tf.join(df, "term").crossJoin(F.broadcast(stats)).where(F.col("__n") >= LEAST)
-    hits = hits.select("term", id_col, weight(F.col("tf"), F.col("df"), F.col("__len"), F.col("__mean"), F.col("__n")).alias("w"))
-    scored = asked.join(hits, "term").groupBy(query_col, id_col).agg(F.round(F.sum("w"), 6).alias("bm25"))
-    from pyspark.sql import Window
-
+    weighted = asked.join(df, "term").crossJoin(F.broadcast(stats)).where(F.col("__n") >= LEAST)
+    part = F.pmod(F.xxhash64(id_col), F.lit(parts))
+    dealt = weighted.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    hits = tf.withColumn("__part", part).join(dealt, ["term", "__part"])
+    w = weight(F.col("tf"), F.col("df"), F.col("__len"), F.col("__mean"), F.col("__n"))
+    found = hits.groupBy(query_col, id_col).agg(F.round(F.sum(w), 6).alias("bm25"))
     rank = F.row_number().over(Window.partitionBy(query_col).orderBy(F.desc("bm25"), id_col))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)

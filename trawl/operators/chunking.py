@@ -1,9 +1,10 @@
 """Splitting sources into chunks: size limits, line packing, grouping, parsers.
 
 Line packing and node grouping are sequential folds over one file, so they run inside a file's own
-row (``mapInArrow`` over files, no shuffle and no group of files); size rules are expressions.
-Parsers are plug-ins.  Those here (Python, Markdown, JSON, brace languages, plain text) need no
-grammar files; their boundaries approximate those of full parsers.
+row (``mapInPandas`` over files, no shuffle and no group of files); size rules are expressions.
+Parsers are plug-ins.  Those here (Python, Markdown, JSON, languages with braces, with ``end`` or with
+definitions at the left edge, HTML, CSS) need no grammar files; their boundaries approximate those of
+full parsers.  Strings and comments are blanked before blocks are sought.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ import hashlib
 import json
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,8 +142,20 @@ def json_nodes(text: str) -> list[Node]:
     return [Node("pair", m[1], m.start(), m.end()) for m in re.finditer(r'(?m)^(?: {2}|\t)"([^"]+)"\s*:.*$', text)]
 
 
-def brace_nodes(text: str) -> list[Node]:
-    head = re.compile(r"(?m)^[ \t]*(?:(?:export|default|public|private|protected|static|async|final|abstract|pub|inline)\s+)*(?:(class|interface|struct|trait|impl|enum)\s+(\w+)|(?:function|func|fn|def|fun)\s+(\w+)|[\w<>\[\]*&:]+\s+(\w+)\s*\([^;{}]*\))[^;{}]*\{")
+HIDDEN = re.compile(r'/\*[\s\S]*?\*/|//[^\n]*|"(?:\\.|[^"\\\n])*"|' r"'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`")
+HIDDEN_HASH = re.compile(r'#[^\n]*|"(?:\\.|[^"\\])*"|' r"'(?:\\.|[^'\\])*'")
+HEAD = re.compile(r"(?m)^[ \t]*(?:(?:export|default|public|private|protected|static|async|final|abstract|pub|inline)\s+)*(?:(class|interface|struct|trait|impl|enum)\s+(\w+)|(?:function|func|fn|def|fun)\s+(\w+)|[\w<>\[\]*&:]+\s+(\w+)\s*\([^;{}]*\))[^;{}]*\{")
+SHELL_HEAD = re.compile(r"(?m)^[ \t]*(?:function\s+)?()()()([\w-]+)\s*\(\)\s*\{")
+RULE_HEAD = re.compile(r"()()()([^{};\s][^{};]*?)\s*\{")
+
+
+def blanked(text: str, hidden: re.Pattern = HIDDEN) -> str:
+    """The text with strings and comments as blanks, all places unchanged."""
+    return hidden.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+
+
+def brace_nodes(text: str, head: re.Pattern = HEAD, hidden: re.Pattern = HIDDEN) -> list[Node]:
+    text = blanked(text, hidden)
 
     def walk(begin: int, stop: int) -> tuple[Node, ...]:
         found, at = [], begin
@@ -160,11 +175,51 @@ def brace_nodes(text: str) -> list[Node]:
     return list(walk(0, len(text)))
 
 
-PARSERS: dict[str, Callable[[str], list[Node]]] = {"python": python_nodes, "markdown": markdown_nodes, "json": json_nodes} | dict.fromkeys(("javascript", "typescript", "tsx", "php", "java", "go", "c", "cpp", "csharp", "rust", "scala", "swift", "kotlin"), brace_nodes)
+def shell_nodes(text: str) -> list[Node]:
+    return brace_nodes(text, SHELL_HEAD, HIDDEN_HASH)
+
+
+def style_nodes(text: str) -> list[Node]:
+    return brace_nodes(text, RULE_HEAD)
+
+
+def end_nodes(text: str) -> list[Node]:
+    """Definitions that close with an ``end`` at their own indent."""
+
+    def walk(begin: int, stop: int) -> tuple[Node, ...]:
+        found, at = [], begin
+        head = re.compile(r"(?m)^([ \t]*)(?:local[ \t]+)?(class|module|defmodule|defp|def|function)[ \t]+([\w.:?!]+)[^\n]*\n?")
+        while (m := head.search(text, at, stop)) is not None:
+            close = re.compile(rf"(?m)^{m[1]}end\b[^\n]*").search(text, m.end(), stop)
+            end = close.end() if close else stop
+            found.append(Node("class" if m[2] in ("class", "module", "defmodule") else "function", m[3], m.start(), end, walk(m.end(), end)))
+            at = end
+        return tuple(found)
+
+    return list(walk(0, len(text)))
+
+
+def edge_nodes(text: str) -> list[Node]:
+    """Definitions that start at the left edge and reach to the next."""
+    heads = list(re.finditer(r"(?m)^(?:let(?:[ \t]+rec)?[ \t]+|type[ \t]+|module[ \t]+|data[ \t]+|class[ \t]+|newtype[ \t]+)?([A-Za-z_][\w']*)[^\n=:]*(?:::|=)", text))
+    heads = [m for k, m in enumerate(heads) if not k or heads[k - 1][1] != m[1]]
+    return [Node("definition", m[1], m.start(), e) for m, e in zip(heads, [m.start() for m in heads[1:]] + [len(text)])]
+
+
+def markup_nodes(text: str) -> list[Node]:
+    return [Node("element", m[2] or m[1].lower(), m.start(), m.end()) for m in re.finditer(r"""(?is)<(script|style|section|article|template|main|header|footer|nav|form|table)\b(?:[^>]*?\bid="([^"]*)")?[^>]*>.*?</\1>""", text)]
+
 
+PARSERS: dict[str, Callable[[str], list[Node]]] = {"python": python_nodes, "markdown": markdown_nodes, "json": json_nodes, "bash": shell_nodes, "css": style_nodes, "html": markup_nodes}
+PARSERS |= dict.fromkeys(("javascript", "typescript", "tsx", "php", "java", "go", "c", "cpp", "csharp", "rust", "scala", "swift", "kotlin"), brace_nodes)
+PARSERS |= dict.fromkeys(("ruby", "lua", "elixir"), end_nodes) | dict.fromkeys(("ocaml", "haskell"), edge_nodes)
+COUNTS = ("nodes", "normal", "subdivided", "merged_small", "skipped_small", "statement_fallback", "file_grouped", "functions_grouped")
 
-def chunk_file(path: str, text: str, lang: str, limits: Limits) -> Iterator[dict]:
-    """The chunks of one file.  Nested nodes are chunks too; what cannot be parsed is one chunk of type file."""
+
+def chunk_file(path: str, text: str, lang: str, limits: Limits, counts: Counter | None = None) -> Iterator[dict]:
+    """The chunks of one file.  Nested nodes are chunks too; what cannot be parsed is one chunk of type file.
+    ``counts`` takes the number of each decision, by the names in ``COUNTS``."""
+    counts = Counter() if counts is None else counts
 
     def row(symbol: str, kind: str, start: int, code: str) -> dict:
         sha = hashlib.sha1(code.encode("utf-8", "surrogatepass")).hexdigest()
@@ -173,20 +228,29 @@ def chunk_file(path: str, text: str, lang: str, limits: Limits) -> Iterator[dict
 
     def emit(node: Node, has_parent: bool) -> Iterator[dict]:
         code = text[node.start : node.end]
+        counts["nodes"] += 1
         if len(code) <= limits.largest:
             if len(code) >= limits.smallest or not has_parent:
+                counts["normal"] += 1
                 yield row(node.name, node.kind, node.start, code)
+            else:
+                counts["skipped_small"] += 1
             return
         if not node.children:
+            counts["statement_fallback"] += 1
             for k, (_, _, part) in enumerate(pack_lines(code, limits)):
                 yield row(f"{node.name}_part{k + 1}", node.kind, node.start + code.find(part), part)
             return
+        counts["subdivided"] += 1
         small = [c for c in node.children if c.end - c.start < limits.smallest]
         for child in node.children:
             if child not in small:
                 yield from emit(child, True)
         if small and (sum(c.end - c.start for c in small) >= limits.smallest or len(small) >= 3):
+            counts["merged_small"] += 1
             yield row(f"{node.name}_merged", node.kind, small[0].start, "\n\n".join(text[c.start : c.end] for c in small))
+        else:
+            counts["skipped_small"] += len(small)
 
     try:
         parser = PARSERS.get(lang)
@@ -207,6 +271,7 @@ def chunk_file(path: str, text: str, lang: str, limits: Limits) -> Iterator[dict
                 yield from emit(nodes[group[0]], False)
             else:
                 members = [nodes[k] for k in group]
+                counts.update({"nodes": len(members), "file_grouped": 1, "functions_grouped": len(members)})
                 yield row(members[0].name, f"{members[0].kind}_group_{len(members)}", members[0].start, "\n\n".join(text[n.start : n.end] for n in members))
         grouped = {k for g in tops if len(g) > 1 for k in g}
         for k, n in enumerate(nodes):
@@ -232,6 +297,52 @@ def chunk(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return files.select("path", "lang", "content").mapInPandas(run, CHUNK)
 
 
+def chunk_statistics(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """``files(path, lang, content)`` → one row with a count for each kind of decision."""
+    import pandas as pd
+
+    def run(frames: Iterator) -> Iterator:
+        for frame in frames:
+            counts: Counter = Counter()
+            for path, lang, text in zip(frame["path"], frame["lang"], frame["content"]):
+                if text:
+                    for _ in chunk_file(path, text, lang, limits, counts):
+                        pass
+            yield pd.DataFrame([[counts[c] for c in COUNTS]], columns=list(COUNTS))
+
+    parts = files.select("path", "lang", "content").mapInPandas(run, ", ".join(f"{c} long" for c in COUNTS))
+    return parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS])
+
+
+def fits(text: Column, tokens: Column, limit: int, chars_a_token: int = 4) -> Column:
+    """Are there at most ``limit`` tokens?  A text of so few bytes that it must fit, or so many characters for the
+    asked share that it can't, is not counted: ``tokens`` is evaluated for the rest only."""
+    return F.when(F.octet_length(text) <= limit, True).when(F.length(text) > 16 * chars_a_token * limit, False).otherwise(tokens <= limit)
+
+
+def count_tokens(text: Column, ranks: str, pattern: str = r"\w+|[^\w\s]+|\s+") -> Column:
+    """Tokens of each text by a vocabulary file (``ranks``: base64 token and rank a line); each task loads it once."""
+    import pandas as pd
+
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        encoding = _encoding(ranks, pattern)
+        return texts.map(lambda t: 0 if t is None else len(encoding.encode_ordinary(t)))
+
+    return run(text)
+
+
+@lru_cache(maxsize=4)
+def _encoding(ranks: str, pattern: str):  # type: ignore[no-untyped-def]
+    import base64
+
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("counter", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
+
 def chunk_lines(docs: DataFrame, limits: Limits, id_col: str = "doc_id") -> DataFrame:
     """``docs(id, text)`` → id, part, first_line, last_line, n_chars."""
     import pandas as pd

@@ -28,14 +28,3 @@ def newest(chunks: DataFrame, keep: int = 200) -> DataFrame:
     """The newest chunks of each conversation's context, oldest insertions go first."""
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("inserted"), "sha"))
     return chunks.withColumn("__rank", rank).where(F.col("__rank") <= keep).drop("__rank")
-
-
-def build_prompt(results: DataFrame, query: str, top: int = 10) -> str:
-    """The prompt for the best results (path, symbol, lang, score, code): a bounded number of rows on the driver."""
-    from ..functions.text import sanitize
-
-    safe = results.orderBy(F.desc("score"), "path").limit(top)
-    safe = safe.select(*[sanitize(F.col(c).cast("string"), 200).alias(c) for c in ("path", "symbol", "lang")], F.round("score", 2).alias("score"), sanitize(F.col("code"), 4000).alias("code"))
-    asked = results.sparkSession.range(1).select(sanitize(F.lit(query)).alias("q")).first()[0]
-    parts = [f"### {r['path']} · {r['symbol']} ({r['lang']}, {r['score']})\n{r['code']}" for r in safe.collect()]
-    return "Answer from these excerpts; cite each as [symbol](path).\n\n" + "\n\n".join(parts) + f"\n\nQuestion: {asked}"

@@ -9,13 +9,23 @@ from pyspark.sql import functions as F
 def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """``calls(src, file, ord, name)``, ``symbols(sha, file, name, place)`` → src, dst, ord.
 
-    A call goes to the symbol of that name in the caller's file, else to the first in order;
-    never to the caller itself.
+    A call goes to the symbol of that name in the caller's file, else to the first in order; never to the caller
+    itself.  Symbols are first reduced to the best two of a name and of a name in a file (one may be the caller),
+    so a name with countless definitions costs a caller one row.
     """
-    s = symbols.select(F.col("sha").alias("dst"), F.col("file").alias("__file"), F.lower(F.trim("name")).alias("__name"), "place")
-    rows = calls.withColumn("__name", F.lower(F.trim("name"))).join(s, "__name").where("dst <> src")
-    best = F.row_number().over(Window.partitionBy("src", "ord", "__name").orderBy(F.desc(F.col("file") == F.col("__file")), "place", "dst"))
-    return rows.withColumn("__rank", best).where("__rank = 1").select("src", "dst", "ord")
+    s = symbols.select("sha", F.col("file").alias("__file"), F.lower(F.trim("name")).alias("__name"), "place")
+
+    def firsts(*keys: str) -> DataFrame:
+        best = s.groupBy(*keys, "sha").agg(F.min("place").alias("place"))
+        first = best.groupBy(*keys).agg(F.min(F.struct("place", "sha")).alias("a"))
+        second = best.join(first, list(keys)).where(F.col("sha") != F.col("a.sha")).groupBy(*keys).agg(F.min(F.struct("place", "sha")).alias("b"))
+        return first.join(second, list(keys), "left")
+
+    pick = lambda a, b: F.when(F.col(f"{a}.sha") != F.col("src"), F.col(f"{a}.sha")).otherwise(F.col(f"{b}.sha"))
+    rows = calls.withColumn("__name", F.lower(F.trim("name"))).withColumnRenamed("file", "__file")
+    own = firsts("__name", "__file").withColumnsRenamed({"a": "oa", "b": "ob"})
+    rows = rows.join(firsts("__name"), "__name").join(own, ["__name", "__file"], "left")
+    return rows.select("src", F.coalesce(pick("oa", "ob"), pick("a", "b")).alias("dst"), "ord").where("dst IS NOT NULL")
 
 
 def neighbours(edges: DataFrame, out_limit: int = 12, both_limit: int = 24) -> DataFrame:

@@ -26,10 +26,14 @@ def intent_boost(intent: Column, query: Column) -> Column:
     return F.when(F.coalesce(F.instr(query, F.lower(intent)) > 0, F.lit(False)) & (F.length(intent) > 0), 0.2).otherwise(0.0)
 
 
+def boosts(path: Column, tags: Column, intent: Column, query: Column) -> Column:
+    """What a candidate's path, tags and intent add to its similarity."""
+    return intent_boost(intent, query) + tag_boost(tags, query) + F.when(is_doc_file(path), 0.15).otherwise(0.0)
+
+
 def candidate_score(similarity: Column, path: Column, tags: Column, intent: Column, query: Column) -> tuple[Column, Column]:
     """(score, boost); the boost leaves out the one for documentation files."""
-    boost = intent_boost(intent, query) + tag_boost(tags, query)
-    return clip(similarity + boost + F.when(is_doc_file(path), 0.15).otherwise(0.0)), boost
+    return clip(similarity + boosts(path, tags, intent, query)), intent_boost(intent, query) + tag_boost(tags, query)
 
 
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
@@ -68,16 +72,19 @@ def symbol_boost(own: Column, neighbour: Column) -> Column:
     return F.least(F.lit(0.45), 0.3 * own + 0.15 * F.coalesce(neighbour, F.lit(0.0)))
 
 
-def boosted_order(df: DataFrame) -> DataFrame:
-    """By (score, boost, rrf) if any row has a symbol boost, else by rrf."""
+def boosted_order(df: DataFrame, limit: int, by_score: bool = False) -> DataFrame:
+    """By (score, boost, rrf) if any row has a symbol boost, else by rrf; of the best ``limit`` by rrf, or with
+    ``by_score`` (for lists that are cut already) of all rows."""
+    fused = [F.desc("rrf"), *[F.asc_nulls_last(c) for c in ("vrank", "brank") if c in df.columns], F.col("id")]
+    cut = df if by_score else df.orderBy(*fused).limit(limit)
     any_boost = F.max(F.col("symbol_boost") > 0).over(Window.partitionBy())
-    return df.withColumn("__any", any_boost).orderBy(F.when(F.col("__any"), F.col("score")).desc_nulls_last(), F.when(F.col("__any"), F.col("symbol_boost")).desc_nulls_last(), F.desc("rrf"), "id").drop("__any")
+    return cut.withColumn("__any", any_boost).orderBy(F.when(F.col("__any"), F.col("score")).desc_nulls_last(), F.when(F.col("__any"), F.col("symbol_boost")).desc_nulls_last(), *fused).drop("__any")
 
 
 def best_per(df: DataFrame, key: str, score: str, *ties: str) -> DataFrame:
-    """One row for each key, the highest score."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), *ties))
-    return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    """One row for each key, the highest score; map-side combined."""
+    best = F.min_by(F.struct(*df.columns), F.struct((-F.col(score)).alias("__score"), *ties))
+    return df.groupBy(key).agg(best.alias("__row")).select("__row.*")
 
 
 def rerank(df: DataFrame, scorer: Callable[[list[str]], list[float]], top: int = 50, text: str = "text") -> DataFrame:

@@ -11,6 +11,7 @@ import gzip
 import hashlib
 import hmac
 import os
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -51,9 +52,17 @@ def compress(text: Column) -> Column:
 
 
 def decompress(payload: Column) -> Column:
+    """The text of a gzip payload; null where it is damaged."""
+
+    def text(data: bytes | None) -> str | None:
+        try:
+            return None if data is None else gzip.decompress(bytes(data)).decode("utf-8", "replace")
+        except (OSError, EOFError, zlib.error):
+            return None
+
     @F.pandas_udf("string")
     def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda b: None if b is None else gzip.decompress(bytes(b)).decode("utf-8", "replace"))
+        return x.map(text)
 
     return run(payload)
 
@@ -76,7 +85,8 @@ def write_blobs(chunks: DataFrame, master: bytes | None = None) -> DataFrame:
 
 
 def read_blobs(blobs: DataFrame, keys: list[bytes] = []) -> DataFrame:  # noqa: B006
-    """sha, code, error: null, ``encrypted`` (no key fits), ``version`` (from the future) or ``damaged``.
+    """sha, code, error: null, ``encrypted`` (no given key has the payload's id), ``failed`` (authentication),
+    ``version`` (from the future), ``damaged`` or ``missing`` (a null payload); no row stops the job.
 
     The key whose id stands in the header is tried first, then the others; version 1 has no key id.
     """
@@ -86,6 +96,9 @@ def read_blobs(blobs: DataFrame, keys: list[bytes] = []) -> DataFrame:  # noqa:
         for frame in frames:
             out = []
             for sha, payload, encrypted in zip(frame["sha"], frame["payload"], frame["encrypted"]):
+                if payload is None:
+                    out.append((sha, None, None, [], "missing"))
+                    continue
                 payload = bytes(payload)
                 if not encrypted:
                     out.append((sha, payload, None, [], None))
@@ -95,14 +108,43 @@ def read_blobs(blobs: DataFrame, keys: list[bytes] = []) -> DataFrame:  # noqa:
                     out.append((sha, None, None, [], "version" if version else "damaged"))
                     continue
                 at = 9 if version == 1 else 17
-                fitting = sorted(keys, key=lambda k: version == 2 and key_id(k) != payload[9:17])
-                out.append((sha, None, payload[at + 16 :], [derive(k, payload[at : at + 16]) for k in fitting], None))
+                if len(payload) < at + 16 + 12 + 16:
+                    out.append((sha, None, None, [], "damaged"))
+                    continue
+                known = [version == 1 or key_id(k) == payload[9:17] for k in keys]
+                fitting = [k for _, k in sorted(zip(known, keys), key=lambda x: not x[0])]
+                why = None if any(known) else "encrypted"
+                out.append((sha, None, payload[at + 16 :], [derive(k, payload[at : at + 16]) for k in fitting], why))
             yield pd.DataFrame(out, columns=["sha", "plain", "sealed", "ks", "error"])
 
     rows = blobs.select("sha", "payload", "encrypted").mapInPandas(prepare, "sha string, plain binary, sealed binary, ks array<binary>, error string")
     tried = F.try_element_at(F.filter(F.transform("ks", lambda k: F.try_aes_decrypt("sealed", k, F.lit("GCM"), F.lit("DEFAULT"))), lambda x: x.isNotNull()), F.lit(1))
-    rows = rows.withColumn("plain", F.coalesce("plain", tried))
-    return rows.select("sha", decompress(F.col("plain")).alias("code"), F.coalesce("error", F.when(F.col("plain").isNull(), "encrypted")).alias("error"))
+    rows = rows.withColumn("plain", F.coalesce("plain", tried)).withColumn("code", decompress(F.col("plain")))
+    error = F.when(F.col("code").isNotNull(), F.lit(None)).when(F.col("plain").isNotNull(), "damaged").otherwise(F.coalesce("error", F.lit("failed")))
+    return rows.select("sha", "code", error.cast("string").alias("error"))
+
+
+def load_failures(read: DataFrame) -> DataFrame:
+    """``read_blobs`` → reason, n, share (percent of all blobs), with a line of advice."""
+    advice = F.when(F.col("reason") == "encrypted", "set the encryption key that fits").when(F.col("reason") == "failed", "the encryption key may be wrong").when(F.col("reason") == "missing", "index again").otherwise("see the logs")
+    counts = read.groupBy(F.col("error").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    total = read.agg(F.count(F.lit(1)).alias("__all"))
+    return counts.crossJoin(F.broadcast(total)).where("reason IS NOT NULL").select("reason", "n", F.round(100.0 * F.col("n") / F.col("__all"), 1).alias("share"), advice.alias("advice"))
+
+
+def chunk_code(blobs: DataFrame, sha: str, keys: list[bytes] = []) -> tuple[str | None, str | None]:  # noqa: B006
+    """(code, error) of one chunk."""
+    rows = read_blobs(blobs.where(F.col("sha") == sha), keys).limit(1).collect()
+    return (rows[0]["code"], rows[0]["error"]) if rows else (None, "not found")
+
+
+def with_code(results: DataFrame, blobs: DataFrame, keys: list[bytes] = [], most: int = 100_000) -> DataFrame:  # noqa: B006
+    """Results with code (cut at ``most`` characters), truncated, and error; results without a blob have the error ``missing``."""
+    wanted = results.select("sha").distinct()
+    read = read_blobs(blobs.join(F.broadcast(wanted), "sha", "left_semi"), keys).dropDuplicates(["sha"])  # results are a bounded list
+    rows = results.join(read, "sha", "left")
+    error = F.coalesce("error", F.when(F.col("code").isNull(), "missing"))
+    return rows.withColumns({"truncated": F.coalesce(F.length("code") > most, F.lit(False)), "code": F.substring("code", 1, most), "error": error})
 
 
 def reused_ivs(blobs: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunking, maintain
+from ..operators import chunking, codemap, maintain, storage
 from ..sources import files
 
 
@@ -23,9 +25,43 @@ def update(stored: DataFrame, fingerprints: DataFrame, current: DataFrame, limit
     return kept.select(*stored.columns).unionByName(chunking.chunk(new, limits).select(*stored.columns))
 
 
-def index_folder(spark: SparkSession, root: str, out: str) -> None:
-    """A full index of ``root`` under ``out``: chunks and fingerprints."""
-    current = files.scan(spark, root)
-    chunks, prints = index_files(current)
+CHUNKS = "id string, file_path string, symbol string, sha string, lang string, chunk_type string, code string, start_line int, end_line int"
+PRINTS = "path string, file_hash string, chunk_hashes array<string>"
+
+
+def new_chunks(produced: DataFrame, stored: DataFrame) -> DataFrame:
+    """Chunks whose id is not stored yet: only these need vectors."""
+    return produced.join(stored.select("id"), "id", "left_anti")
+
+
+def store(spark: SparkSession, out: str, chunks: DataFrame, prints: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None, key: bytes | None = None) -> dict[str, int]:
+    """Writes chunks, symbol map, blobs, fingerprints and (with ``embed``) vectors; what was stored and is still current
+    keeps its vector.  Each table is written once, when all of it is known.  Fingerprints come last, so what a stopped
+    run left undone is done by the next one."""
+    before = maintain.read_table(spark, f"{out}/chunks", CHUNKS)
+    counts = {"added": new_chunks(chunks, before).count(), "removed": maintain.missing(before, chunks, "id").count()}
     maintain.replace_table(chunks, f"{out}/chunks")
+    chunks = maintain.read_table(spark, f"{out}/chunks")
+    codemap.write(codemap.merged(codemap.read(spark, f"{out}/symbols").join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi"), codemap.of_chunks(chunks)), f"{out}/symbols")
+    maintain.replace_table(storage.write_blobs(chunks, key), f"{out}/blobs")
+    if embed is not None:
+        known = maintain.read_table(spark, f"{out}/vectors", "id string, sha string, embedding array<float>")
+        current = known.join(chunks.select("id"), "id", "left_semi")
+        fresh = embed(new_chunks(chunks, known)).select("id", "sha", "embedding")
+        maintain.replace_table(current.unionByName(fresh), f"{out}/vectors")
     maintain.replace_table(prints, f"{out}/fingerprints")
+    return counts | {"chunks": chunks.count()}
+
+
+def index_folder(spark: SparkSession, root: str, out: str, limits: chunking.Limits = chunking.Limits(), embed: Callable[[DataFrame], DataFrame] | None = None, key: bytes | None = None) -> dict[str, int]:
+    """A full index of ``root`` under ``out``."""
+    return store(spark, out, *index_files(files.scan(spark, root), limits), embed, key)
+
+
+def update_folder(spark: SparkSession, root: str, out: str, limits: chunking.Limits = chunking.Limits(), embed: Callable[[DataFrame], DataFrame] | None = None, key: bytes | None = None) -> dict[str, int]:
+    """Brings the index up to date: only files whose fingerprint differs are chunked anew."""
+    current, prints = files.scan(spark, root), maintain.read_table(spark, f"{out}/fingerprints", PRINTS)
+    stored = maintain.read_table(spark, f"{out}/chunks", CHUNKS)
+    chunks = update(stored, prints, current, limits)
+    hashes = chunks.groupBy(F.col("file_path").alias("path")).agg(F.sort_array(F.collect_set("sha")).alias("chunk_hashes"))
+    return store(spark, out, chunks, current.select("path", "file_hash").join(hashes, "path", "left"), embed, key)

@@ -1,19 +1,25 @@
-"""The hybrid search plan: scope, BM25 prefilter, cosine, boosts, rank fusion, final order.
+"""Search: query guard, scope, BM25 prefilter, cosine, fusion, symbol boosts, rerank, results with code.
 
-Vectors are scored only for the keyword hits (at most ``max(limit, 60, 500)``), which a broadcast
-of that bounded list picks from the vectors; only if there are no hits (or keyword search is off)
-are all chunks in scope scored, with a top-k that keeps ``budget`` rows of each task.
+The text of a chunk is read where it lies: its row becomes narrow (length, term counts, path boosts)
+before anything is joined or ordered.  The keyword hits, at most ``max(limit, 60, 500)``, are computed
+once and held as a small local table, like every list after them; vectors are then read for the hits
+only.  Where there are no hits (or keyword search is off) all chunks in scope are scored, with a top-k
+that keeps ``budget`` rows of each task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_query, tokens
 from ..functions.vector import cosine
-from ..operators import bm25, rank, scope
+from ..operators import bm25, codemap, graph, rank, scope, storage
 
-BUDGET = 60
+BUDGET, PREFILTER, MOST_CHARS = 60, 500, 5000
 
 
 def vector_top(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id") -> DataFrame:
@@ -21,30 +27,151 @@ def vector_top(vectors: DataFrame, query: list[float], k: int, id_col: str = "ve
     return vectors.select(id_col, F.round(similarity, 6).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, terms: list[str], query_text: str, query_vector: list[float], limit: int = 10, where: scope.Scope | None = None) -> DataFrame:
-    """``chunks(doc_id, file_path, lang, tags, text)``, ``vectors(doc_id, embedding)`` → the best ``limit``:
-    doc_id, score, rrf, vrank, brank (ranks from 0)."""
-    where = where or scope.Scope()
-    budget = max(limit, BUDGET)
+def held(df: DataFrame) -> DataFrame:
+    """A list cut to a known length, computed once: later plans read it as a local table."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def candidates(chunks: DataFrame, vectors: DataFrame, terms: list[str], query_text: str, query_vector: list[float], budget: int, where: scope.Scope) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, score; at most 500 rows, or ``budget`` without keyword hits; doc_id, bm25 of the keyword hits or None)."""
     inside = scope.apply(chunks, where)
+    intent = F.col("intent") if "intent" in chunks.columns else F.lit(None).cast("string")
+    parts = {"__boost": rank.boosts(F.col("file_path"), F.col("tags"), intent, F.lit(query_text))}
     similarity = F.round(cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query_vector])), 9)
-    rows = inside.join(vectors, "doc_id")
-    keyword = None
-    if where.hybrid and where.bm25:
-        embedded = inside.join(vectors.select("doc_id"), "doc_id", "left_semi")
-        hits = bm25.score(embedded, terms).select("doc_id", F.round("bm25", 9).alias("bm25")).orderBy(F.desc("bm25"), "doc_id").limit(max(budget, 500))
-        keyword = hits
-        found = hits.agg(F.count(F.lit(1)).alias("__hits"))
-        marked = rows.join(F.broadcast(hits.select("doc_id", F.lit(True).alias("__hit"))), "doc_id", "left").crossJoin(F.broadcast(found))
-        rows = marked.where((F.col("__hits") == 0) | F.col("__hit"))
-    score, _ = rank.candidate_score(similarity, F.col("file_path"), F.col("tags"), F.lit(None).cast("string"), F.lit(query_text))
-    scored = rows.select(F.col("doc_id").alias("id"), score.alias("score"))
+    score = rank.clip(similarity + F.col("__boost")).alias("score")
+    keyword, terms = None, sorted(set(terms))
+    if where.hybrid and where.bm25 and terms:
+        rows = bm25.counted(inside.withColumns(parts), terms, "doc_id", "__boost").join(vectors.select("doc_id"), "doc_id", "left_semi")
+        hits = bm25.scored(rows, held(bm25.statistics(rows, terms)), terms, "doc_id", "__boost")
+        hits = held(hits.withColumn("bm25", F.round("bm25", 9)).orderBy(F.desc("bm25"), "doc_id").limit(max(budget, PREFILTER)))
+        keyword = hits.select("doc_id", "bm25")
+        if not hits.isEmpty():
+            return held(vectors.join(F.broadcast(hits), "doc_id").select("doc_id", score)), keyword
+    narrow = inside.withColumns(parts).select("doc_id", "__boost")
+    return held(narrow.join(vectors, "doc_id").select("doc_id", score).orderBy(F.desc("score"), "doc_id").limit(budget)), keyword
+
+
+def hybrid(
+    chunks: DataFrame, vectors: DataFrame, terms: list[str], query_text: str, query_vector: list[float], limit: int = 10, where: scope.Scope | None = None, symbols: DataFrame | None = None,
+    scorer: Callable[[list[str]], list[float]] | None = None,
+) -> DataFrame:
+    """``chunks(doc_id, file_path, lang, tags, text, ...)``, ``vectors(doc_id, embedding)`` → the best ``limit``:
+    doc_id, score, rrf, vrank, brank (ranks from 0); with ``symbols`` (a symbol map whose chunk_id is the
+    doc_id as text) also symbol_boost and sources; with a ``scorer`` and the scope's reranker also rerank."""
+    where = where or scope.Scope()
+    budget = max(limit, BUDGET)
+    scored, keyword = candidates(chunks, vectors, terms, query_text, query_vector, budget, where)
+    scored = scored.withColumnRenamed("doc_id", "id")
     top = scored.orderBy(F.desc("score"), "id").limit(budget)
     vlist = rank.numbered(top, "vrank", F.desc("score"), F.col("id"))
     if keyword is None:
-        fused = vlist.select("id", "score", (1.0 / (rank.RRF_K + F.col("vrank") + 1)).alias("rrf"), "vrank", F.lit(None).cast("int").alias("brank")).orderBy("vrank").limit(limit)
+        fused = vlist.select("id", "score", (1.0 / (rank.RRF_K + F.col("vrank") + 1)).alias("rrf"), "vrank", F.lit(None).cast("int").alias("brank"))
     else:
         first = keyword.orderBy(F.desc("bm25"), "doc_id").limit(budget)
         blist = rank.numbered(first, "brank", F.desc("bm25"), F.col("doc_id")).select(F.col("doc_id").alias("id"), "brank")
-        fused = rank.fuse(vlist.select("id", "vrank"), blist, limit).join(scored, "id")
-    return fused.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.round("rrf", 9).alias("rrf"), F.col("vrank").cast("long").alias("vrank"), F.col("brank").cast("long").alias("brank")).orderBy(F.desc("score"), "doc_id")
+        fused = rank.fuse(vlist.select("id", "vrank"), blist, budget).join(scored, "id")
+    if symbols is not None and where.symbol_boost:
+        # boosts are added to all fused candidates, and may lift one over the cut
+        fused = rank.boosted_order(held(with_symbol_boost(held(fused), symbols, query_text)), limit, by_score=True).limit(limit)
+    else:
+        fused = fused.orderBy(F.desc("rrf"), F.asc_nulls_last("vrank"), F.asc_nulls_last("brank"), "id").limit(limit)
+    extra = [c for c in ("symbol_boost", "sources") if c in fused.columns]
+    out = fused.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.round("rrf", 9).alias("rrf"), F.col("vrank").cast("long").alias("vrank"), F.col("brank").cast("long").alias("brank"), *extra)
+    if scorer is not None and where.reranker == "api":
+        texts = held(out.join(chunks.select("doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "id"))
+        return rank.rerank(texts, scorer).drop("text").withColumnRenamed("id", "doc_id")
+    return out.orderBy(F.desc("score"), "doc_id")
+
+
+def with_symbol_boost(found: DataFrame, symbols: DataFrame, query_text: str) -> DataFrame:
+    """Adds symbol_boost and sources and raises score: 0.3 of the own strength and 0.15 of the best neighbour's.
+
+    ``found`` is a bounded list, so the map is read for its ids, and once more for their neighbours' shas (the
+    last entry of a sha counts), and never joined with itself.
+    """
+    strength = rank.signature_strength(F.col("symbol"), F.col("symbol_signature"), F.col("symbol_parameters"), F.lit(query_text))
+    own = symbols.join(F.broadcast(found.select(F.col("id").cast("string").alias("chunk_id"))), "chunk_id", "left_semi")
+    own = held(own.select("chunk_id", strength.alias("own"), "symbol_neighbors"))
+    wanted = own.select(F.explode("symbol_neighbors").alias("sha")).distinct()
+    near = symbols.join(F.broadcast(wanted), "sha", "left_semi").groupBy("sha").agg(F.max_by(F.struct(strength.alias("s")), "chunk_id")["s"].alias("strength"))
+    best = graph.best_neighbour(own.select(F.col("chunk_id").alias("id"), F.col("symbol_neighbors").alias("both")), near)
+    rows = found.join(F.broadcast(own.select("chunk_id", "own")), F.col("id").cast("string") == F.col("chunk_id"), "left").drop("chunk_id")
+    rows = rows.join(F.broadcast(best.withColumnRenamed("id", "__id")), F.col("id").cast("string") == F.col("__id"), "left").drop("__id")
+    own_, near_ = F.coalesce("own", F.lit(0.0)), F.coalesce("neighbour", F.lit(0.0))
+    sources = F.array_compact(F.array(F.when(own_ > 0, "signature"), F.when(near_ > 0, "neighbor")))
+    boost = rank.symbol_boost(own_, near_)
+    return rows.withColumns({"symbol_boost": boost, "sources": sources, "score": F.least(F.lit(1.0), rank.clip(F.col("score")) + boost)}).drop("own", "neighbour")
+
+
+@dataclass
+class Index:
+    """What a search reads: chunks, vectors, and optionally the symbol map and the blobs with the chunks' code."""
+
+    chunks: DataFrame
+    vectors: DataFrame
+    symbols: DataFrame | None = None
+    blobs: DataFrame | None = None
+    keys: tuple[bytes, ...] = ()
+
+
+@dataclass
+class Found:
+    """An answer to a search: its results, or an error."""
+
+    results: DataFrame | None
+    kind: str
+    error: str | None = None
+    message: str | None = None
+
+
+def guard(queries: DataFrame, column: str = "query", most: int = MOST_CHARS) -> DataFrame:
+    """Adds q (normalized) and status: ``ok``, ``query_too_long`` or ``overview`` (nothing asked)."""
+    q = normalize_query(F.coalesce(column, F.lit("")))
+    rows = queries.withColumn("q", q)
+    return rows.withColumn("status", F.when(F.length("q") > most, "query_too_long").when(F.col("q") == "", "overview").otherwise("ok"))
+
+
+def overview(chunks: DataFrame, limit: int = 20) -> DataFrame:
+    """The first chunks by path and symbol, each with score 1."""
+    return chunks.orderBy("file_path", "symbol", "doc_id").limit(limit).select("doc_id", "file_path", "symbol", "lang", "sha", F.lit(1.0).alias("score"))
+
+
+def mapped(found: DataFrame, chunks: DataFrame, kind: str) -> DataFrame:
+    """Results as users see them: type, lang, path, sha and meta (id, symbol, score within 0 and 1, kind, and what ranked them)."""
+    rows = F.broadcast(found).join(chunks.drop("score"), "doc_id")
+    optional = [F.col(c).alias(c) if c in found.columns else F.lit(None).cast(t).alias(c) for c, t in (("rrf", "double"), ("vrank", "long"), ("brank", "long"), ("rerank", "double"))]
+    boost = F.when(F.col("symbol_boost") > 0, F.col("symbol_boost")) if "symbol_boost" in found.columns else F.lit(None).cast("double")
+    meta = F.struct(F.col("id").alias("id"), F.col("symbol").alias("symbol"), rank.clip(F.coalesce("score", F.lit(0.0))).alias("score"), F.lit(kind).alias("kind"), *optional, boost.alias("symbol_boost"))
+    return rows.select(F.lit("code").alias("type"), "lang", F.col("file_path").alias("path"), "sha", meta.alias("meta"))
+
+
+def search(spark: SparkSession, index: Index, query: str, embed: Callable[[str], list[float]], limit: int = 10, where: scope.Scope | None = None, scorer: Callable[[list[str]], list[float]] | None = None) -> Found:
+    """The library's search: guard, overview for an empty query, hybrid search, mapped results."""
+    asked = guard(spark.createDataFrame([(query,)], "query string")).withColumn("terms", tokens(F.col("q"))).first()
+    if asked["status"] == "query_too_long":
+        return Found(None, "error", "query_too_long", f"a query has at most {MOST_CHARS} characters")
+    if asked["status"] == "overview":
+        return Found(mapped(overview(index.chunks, limit).select("doc_id", "score"), index.chunks, "overview"), "overview")
+    if index.chunks.isEmpty():
+        return Found(None, "error", "no_chunks_found", "nothing is indexed")
+    where = where or scope.Scope()
+    found = held(hybrid(index.chunks, index.vectors, asked["terms"], asked["q"], embed(asked["q"]), limit, where, index.symbols, scorer))
+    kind = "hybrid" if where.hybrid and where.bm25 else "vector"
+    order = [F.desc_nulls_last("meta.rerank"), F.desc("meta.score"), F.col("meta.id")]
+    return Found(mapped(found, index.chunks, kind).orderBy(*order), kind)
+
+
+def search_with_code(spark: SparkSession, index: Index, query: str, embed: Callable[[str], list[float]], limit: int = 10, **options) -> Found:  # type: ignore[no-untyped-def]
+    """Like ``search``, each result with its code."""
+    found = search(spark, index, query, embed, limit, **options)
+    if found.results is not None and index.blobs is not None:
+        found.results = storage.with_code(held(found.results), index.blobs, list(index.keys)).orderBy(F.desc("meta.score"), "meta.id")
+    return found
+
+
+def several(found: list[DataFrame], limit: int) -> DataFrame:
+    """The results of several queries as one list: each sha once, with its best score."""
+    return rank.multi_query([f.withColumn("score", F.col("meta.score")) for f in found], limit)
+
+
+__all__ = ["BUDGET", "Found", "Index", "codemap", "guard", "hybrid", "mapped", "overview", "search", "search_with_code", "several", "vector_top"]

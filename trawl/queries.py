@@ -14,7 +14,7 @@ from .functions import text as T
 from .functions import vector as V
 from .operators import bm25, chunking, conversation, graph, maintain, rank, scope, storage
 from .plans import search
-from .sources.tables import chunks, table, vectors
+from .sources.tables import chunks, spread, table, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,6 +33,11 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id and text, over all cores."""
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 # ---- SQL pieces
 TOKENS = r"list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')"
 CHUNKS = r"""SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, (CASE WHEN doc_id % 5 = 0 THEN 'docs/' ELSE 'src/' END) || source || '/' || lang || '/d' || CAST(doc_id AS VARCHAR) || (CASE WHEN doc_id % 7 = 0 THEN '.md' ELSE '.txt' END) AS file_path,
@@ -51,7 +56,7 @@ def bm25_sql(terms: list[str], source: str = "documents") -> str:
 
 @query(f"WITH {bm25_sql(TERMS)} SELECT doc_id, round(bm25, 6) AS bm25 FROM (SELECT doc_id, round(bm25, 9) AS bm25 FROM bm ORDER BY bm25 DESC, doc_id LIMIT 20)")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    hits = bm25.score(table(spark, sf, "documents"), TERMS).select("doc_id", F.round("bm25", 9).alias("bm25"))
+    hits = bm25.score(texts(spark, sf), TERMS).select("doc_id", F.round("bm25", 9).alias("bm25"))
     return hits.orderBy(F.desc("bm25"), "doc_id").limit(20).select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
@@ -61,7 +66,7 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     s AS (SELECT item_id, doc_id, round(sum({IDF} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS bm25 FROM q, tf, df, st WHERE q.term = tf.term AND tf.term = df.term GROUP BY item_id, doc_id)
     SELECT item_id, doc_id, bm25, CAST(rank AS INTEGER) AS rank FROM (SELECT item_id, doc_id, bm25, row_number() OVER (PARTITION BY item_id ORDER BY bm25 DESC, doc_id) AS rank FROM s) WHERE rank <= 5""")
 def bm25_multi_query(spark: SparkSession, sf: str) -> DataFrame:
-    return bm25.score_many(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 5)
+    return bm25.score_many(texts(spark, sf), table(spark, sf, "benchmark"), 5)
 
 
 COSINE = "round(CASE WHEN len(a.v) <> len(b.v) OR list_dot_product(a.v, a.v) = 0 OR list_dot_product(b.v, b.v) = 0 THEN 0.0 ELSE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) END, 6)"
@@ -98,9 +103,8 @@ TOPICS_SQL = "CASE WHEN lang = 'en' THEN ['the', lower(source)] ELSE [lower(lang
 
 
 def searchable(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", "source")
-    c = chunks(spark, sf).join(d, "doc_id")
-    return c.withColumn("tags", F.when(F.col("lang") == "en", F.array(F.lit("the"), F.lower("source"))).otherwise(F.array(F.lower("lang"), F.lower("source"))))
+    source = F.lower(F.split_part("file_path", F.lit("/"), F.lit(2)))
+    return chunks(spark, sf).withColumn("tags", F.when(F.col("lang") == "en", F.array(F.lit("the"), source)).otherwise(F.array(F.lower("lang"), source)))
 
 
 def hybrid_sql(terms: list[str], text: str, where: str = "TRUE", fallback: bool = False) -> str:
@@ -261,7 +265,7 @@ def size_decision(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def chunk_lines_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.chunk_lines(table(spark, sf, "documents").select("doc_id", "text"), LIMITS)
+    return chunking.chunk_lines(texts(spark, sf), LIMITS)
 
 
 @query()
@@ -278,7 +282,7 @@ TOPICS_ALL = "list_filter([" + ", ".join(f"'{w}'" for w in T.TOPIC_WORDS) + "],
 @query(f"WITH ch AS ({CHUNKS}), l AS (SELECT doc_id, list_concat(list_concat({PARTS_SQL}, {TAG_WORDS.format('symbol')}), {TOPICS_ALL}) AS x FROM ch), u AS (SELECT doc_id, x, unnest(x) AS w, generate_subscripts(x, 1) AS k FROM l), f AS (SELECT doc_id, w, min(k) AS k FROM u GROUP BY doc_id, w), r AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS k FROM f) SELECT doc_id, string_agg(w, '|' ORDER BY k) AS tags FROM r WHERE k <= 10 GROUP BY doc_id")
 def semantic_tags(spark: SparkSession, sf: str) -> DataFrame:
     c = chunks(spark, sf)
-    return c.select("doc_id", F.array_join(T.semantic_tags(F.col("file_path"), F.col("symbol"), F.col("text")), "|").alias("tags")).where("tags <> ''")
+    return c.select("doc_id", F.array_join(T.semantic_tags(F.col("file_path"), F.col("symbol"), F.col("text")), "|").alias("tags"))
 
 
 @query(r"SELECT page_id, len(list_distinct(list_filter(regexp_extract_all(md, '\[([^\]]+)\]\(([^)]+)\)', 2), lambda x: NOT starts_with(x, 'http://') AND NOT starts_with(x, 'https://')))) AS n FROM (SELECT page_id, regexp_replace(html, '<a href=" + '"([^"]*)"' + r"[^>]*>([^<]*)</a>', '[\2](\1)', 'g') AS md FROM pages)")
@@ -288,6 +292,8 @@ def citations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def redact_sql(column: str) -> str:
+    for name in T.ENV_NAMES:
+        column = f"regexp_replace({column}, '(?i)\\b{name}\\s*=\\s*([^\\s;]+)', '{name}=[REDACTED]', 'g')"
     for p in T.SECRETS:
         column = f"regexp_replace({column}, '{p.replace('(?s:.*?)', '[^~]*?')}', '[REDACTED]', 'g')"
     return column
@@ -295,7 +301,7 @@ def redact_sql(column: str) -> str:
 
 @query(f"SELECT doc_id, md5({redact_sql('text')}) AS digest, (length({redact_sql('text')}) - length(replace({redact_sql('text')}, '[REDACTED]', ''))) // 10 AS n FROM documents")
 def redact_secrets(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", T.redact(F.col("text")).alias("t"))
+    d = texts(spark, sf).select("doc_id", T.redact(F.col("text")).alias("t"))
     n = (F.length("t") - F.length(F.replace("t", F.lit(T.MARK), F.lit("")))) / len(T.MARK)
     return d.select("doc_id", F.md5("t").alias("digest"), n.cast("long").alias("n"))
 
@@ -306,7 +312,7 @@ for _role in T.ROLES:
 SANITIZE_SQL = f"trim(replace(replace(replace(replace({SANITIZE_SQL}, '<', '&lt;'), '>', '&gt;'), '```', '```{T.ZERO_WIDTH}'), '`', '`{T.ZERO_WIDTH}'))"
 
 
-@query(f"SELECT page_id, md5(CASE WHEN length(t) > 2000 THEN substr(t, 1, 2000) || '… [truncated]' ELSE t END) AS digest FROM (SELECT page_id, {SANITIZE_SQL.replace('{0}', 'html')} AS t FROM pages)")
+@query(f"SELECT page_id, md5(CASE WHEN length(t) > 2000 THEN substr(t, 1, 2000) || '... [truncated]' ELSE t END) AS digest FROM (SELECT page_id, {SANITIZE_SQL.replace('{0}', 'html')} AS t FROM pages)")
 def sanitize_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.md5(T.sanitize(F.col("html"))).alias("digest"))
 
@@ -380,12 +386,12 @@ def conversation_summary(spark: SparkSession, sf: str) -> DataFrame:
     return conversation.summary(table(spark, sf, "conversations"))
 
 
-@query("""WITH s AS (SELECT conv_id, turn, substr(sha1(role || split_part(text, ' ', 1)), 1, 8) AS sha FROM conversations), l AS (SELECT conv_id, max(turn) AS last FROM s GROUP BY conv_id),
+@query("""WITH s AS (SELECT conv_id, turn, sha1(role || text) AS sha FROM conversations), l AS (SELECT conv_id, max(turn) AS last FROM s GROUP BY conv_id),
     p AS (SELECT s.conv_id AS conv_id, sha, min(turn) AS first, max(turn) AS latest, max(last) AS last FROM s JOIN l ON s.conv_id = l.conv_id GROUP BY s.conv_id, sha)
     SELECT conv_id, sha, first, rank FROM (SELECT conv_id, sha, first, row_number() OVER (PARTITION BY conv_id ORDER BY first, sha) AS rank FROM p WHERE latest < last) WHERE rank <= 5""")
 def previously_seen(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
-    return conversation.previously_seen(c.select("conv_id", "turn", F.substring(F.sha1(F.concat("role", F.split_part("text", F.lit(" "), F.lit(1)))), 1, 8).alias("sha")))
+    return conversation.previously_seen(c.select("conv_id", "turn", F.sha1(F.concat("role", "text")).alias("sha")))
 
 
 @query("""WITH o AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 600000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

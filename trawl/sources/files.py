@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scope import glob_regex
+
 # Languages by file extension
 LANGUAGES = {
     "php": "php", "py": "python", "js": "javascript", "jsx": "tsx", "ts": "typescript", "tsx": "tsx", "go": "go", "java": "java", "cs": "csharp", "rs": "rust", "rb": "ruby",
     "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "c": "c", "h": "c", "scala": "scala", "swift": "swift", "sh": "bash", "bash": "bash", "kt": "kotlin", "lua": "lua", "html": "html", "htm": "html",
     "css": "css", "json": "json", "ml": "ocaml", "mli": "ocaml", "hs": "haskell", "ex": "elixir", "exs": "elixir", "md": "markdown", "markdown": "markdown",
 }
-# Folders that hold no sources of their own
-IGNORED = ("node_modules", "vendor", "dist", "build", "target", "coverage", "__pycache__", "venv", "env", "tmp", "temp", "logs", "cache", "bin", "obj", "out")
+# What a scan passes over (hidden files and folders too)
+IGNORED = ("**/vendor/**", "**/node_modules/**", "**/.git/**", "**/storage/**", "**/dist/**", "**/build/**", "**/tmp/**", "**/temp/**", "**/.npm/**", "**/.yarn/**", "**/Library/**", "**/System/**", "**/.Trash/**", "**/package-lock.json", "**/yarn.lock", "**/pnpm-lock.yaml", "**/*.min.json", "**/examples/**", "**/assets/**")
 
 
 def extension(path: Column) -> Column:
@@ -24,10 +26,13 @@ def language(path: Column) -> Column:
     return F.try_element_at(table, extension(path))
 
 
-def is_source(path: Column) -> Column:
+def is_supported(path: Column) -> Column:
+    return extension(path).isin(list(LANGUAGES))
+
+
+def is_source(path: Column, ignored: tuple[str, ...] = IGNORED) -> Column:
     hidden = path.rlike(r"(^|/)\.[^/]")
-    ignored = path.rlike(r"(^|/)(" + "|".join(IGNORED) + r")/")
-    return language(path).isNotNull() & ~hidden & ~ignored
+    return is_supported(path) & ~hidden & ~path.rlike("|".join(map(glob_regex, ignored)))
 
 
 def is_safe(path: Column) -> Column:
@@ -40,6 +45,13 @@ def relative(path: Column, root: str) -> Column:
     return F.replace(F.regexp_replace(path, "^(?:[a-z]+:/*)?/*" + re.escape(root.strip("/")) + "/+", ""), F.lit("\\"), F.lit("/"))
 
 
+def scan_changed(spark: SparkSession, root: str, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``listed(path)`` → (the files that are there, as by ``scan``; path of those that are gone)."""
+    wanted = listed.where(is_supported(F.col("path")) & is_safe(F.col("path"))).select("path").distinct()
+    there = scan(spark, root)
+    return there.join(wanted, "path", "left_semi"), wanted.join(there.select("path"), "path", "left_anti")
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """path, lang, content, file_hash, modified of every source file under ``root``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

@@ -6,6 +6,8 @@ import json
 from dataclasses import dataclass
 from pathlib import Path
 
+from .limits import RateLimiter, token_batches
+
 PACK_KEYS = {"name", "description", "scope", "options"}
 RESET = {"default", "none", "clear"}
 
@@ -19,6 +21,39 @@ def merge(*layers: dict) -> dict:
     return out
 
 
+def settings(spec: dict, *files: str | Path, environ: dict | None = None, prefix: str = "TRAWL_") -> dict:
+    """Layered settings: defaults, then each file (global, project), then the environment (``TRAWL_SECTION_NAME``), section
+    by section; a chat's tokens are capped at 256000.  Missing or broken files count as empty."""
+    layers = []
+    for path in files:
+        try:
+            layers.append(json.loads(Path(path).read_text()))
+        except (OSError, ValueError):
+            layers.append({})
+    env: dict = {}
+    for key, value in (environ or {}).items():
+        section, _, name = key.removeprefix(prefix).lower().partition("_")
+        if key.startswith(prefix) and name and value:
+            env.setdefault(section, {})[name] = value
+    out = merge(spec, *layers, env)
+    if isinstance(out.get("chat"), dict) and out["chat"].get("max_tokens") is not None:
+        out["chat"]["max_tokens"] = min(int(out["chat"]["max_tokens"]), 256_000)
+    return out
+
+
+def save_settings(path: str | Path, changes: dict) -> dict:
+    """Merges changes into a settings file; a null removes a setting."""
+    try:
+        now = json.loads(Path(path).read_text())
+    except (OSError, ValueError):
+        now = {}
+    out = merge(now, changes)
+    out = {k: {n: v for n, v in x.items() if v is not None} if isinstance(x, dict) else x for k, x in out.items() if x is not None}
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(out, indent=2, sort_keys=True))
+    return out
+
+
 def load_pack(folder: str, name: str) -> dict:
     pack = json.loads(Path(folder, f"{name}.json").read_text())
     if unknown := set(pack) - PACK_KEYS:
@@ -73,13 +108,47 @@ class Retry:
 
 
 class EmbeddingProvider:
-    """What turns texts into vectors; subclasses say how.  Used in Arrow batches by ``embed``."""
+    """What turns texts into vectors; subclasses say how.  Used in Arrow batches by ``embed``.  ``start`` runs once in a worker, and again if it failed."""
 
     name, dims = "none", 0
+    ready = False
+
+    def start(self) -> None:
+        """Opens what is needed; called before the first batch of a worker."""
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         raise NotImplementedError
 
+    def vectors(self, texts: list[str]) -> list[list[float]]:
+        if not self.ready:
+            self.start()
+            self.ready = True
+        got = self.embed(texts)
+        if len(got) != len(texts):
+            raise ValueError("wrong number of vectors")
+        return got
+
+
+class RemoteProvider(EmbeddingProvider):
+    """A service behind ``send(texts) -> vectors`` (no network client is part of this library): texts are cut to
+    ``max_chars``, sent in batches by tokens, within a rate limit, and the vectors counted."""
+
+    def __init__(self, name: str, dims: int, send, max_chars: int = 32_000, budget: int = 100_000, limiter: RateLimiter | None = None):  # type: ignore[no-untyped-def]
+        self.name, self.dims, self.send, self.max_chars, self.budget, self.limiter = name, dims, send, max_chars, budget, limiter
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        cut = [t[: self.max_chars] for t in texts]
+        limiter = self.limiter or RateLimiter()
+        count = lambda t: -(-len(t) // 4)
+        out: list[list[float]] = []
+        for places in token_batches(cut, count, self.budget):
+            part = [cut[k] for k in places]
+            got = limiter.run(lambda part=part: self.send(part), sum(map(count, part)))
+            if len(got) != len(part) or any(len(v) != self.dims for v in got):
+                raise ValueError("wrong number of vectors or dimensions")
+            out += got
+        return out
+
 
 def embed(df, provider: EmbeddingProvider, text: str = "code", batch: int = 100):  # type: ignore[no-untyped-def]
     """Adds ``embedding``; a failing batch is tried text by text, and a text that still fails gets null."""
@@ -87,23 +156,20 @@ def embed(df, provider: EmbeddingProvider, text: str = "code", batch: int = 100)
 
     @F.pandas_udf("array<float>")
     def run(texts):  # type: ignore[no-untyped-def]
+        import pandas as pd
+
         out: list = []
         items = texts.tolist()
         for i in range(0, len(items), batch):
             part = items[i : i + batch]
             try:
-                got = provider.embed(part)
-                if len(got) != len(part):
-                    raise ValueError("wrong number of vectors")
-                out += got
+                out += provider.vectors(part)
             except Exception:  # noqa: BLE001
                 for x in part:
                     try:
-                        out += provider.embed([x])
+                        out += provider.vectors([x])
                     except Exception:  # noqa: BLE001
                         out.append(None)
-        import pandas as pd
-
         return pd.Series(out)
 
     return df.withColumn("embedding", run(F.col(text)))

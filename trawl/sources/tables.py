@@ -10,9 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows out where a scan has fewer parts than there are cores, as before costly work on texts; else nothing moves."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as chunks: id, doc_id, file_path, symbol, sha, lang, text."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     folder = F.when(F.col("doc_id") % 5 == 0, "docs/").otherwise("src/")
     ending = F.when(F.col("doc_id") % 7 == 0, ".md").otherwise(".txt")
     path = F.concat(folder, F.col("source"), F.lit("/"), F.col("lang"), F.lit("/d"), F.col("doc_id").cast("string"), ending)

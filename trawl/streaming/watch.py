@@ -34,3 +34,19 @@ def run(events: DataFrame, update: Callable[[DataFrame, int], None], checkpoint:
 
     writer = normalized(events).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
+
+
+def drain(query: StreamingQuery, settle_seconds: float = 0.2) -> None:
+    """Waits until all that has arrived is processed, and once more for what arrives while it settles; then stops."""
+    import time
+
+    query.processAllAvailable()
+    time.sleep(settle_seconds)
+    query.processAllAvailable()
+    query.stop()
+
+
+def pending(events: DataFrame) -> DataFrame:
+    """How many paths wait for an update and how many for a deletion."""
+    op = coalesced(normalized(events))
+    return op.agg(F.count_if(F.col("op") == "upsert").alias("changes"), F.count_if(F.col("op") == "delete").alias("deletes"))
