@@ -263,7 +263,16 @@ def size_decision(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.sum("parts").alias("parts"))
 
 
-@query()
+PACKING_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: length(x)) AS s FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT doc_id, s, list_prepend(CAST(0 AS HUGEINT), list_transform(range(1, len(s) + 1), lambda i: list_sum(s[1:i]))) AS c FROM d),
+    r AS (SELECT doc_id, s, c, 0 AS k, 0 AS b, FALSE AS cut, 0 AS first, 0 AS fresh FROM p UNION ALL
+        SELECT doc_id, s, c, k + 1, CASE WHEN over THEN CASE WHEN t = b AND k - b > 1 THEN b + 1 ELSE t END ELSE b END, over, b, CASE WHEN over THEN 1 ELSE fresh + 1 END FROM (
+            SELECT *, fresh > 0 AND c[k + 2] - c[b + 1] > {LIMITS.largest} AS over, coalesce(list_max(list_filter(range(b, k), lambda t: c[k + 1] - c[t + 1] >= {max(LIMITS.overlap, LIMITS.largest // 5)})), b) AS t FROM r WHERE k < len(s))),
+    x AS (SELECT doc_id, s, first AS a, k - 2 AS e FROM r WHERE cut UNION ALL SELECT doc_id, s, b, k - 1 FROM r WHERE k = len(s))
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY e, a) - 1 AS INTEGER) AS part, CAST(a AS INTEGER) AS first_line, CAST(e AS INTEGER) AS last_line, CAST(list_sum(s[a + 1:e + 1]) + e - a AS INTEGER) AS n_chars FROM x"""
+
+
+@query(PACKING_SQL)
 def chunk_lines_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_lines(texts(spark, sf), LIMITS)
 
@@ -450,3 +459,6 @@ def doc_annotations(spark: SparkSession, sf: str) -> DataFrame:
 def tag_intent_boost(spark: SparkSession, sf: str) -> DataFrame:
     boost = rank.tag_boost(F.array("symbol", "lang"), F.lit(QUERY)) + rank.intent_boost(F.col("symbol"), F.lit(QUERY))
     return chunks(spark, sf).where("text IS NOT NULL").select("doc_id", F.round(boost, 6).alias("boost"))
+
+
+from . import queries_more  # noqa: E402, F401  (registers its queries)
