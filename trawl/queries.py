@@ -455,7 +455,7 @@ def doc_annotations(spark: SparkSession, sf: str) -> DataFrame:
     return chunks(spark, sf).select("doc_id", F.array_join(T.annotation_tags(comment), "|").alias("tags"), T.annotation(comment, "intent").alias("intent"))
 
 
-@query(f"SELECT doc_id, round(0.1 * len(list_filter([symbol, lang], lambda x: contains('{QUERY}', lower(x)))) + CASE WHEN symbol <> '' AND contains('{QUERY}', lower(symbol)) THEN 0.2 ELSE 0 END, 6) AS boost FROM ({CHUNKS}) WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, round(CAST(0.1 AS DOUBLE) * len(list_filter([symbol, lang], lambda x: contains('{QUERY}', lower(x)))) + CASE WHEN symbol <> '' AND contains('{QUERY}', lower(symbol)) THEN 0.2 ELSE 0 END, 6) AS boost FROM ({CHUNKS}) WHERE text IS NOT NULL")
 def tag_intent_boost(spark: SparkSession, sf: str) -> DataFrame:
     boost = rank.tag_boost(F.array("symbol", "lang"), F.lit(QUERY)) + rank.intent_boost(F.col("symbol"), F.lit(QUERY))
     return chunks(spark, sf).where("text IS NOT NULL").select("doc_id", F.round(boost, 6).alias("boost"))

@@ -203,7 +203,7 @@ def live_blobs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ENTRY_SQL = """SELECT CAST(p_partkey AS VARCHAR) AS chunk_id, CASE WHEN p_partkey % 5 = 0 THEN 'unknown' ELSE p_name END AS file, CASE WHEN p_partkey % 7 <> 0 THEN p_brand END AS symbol, 'unknown' AS sha,
-    greatest(p_size - 10, 0) * 1.0 AS path_weight, least(1.0, p_size / 40.0) AS success_rate, greatest(p_size - 20, 0) AS variable_count, p_type || '|' || p_brand AS calls FROM part"""
+    CAST(greatest(p_size - 10, 0) AS DOUBLE) AS path_weight, least(1.0, p_size / 40.0) AS success_rate, greatest(p_size - 20, 0) AS variable_count, p_type || '|' || p_brand AS calls FROM part"""
 
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:
@@ -325,7 +325,7 @@ def reranked(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", "rerank", F.col("rerank").isNull().alias("rest"))
 
 
-@query("""WITH a AS (SELECT sha1(text) AS sha, doc_id, n_chars * 1.0 AS score, 0 AS q FROM documents WHERE lang = 'en' UNION ALL SELECT sha1(text), doc_id, n_chars * 1.5, 1 FROM documents WHERE doc_id % 2 = 0)
+@query("""WITH a AS (SELECT sha1(text) AS sha, doc_id, CAST(n_chars AS DOUBLE) AS score, 0 AS q FROM documents WHERE lang = 'en' UNION ALL SELECT sha1(text), doc_id, CAST(n_chars * 1.5 AS DOUBLE), 1 FROM documents WHERE doc_id % 2 = 0)
     SELECT sha, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY score DESC, q, doc_id) AS k FROM a) WHERE k = 1 ORDER BY score DESC, sha LIMIT 40""")
 def multi_query_merge(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select(F.sha1("text").alias("sha"), "doc_id", F.col("n_chars").cast("double").alias("score"), "lang")
@@ -377,14 +377,15 @@ def mapped_results(spark: SparkSession, sf: str) -> DataFrame:
         bo AS (SELECT a.doc_id AS doc_id, least(0.45, 0.3 * a.strength + 0.15 * coalesce(b.strength, 0)) AS boost FROM sy a LEFT JOIN sy b ON b.doc_id = a.doc_id + 1),
         cut1 AS (SELECT cut0.*, boost, least(1.0, least(1.0, greatest(0.0, base)) + boost) AS final FROM cut0 JOIN bo ON cut0.doc_id = bo.doc_id),
         cut AS (SELECT * FROM cut1 ORDER BY CASE WHEN (SELECT max(boost) FROM cut1) > 0 THEN final END DESC NULLS LAST, CASE WHEN (SELECT max(boost) FROM cut1) > 0 THEN boost END DESC NULLS LAST, rrf DESC, vrank NULLS LAST, brank NULLS LAST, doc_id LIMIT 10)""",
-).replace("round(sc.score, 6) + 0.0 AS score", "round(cut.final, 6) AS score, round(boost, 6) AS symbol_boost"))
+).replace("round(sc.score, 6) + 0.0 AS score", "round(cut.final, 6) AS score, round(boost, 6) AS symbol_boost").replace("CAST(vrank AS BIGINT)", "CAST(coalesce(vrank, -1) AS BIGINT)").replace("CAST(brank AS BIGINT)", "CAST(coalesce(brank, -1) AS BIGINT)"))
 def hybrid_symbol_boost(spark: SparkSession, sf: str) -> DataFrame:
     """The symbol map: each document's first name; its neighbour is the next document."""
     c = chunks(spark, sf)
     ids = c.select("doc_id", F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("sha"), "symbol")
     symbols = codemap.normalized(ids.select(F.col("doc_id").cast("string").alias("chunk_id"), "sha", "symbol", F.array(F.concat(F.lit("k"), (F.col("doc_id") + 1).cast("string"))).alias("symbol_neighbors")))
     found = search.hybrid(searchable(spark, sf), vectors(spark, sf), TERMS, QUERY, query_vector(spark, sf), symbols=symbols)
-    return found.select("doc_id", "score", F.round("symbol_boost", 6).alias("symbol_boost"), "rrf", "vrank", "brank")
+    place = lambda c: F.coalesce(c, F.lit(-1).cast("long")).alias(c)
+    return found.select("doc_id", "score", F.round("symbol_boost", 6).alias("symbol_boost"), "rrf", place("vrank"), place("brank"))
 
 
 @query(r"""SELECT p_partkey, '<chunk path="' || replace(p_name, ' ', '_') || '.ts" symbol="&quot;' || p_brand || '&lt;" lang="ts" relevance="' || printf('%.1f', p_size / 50.0 * 100) || '%">' || chr(10) || 'description=' || p_type || chr(10) || '```ts' || chr(10)
