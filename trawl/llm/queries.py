@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from . import decontam, language, line_dedup, packing, quality, recompression, simhash, suffix_array, topk, url_reputation
 from .common import ID, KEY, Stored, plain
 
@@ -12,7 +13,9 @@ QUALITY_THRESHOLD = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; documents in fewer parts than there are cores are dealt out, as all work on them is by row."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def fold(doc_id: F.Column | str, folds: int) -> F.Column:
