@@ -49,7 +49,7 @@ def test_index_search_ask_update(project, tmp_path):
     said = tools.dispatch(project, "ask_codebase", {"question": "how is a payment charged?"})
     assert said["success"] and "[charged](src/pay.ts:2)" in said["answer"] and said["issues"] == []
     message = project.chat.asked[0][-1]["content"]
-    assert '<chunk path="src/pay.ts"' in message and "<user_query>\nhow is a payment charged?" in message
+    assert '<chunk path="docs/read.md"' in message and "<user_query>\nhow is a payment charged?" in message
     project.chat = answer.Echo('["payment", "user login"]', "done")
     assert tools.dispatch(project, "ask_codebase", {"question": "payments and users?", "multi_query": True})["queries"] == ["payment", "user login"]
     (tmp_path / "in" / "src" / "user.py").unlink()
@@ -154,6 +154,25 @@ def test_parsers_see_no_strings_or_comments():
     assert counts["nodes"] == counts["normal"] == 2
 
 
+def test_model_limits_and_strategies(spark):
+    limits_ = chunking.profile("TEXT-embedding-3-small")
+    assert (limits_.optimal, limits_.largest) == (4000, 6000) and chunking.profile(None, "OpenAI") == limits_
+    assert chunking.profile("text-embedding-3-large", max_tokens=1000) == chunking.Limits(820, 50, 950, 12)
+    assert chunking.profile("unknown") == chunking.Limits(1600, 200, 1920, 120) and chunking.profile("gemini-embedding-001", count_tokens=False).largest == 7200
+    lines = chunking.Strategy(parsers=(("toml", lambda t: [chunking.Node("line", x, t.index(x), t.index(x) + len(x)) for x in t.split("\n") if x]),), group=lambda sizes, flags, limits: [[k] for k in range(len(sizes))])
+    assert [c["symbol"] for c in chunking.chunk_file("f", "a = 1\nb = 2", "toml", chunking.Limits(10, 1, 20, 2), strategy=lines)] == ["a = 1", "b = 2"]
+
+
+def test_usage_log(project):
+    from trawl.plans import search
+
+    tools.dispatch(project, "index_project")
+    found = search.search(project.spark, project.index(), "process payment", project.embed_query)
+    row = search.usage(found, " The UserService? ").first()
+    assert row["pattern"] == "the [SERVICE]" and row["query"] == "the userservice" and (row["target"] is None) == (found.results.first()["meta"]["score"] <= 0.8)
+    assert search.usage(search.search(project.spark, project.index(), "", project.embed_query), "") is None
+
+
 def test_rate_limits_and_batches():
     now, slept = [0.0], []
 

@@ -7,13 +7,15 @@ points.  Nulls give nulls, or empty arrays where an array is returned.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vector import bound
+
 # Words that mark technical topics
 TOPIC_WORDS = (
     "stripe payment session checkout purchase auth authentication login register middleware database connection pool config service "
@@ -101,11 +103,6 @@ def _tag_words(name: Column) -> Column:
     return F.filter(words, lambda x: F.length(x) > 2)
 
 
-def bound(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f(value)`` with ``value`` computed once, however often ``f`` uses it."""
-    return F.transform(F.array(value), f)[0]
-
-
 def semantic_tags(path: Column, symbol: Column, code: Column, limit: int = 10) -> Column:
     """Words of path, symbol, topics and declared names, in that order, without repeats.
 
@@ -327,6 +324,11 @@ def from_json_list(text: Column) -> Column:
     return F.from_json(text, "array<string>")
 
 
+def fingerprint(text: Column) -> Column:
+    """A quick 64-bit name of a text, for comparing (seed 42)."""
+    return F.xxhash64(text).cast("string")
+
+
 def line_number(text: Column, start: Column) -> Column:
     """The line, from 1, on which the character at ``start`` (from 0) stands."""
     return F.size(F.split(F.substring(text, F.lit(1), start), "\n", -1))

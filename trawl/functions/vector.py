@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once a row, however often ``f`` uses it, inside of other lambdas too."""
+    return F.transform(F.array(value), f)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -21,8 +28,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    return bound(a, lambda v: bound(norm(v), lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))))
 
 
 def clip(score: Column) -> Column:
@@ -31,9 +37,11 @@ def clip(score: Column) -> Column:
 
 def mock_embedding(text: Column, dims: int = 32) -> Column:
     """A deterministic unit vector from the text's SHA-256 bytes, repeated to ``dims``."""
-    digest = F.sha2(F.coalesce(text, F.lit("")), 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.conv(F.substring(digest, F.pmod(i, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255 * (1 + F.pmod(i, F.lit(5)) * F.lit(0.05)))
-    return unit(raw)
+
+    def raw(digest: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.conv(F.substring(digest, F.pmod(i, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255 * (1 + F.pmod(i, F.lit(5)) * F.lit(0.05)))
+
+    return unit(bound(F.sha2(F.coalesce(text, F.lit("")), 256), raw))
 
 
 def decode_embedding(blob: Column, dims: int) -> Column:

@@ -16,7 +16,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -216,7 +216,16 @@ PARSERS |= dict.fromkeys(("ruby", "lua", "elixir"), end_nodes) | dict.fromkeys((
 COUNTS = ("nodes", "normal", "subdivided", "merged_small", "skipped_small", "statement_fallback", "file_grouped", "functions_grouped")
 
 
-def chunk_file(path: str, text: str, lang: str, limits: Limits, counts: Counter | None = None) -> Iterator[dict]:
+@dataclass(frozen=True)
+class Strategy:
+    """What splits a file: parsers by language, how neighbours are grouped, how lines are packed."""
+
+    parsers: tuple[tuple[str, Callable[[str], list[Node]]], ...] = tuple(PARSERS.items())
+    group: Callable[[list[int], list[bool], Limits], list[list[int]]] = group_nodes
+    pack: Callable[[str, Limits], list[tuple[int, int, str]]] = pack_lines
+
+
+def chunk_file(path: str, text: str, lang: str, limits: Limits, counts: Counter | None = None, strategy: Strategy = Strategy()) -> Iterator[dict]:
     """The chunks of one file.  Nested nodes are chunks too; what cannot be parsed is one chunk of type file.
     ``counts`` takes the number of each decision, by the names in ``COUNTS``."""
     counts = Counter() if counts is None else counts
@@ -238,7 +247,7 @@ def chunk_file(path: str, text: str, lang: str, limits: Limits, counts: Counter
             return
         if not node.children:
             counts["statement_fallback"] += 1
-            for k, (_, _, part) in enumerate(pack_lines(code, limits)):
+            for k, (_, _, part) in enumerate(strategy.pack(code, limits)):
                 yield row(f"{node.name}_part{k + 1}", node.kind, node.start + code.find(part), part)
             return
         counts["subdivided"] += 1
@@ -253,7 +262,7 @@ def chunk_file(path: str, text: str, lang: str, limits: Limits, counts: Counter
             counts["skipped_small"] += len(small)
 
     try:
-        parser = PARSERS.get(lang)
+        parser = dict(strategy.parsers).get(lang)
         nodes = parser(text) if parser else []
         flat: list[Node] = []
 
@@ -265,7 +274,7 @@ def chunk_file(path: str, text: str, lang: str, limits: Limits, counts: Counter
         collect(nodes)
         if not flat:
             raise ValueError("no nodes")
-        tops = group_nodes([n.end - n.start for n in nodes], [n.kind == "class" for n in nodes], limits)
+        tops = strategy.group([n.end - n.start for n in nodes], [n.kind == "class" for n in nodes], limits)
         for group in tops:
             if len(group) == 1:
                 yield from emit(nodes[group[0]], False)
@@ -285,13 +294,13 @@ def chunk_file(path: str, text: str, lang: str, limits: Limits, counts: Counter
 CHUNK = "id string, file_path string, symbol string, sha string, lang string, chunk_type string, code string, start_line int, end_line int"
 
 
-def chunk(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def chunk(files: DataFrame, limits: Limits = Limits(), strategy: Strategy = Strategy()) -> DataFrame:
     """``files(path, lang, content)`` → chunks; one scan, no shuffle.  Null contents give none."""
     import pandas as pd
 
     def run(frames: Iterator) -> Iterator:
         for frame in frames:
-            rows = [r for path, lang, text in zip(frame["path"], frame["lang"], frame["content"]) if text for r in {x["id"]: x for x in chunk_file(path, text, lang, limits)}.values()]
+            rows = [r for path, lang, text in zip(frame["path"], frame["lang"], frame["content"]) if text for r in {x["id"]: x for x in chunk_file(path, text, lang, limits, strategy=strategy)}.values()]
             yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in CHUNK.split(", ")])
 
     return files.select("path", "lang", "content").mapInPandas(run, CHUNK)
@@ -368,5 +377,29 @@ def budget_bins(sizes: list[int], limit: int) -> list[int]:
     return out
 
 
-def profile(base: Limits, max_tokens: int | None, default: int = 8191) -> Limits:
-    return base.scaled(max_tokens, default) if max_tokens else replace(base)
+# Fixed values by model: tokens (all, optimal, smallest, largest, overlap), the same in characters but the first, dimensions
+PROFILES = {
+    "text-embedding-3-large": (8191, 4000, 400, 6000, 100, 16000, 1600, 24000, 400, 3072),
+    "text-embedding-3-small": (8191, 4000, 400, 6000, 100, 16000, 1600, 24000, 400, 1536),
+    "text-embedding-ada-002": (8191, 4000, 400, 6000, 100, 16000, 1600, 24000, 400, 1536),
+    "nomic-embed-text": (8192, 4000, 400, 6000, 100, 16000, 1600, 24000, 400, 768),
+    "Qwen/Qwen3-Embedding-8B": (32000, 16000, 1000, 28000, 500, 64000, 4000, 112000, 2000, 4096),
+    "qwen3-embedding:0.6b": (32000, 26000, 1000, 30000, 500, 128000, 4000, 120000, 2000, 1024),
+    "gemini-embedding-001": (2048, 1600, 200, 1800, 50, 6400, 800, 7200, 200, 768),
+    "google/gemini-embedding-001": (2048, 1600, 200, 1800, 50, 6400, 800, 7200, 200, 768),
+    "default": (512, 400, 50, 480, 30, 1600, 200, 1920, 120, 384),
+}
+PROVIDER_MODELS = {"OpenAI": "text-embedding-3-large"}
+
+
+def profile(model: str | None, provider: str = "", max_tokens: int | None = None, count_tokens: bool = True) -> Limits:
+    """The size limits of a model (any case; else its provider's, else the default), in tokens or, without a counter, characters.
+
+    ``max_tokens`` sets the limits in tokens anew, in proportion; the default model is measured in characters always.
+    """
+    name = next((k for k in PROFILES if model and k.lower() == model.lower()), None) or PROVIDER_MODELS.get(provider, "default")
+    most, *rest = PROFILES[name]
+    if not count_tokens or name == "default":
+        return Limits(*rest[4:8])
+    limits = Limits(*rest[:4])
+    return limits.scaled(max_tokens, most) if max_tokens else limits

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_query, tokens
+from ..functions.text import normalize_query, query_pattern, tokens
 from ..functions.vector import cosine
 from ..operators import bm25, codemap, graph, rank, scope, storage
 
@@ -169,9 +169,20 @@ def search_with_code(spark: SparkSession, index: Index, query: str, embed: Calla
     return found
 
 
+def usage(found: Found, query: str, where: scope.Scope | None = None) -> DataFrame | None:
+    """What a search adds to the log: (query, pattern, target, confidence); a target only for a score over 0.8 with
+    symbol boosts on.  ``maintain.intentions`` and a count by pattern sum the log up."""
+    if found.results is None or found.kind == "overview":
+        return None
+    best = found.results.limit(1).select("sha", F.col("meta.score").alias("score"))
+    q = normalize_query(F.lit(query))
+    sure = (F.col("score") > 0.8) & F.lit((where or scope.Scope()).symbol_boost)
+    return best.select(q.alias("query"), query_pattern(q).alias("pattern"), F.when(sure, F.col("sha")).alias("target"), F.when(sure, F.col("score")).alias("confidence"))
+
+
 def several(found: list[DataFrame], limit: int) -> DataFrame:
     """The results of several queries as one list: each sha once, with its best score."""
     return rank.multi_query([f.withColumn("score", F.col("meta.score")) for f in found], limit)
 
 
-__all__ = ["BUDGET", "Found", "Index", "codemap", "guard", "hybrid", "mapped", "overview", "search", "search_with_code", "several", "vector_top"]
+__all__ = ["BUDGET", "Found", "Index", "codemap", "guard", "hybrid", "mapped", "overview", "search", "search_with_code", "several", "usage", "vector_top"]
