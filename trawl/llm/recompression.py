@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ID, KEY, Stored, arrow_map, as_long, mix, plain
-from .windows import SENT, classes, covered, merged, mixed, per_row, repeated_keys, sent
+from .windows import CLASS, RUN, classes, covered, merged, mixed, per_row, repeated_keys, sent, unpacked
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -176,7 +176,7 @@ def find_runs(docs: DataFrame, window: int, words_at_once: int = 400_000) -> Dat
             owner = doc[lo]
             yield sent(key, np.array(ids)[owner], np.array(keys)[owner], at - begin[owner], lo - begin[owner], hi - begin[owner])
 
-    return arrow_map(docs.select(ID, KEY, "text"), run, SENT)
+    return arrow_map(docs.select(ID, KEY, "text"), run, RUN)
 
 
 def described(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
@@ -189,34 +189,36 @@ def described(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
                 words = split_words(text.as_py())
                 names, joined = word_names(words), b" ".join(words)
                 begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in words])])
-                fields = found.values.flatten()
-                key, at, lo, hi = (x.to_numpy(zero_copy_only=False) for x in fields)
+                key, place = (x.to_numpy(zero_copy_only=False) for x in found.values.flatten())
+                at, lo, hi = unpacked(place)
                 prefix = Prefix(names)
                 r = prefix.of(lo, hi + window) ^ mix(((at - lo).astype(np.int64) * 4096 + (hi - lo)).astype(np.uint64))
                 second = Prefix(mix(names ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
                 starts = np.arange(len(names) - window + 1)
                 w = as_long(second.of(starts, starts + window)).tolist()
                 k = len(key)
-                d = [int.from_bytes(hashlib.blake2b(joined[i:j], digest_size=8).digest(), "little", signed=True) for i, j in zip(begin[lo].tolist(), (begin[hi + window] - 1).tolist())]
+                d = [int.from_bytes(hashlib.blake2b(joined[i:j], digest_size=4).digest(), "little", signed=True) for i, j in zip(begin[lo].tolist(), (begin[hi + window] - 1).tolist())]
                 yield {"key": key, "r": as_long(r), "d": d, ID: [doc] * k, KEY: [row_key] * k, "at": at, "lo": lo, "hi": hi, "w": [w[i : j + 1] for i, j in zip(lo.tolist(), hi.tolist())]}
 
-    return arrow_map(rows, run, f"key long, r long, d long, {ID} long, {KEY} long, at int, lo int, hi int, w array<long>")
+    return arrow_map(rows, run, f"key long, r long, d int, {ID} long, {KEY} long, at int, lo int, hi int, w array<long>")
 
 
 def later_spans(docs: DataFrame, window: int, store: Stored) -> DataFrame:
     """ID, KEY, start, end: words covered by windows that start earlier elsewhere."""
     runs = store.put(described(docs, repeated_keys(find_runs(docs, window)), window))
-    runs, found = classes(runs, store)
+    found = store.put(classes(runs.drop("w")))
     place = F.struct(ID, KEY, "lo")
-    known = runs.join(found.where("n > 1"), ["key", "r"])
+    known = runs.drop("w").join(found.where("n > 1"), CLASS)
     whole = known.where(place != F.col("first")).select(ID, KEY, F.col("lo").alias("start"), (F.col("hi") + window).alias("end"))
-    firsts = runs.join(found.join(mixed(found).select("key"), "key"), ["key", "r"]).where(place == F.col("first"))
+    firsts = runs.join(found.join(mixed(found).select("key"), "key"), CLASS).where(place == F.col("first"))
     single = firsts.select("key", ID, KEY, "at", "lo", F.posexplode("w").alias("k", "w"))
     single = store.put(single.select("key", (F.col("at") - F.col("lo") - F.col("k")).alias("offset"), "w", ID, KEY, (F.col("lo") + F.col("k")).alias("p")))
     where = F.struct(ID, KEY, "p")
     earliest = single.groupBy("key", "offset", "w").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first <> last")
     later = single.join(earliest, ["key", "offset", "w"]).where(where != F.col("first"))
-    return whole.unionByName(later.select(ID, KEY, F.col("p").alias("start"), (F.col("p") + window).alias("end")))
+    spans = store.put(whole.unionByName(later.select(ID, KEY, F.col("p").alias("start"), (F.col("p") + window).alias("end"))))
+    store.drop(runs, found, single)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:

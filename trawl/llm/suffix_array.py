@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ID, KEY, Stored, arrow_map, as_long, key_groups, mix, plain
-from .windows import SENT, classes, covered, merged, mixed, per_row, repeated_keys, sent
+from .windows import CLASS, RUN, classes, covered, merged, mixed, per_row, repeated_keys, sent, unpacked
 
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 GRAM = 64
@@ -111,14 +111,14 @@ def find_runs(docs: DataFrame, window: int) -> DataFrame:
         key, doc, row_key, at, lo, hi = (np.concatenate(x) for x in zip(*held))
         return sent(key, doc, row_key, at, lo, hi)
 
-    return arrow_map(docs.select(ID, KEY, "text"), run, SENT)
+    return arrow_map(docs.select(ID, KEY, "text"), run, RUN)
 
 
-PIECE = f"key long, r long, d long, {ID} long, {KEY} long, at int, lo int, hi int, bytes binary"
+PIECE = f"key long, r long, d int, {ID} long, {KEY} long, at int, lo int, hi int, bytes binary"
 
 
-def digest(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+def digest(data: bytes, size: int = 4) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=size).digest(), "little", signed=True)
 
 
 def described(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
@@ -130,9 +130,9 @@ def described(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
             for doc, row_key, text, found in zip(batch.column(ID).to_pylist(), batch.column(KEY).to_pylist(), batch.column("text"), batch.column("runs")):
                 raw = text.as_buffer()
                 data = np.frombuffer(raw, dtype=np.uint8)
-                key, at, lo, hi = (x.to_numpy(zero_copy_only=False) for x in found.values.flatten())
-                lo64 = lo.astype(np.int64)
-                r = mix(PrefixHash(data, BASES[1]).of(lo64, hi - lo + window)) ^ shape(at, lo, hi)
+                key, place = (x.to_numpy(zero_copy_only=False) for x in found.values.flatten())
+                at, lo, hi = unpacked(place)
+                r = mix(PrefixHash(data, BASES[1]).of(lo, hi - lo + window)) ^ shape(at, lo, hi)
                 k = len(key)
                 for i in range(0, k, 10_000):
                     j = slice(i, i + 10_000)
@@ -160,14 +160,14 @@ def cut(runs: DataFrame, window: int, block: int) -> DataFrame:
                 for k in range((at - hi) // block, (at - lo) // block + 1):
                     first, last = max(lo, at - k * block - block + 1), min(hi, at - k * block)
                     shared = at - k * block - lo  # where the block's last window starts
-                    names.append(digest(b"%d %d " % (key, k) + data[shared : shared + window - block + 1]))
+                    names.append(digest(b"%d %d " % (key, k) + data[shared : shared + window - block + 1], 8))
                     pieces.append(data[first - lo : last - lo + window])
                     lows.append(first)
                     highs.append(last)
                 n = len(names)
                 low, high = np.array(lows), np.array(highs)
-                own = [digest(x) for x in pieces]
-                yield {"key": names, "r": as_long(np.array(own, np.int64).view(np.uint64) ^ shape(at - low, 0 * low, high - low)), "d": own, ID: [doc] * n, KEY: [row_key] * n, "at": [at] * n, "lo": low, "hi": high, "bytes": pieces}
+                own = np.array([digest(x, 8) for x in pieces], np.int64).view(np.uint64)
+                yield {"key": names, "r": as_long(own ^ shape(at - low, 0 * low, high - low)), "d": (own >> np.uint64(32)).astype(np.uint32).view(np.int32), ID: [doc] * n, KEY: [row_key] * n, "at": [at] * n, "lo": low, "hi": high, "bytes": pieces}
 
     return arrow_map(runs.select("key", ID, KEY, "at", "lo", "hi", "bytes"), run, PIECE)
 
@@ -285,27 +285,30 @@ def repeated_spans(docs: DataFrame, window: int, store: Stored, dense: int = 102
     runs = store.put(described(docs, repeated_keys(find_runs(docs, window)), window))
     out = None
     for block in (*blocks, 0):
-        runs, found = classes(runs, store)
+        found = store.put(classes(runs))
         place = F.struct(ID, KEY, "lo")
-        copies = runs.drop("bytes").join(found.where("n > 1").select("key", "r"), ["key", "r"])
+        copies = runs.drop("bytes").join(found.where("n > 1").select(CLASS), CLASS)
         spans = copies.select(ID, KEY, F.col("lo").alias("start"), (F.col("hi") + window).alias("end"))
         kinds = found.join(mixed(found), "key")
-        firsts = runs.join(kinds, ["key", "r"]).where(place == F.col("first"))
+        firsts = runs.join(kinds, CLASS).where(place == F.col("first"))
         firsts = store.put(firsts.select("key", ID, KEY, "at", "lo", "hi", "n", "kinds", "bytes"))
         within = F.col("kinds") <= dense if block else F.lit(True)  # single windows differ in content only where keys collide
-        spans = spans.unionByName(sorted_spans(firsts.where(within), window))
+        spans = store.put(spans.unionByName(sorted_spans(firsts.where(within), window)))
         out = spans if out is None else out.unionByName(spans)
         crowded = firsts.where(~within)
-        if not block or crowded.isEmpty():
+        done = not block or crowded.isEmpty()
+        new = None if done else store.put(cut(crowded, window, block))
+        store.drop(runs, found, firsts)
+        if done:
             return out
-        runs = store.put(cut(crowded, window, block))
+        runs = new
 
 
 def sorted_spans(firsts: DataFrame, window: int) -> DataFrame:
     """``firsts(key, ID, KEY, at, lo, hi, n, bytes)`` → ID, KEY, start, end of the windows that another run of the same key holds, by suffix sort."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for table in key_groups(batches, "key", 4_000):
+        for table in key_groups(batches, "key", 1_000):
             table = table.combine_chunks()
             key, at, lo, hi, n, ids, row_keys = (table.column(c).to_numpy() for c in ("key", "at", "lo", "hi", "n", ID, KEY))
             row, start = repeated_windows(key, at, lo, hi, table.column("bytes").to_pylist(), window)

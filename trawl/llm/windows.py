@@ -2,16 +2,15 @@
 
 Both judge windows of a fixed length.  Each window gets one *anchor*, a place chosen by the
 window's content alone, so equal windows have equal anchors at equal offsets; neighbouring windows
-mostly share theirs, so a run of windows is one row (key, ID, KEY, at, lo, hi): the anchor's
-content hash, the row, the anchor's place and the first and last window start.  Only keys that
-occur twice can hold repeats.  Runs of equal content (the same ``r``, which hashes all their
-windows) form a class; inside a class every window repeats, and only the first runs of the classes
-of one key must be compared with each other.
+mostly share theirs, so a run of windows is one row (key, ID, KEY, place): the anchor's content hash,
+the row, and ``packed`` the anchor's place and the first and last window start.  Only keys that occur
+twice can hold repeats.  Runs of equal content form a class; inside a class every window repeats, and only
+the first runs of the classes of one key must be compared with each other.
 
 Scale: a key that a task sees more than once sends one witness row to the task that judges the key;
 its runs are known to repeat and are dealt out by row.  So the hottest key costs a row a batch.
-Classes are counted map-side combined.  Every class is verified by ``d``, a BLAKE2b digest of the
-runs' contents; where one class has two digests (a collision of ``r``), classes are formed anew.
+Classes are counted map-side combined.  A class is its key, ``r`` (a polynomial hash of the runs' contents and
+shape) and ``d`` (a BLAKE2b digest of the contents): where contents collide in ``r``, ``d`` keeps them apart.
 """
 
 from __future__ import annotations
@@ -23,43 +22,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, KEY, Stored, arrow_map, as_long, mix
+from .common import ID, KEY, arrow_map, as_long
 
-RUN = f"key long, {ID} long, {KEY} long, at int, lo int, hi int"
-SENT = RUN + ", salt int"  # 0: to be judged with the key's other rows, by lo < 0 a witness; else a run known to repeat
+RUN = f"key long, {ID} long, {KEY} long, place long"
+CLASS = ["key", "r", "d"]
+WITNESS = -1  # places below are -2 - place of runs known to repeat
+
+
+def packed(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Anchor, first and last window start in one number; windows have less than 1024 starts."""
+    at, lo, hi = (x.astype(np.int64) for x in (at, lo, hi))
+    return (lo << 20) | ((at - lo) << 10) | (hi - lo)
+
+
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, lo, hi)."""
+    lo = place >> 20
+    return lo + ((place >> 10) & 1023), lo, lo + (place & 1023)
 
 
 def sent(key: np.ndarray, doc: np.ndarray, row_key: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> dict:
-    """Columns of ``SENT`` for the runs of a batch."""
+    """The runs of a batch as rows of ``RUN``, marked where their key repeats in the batch, and a witness of each such key."""
     values, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-    known = counts[inverse] > 1
-    salt = (mix(doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)) >> np.uint64(34)).astype(np.int32) + 1
-    salt[~known] = 0
+    place = packed(at, lo, hi)
+    place = np.where(counts[inverse] > 1, -2 - place, place)
     witness = values[counts > 1]
     blank = np.zeros(len(witness), np.int64)
-    columns = {"key": as_long(np.concatenate([key, witness]))}
-    for name, own, fill in ((ID, doc, 0), (KEY, row_key, 0), ("at", at, 0), ("lo", lo, -1), ("hi", hi, -1), ("salt", salt, 0)):
-        columns[name] = np.concatenate([own, blank + fill]).astype(np.int64 if name in (ID, KEY) else np.int32)
-    return columns
+    return {"key": as_long(np.concatenate([key, witness])), ID: np.concatenate([doc, blank]), KEY: np.concatenate([row_key, blank]), "place": np.concatenate([place, blank + WITNESS])}
 
 
 def repeated_keys(runs: DataFrame) -> DataFrame:
-    """The runs of ``runs(SENT)`` whose key occurs more than once.
+    """The runs of ``sent`` whose key occurs more than once.
 
     One exchange; sorted partitions are streamed, so a group of any size takes the memory of a batch.
     """
-    names = ("key", ID, KEY, "at", "lo", "hi")
+    names = ("key", ID, KEY, "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held, first, last = None, 0, False  # the open row, its key, and whether it repeats already
         for batch in batches:
-            judged = batch.column("salt").to_numpy() == 0
-            known = batch.filter(pa.array(~judged))
-            yield {n: known.column(n) for n in names}
-            batch = batch.filter(pa.array(judged))
+            places = batch.column("place").to_numpy()
+            known = batch.filter(pa.array(places < WITNESS))
+            yield {n: known.column(n) for n in names[:-1]} | {"place": -2 - known.column("place").to_numpy()}
+            batch = batch.filter(pa.array(places >= WITNESS))
             if not batch.num_rows:
                 continue
-            keys = batch.column("key").to_numpy()
+            keys, places = batch.column("key").to_numpy(), batch.column("place").to_numpy()
             same = keys[1:] == keys[:-1]
             many = np.zeros(len(keys), bool)
             many[1:] |= same
@@ -70,30 +78,26 @@ def repeated_keys(runs: DataFrame) -> DataFrame:
                 if last:
                     yield {n: held.column(n) for n in names}
             many_last = bool(many[-1])
-            done = batch.slice(0, batch.num_rows - 1).filter(pa.array(many[:-1] & (batch.column("lo").to_numpy()[:-1] >= 0)))
+            done = batch.slice(0, batch.num_rows - 1).filter(pa.array(many[:-1] & (places[:-1] >= 0)))
             yield {n: done.column(n) for n in names}
             held, first, last = batch.slice(batch.num_rows - 1), keys[-1], many_last
-            if held.column("lo")[0].as_py() < 0:
+            if places[-1] == WITNESS:
                 held, last = held.slice(0, 0), True
         if held is not None and last:
             yield {n: held.column(n) for n in names}
 
-    return arrow_map(runs.repartition("key", "salt").sortWithinPartitions("key", "salt"), run, RUN)
+    to = F.when(F.col("place") < WITNESS, F.xxhash64(ID, "place")).otherwise(F.lit(0))
+    return arrow_map(runs.repartition("key", to).sortWithinPartitions("key"), run, RUN)
 
 
 def per_row(runs: DataFrame) -> DataFrame:
-    """ID, KEY, runs: an array of (key, at, lo, hi)."""
-    return runs.groupBy(ID, KEY).agg(F.collect_list(F.struct("key", "at", "lo", "hi")).alias("runs"))
-
-
-def classes(runs: DataFrame, store: Stored) -> tuple[DataFrame, DataFrame]:
-    """``runs(key, r, d, ID, KEY, lo, ...)`` → (the runs, and key, r, first (ID, KEY, lo of the first run), n (runs)); no class has two digests."""
-    while True:
-        counted = runs.groupBy("key", "r").agg(F.min(F.struct(ID, KEY, "lo")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high"))
-        found = store.put(counted)
-        if found.where("low <> high").isEmpty():
-            return runs, found.drop("low", "high")
-        runs = runs.withColumn("r", F.xxhash64("r", "d"))
+    """ID, KEY, runs: an array of (key, place)."""
+    return runs.groupBy(ID, KEY).agg(F.collect_list(F.struct("key", "place")).alias("runs"))
+
+
+def classes(runs: DataFrame) -> DataFrame:
+    """``runs(key, r, d, ID, KEY, lo, ...)`` → key, r, d, first (ID, KEY, lo of the first run), n (runs)."""
+    return runs.groupBy(CLASS).agg(F.min(F.struct(ID, KEY, "lo")).alias("first"), F.count(F.lit(1)).alias("n"))
 
 
 def mixed(found: DataFrame) -> DataFrame:
