@@ -1,12 +1,14 @@
 """BM25 keyword scoring: k1 1.2, b 0.75, idf ``ln(1 + (N - df + .5) / (df + .5))``.
 
 A corpus of fewer than three documents gives no hits.  For given query terms the documents are
-never exploded: term frequencies are counted in place, and one aggregation over the scan gives N,
-average length and document frequencies, so only one row is exchanged.
+never split into words: lengths and term frequencies are counted in the text by patterns, and one
+aggregation over the scan gives N, average length and document frequencies, so only one row is exchanged.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +22,23 @@ def weight(tf: Column, df: Column, length: Column, mean: Column, n: Column) -> C
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def occurrences(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == term)).cast("double")
+LETTER = r"[\p{L}\p{N}]"
+
+
+def occurrences(lower: Column | str, term: str) -> Column:
+    """How often a text in lower case holds a term as a whole token."""
+    return F.regexp_count(lower, F.lit(f"(?<!{LETTER}){re.escape(term)}(?!{LETTER})")).cast("double")
+
+
+def length(lower: Column | str) -> Column:
+    """The tokens of a text in lower case."""
+    return F.regexp_count(lower, F.lit(f"{LETTER}+")).cast("double")
 
 
 def counted(docs: DataFrame, terms: list[str], *keep: str, text_col: str = "text") -> DataFrame:
-    """``keep`` columns, __len (tokens) and __tf0, __tf1, ... (of each term); one pass over the text, narrow rows."""
-    rows = docs.select(*keep, tokens(F.col(text_col)).alias("__t"))
-    return rows.select(*keep, F.size("__t").cast("double").alias("__len"), *[occurrences("__t", w).alias(f"__tf{k}") for k, w in enumerate(terms)])
+    """``keep`` columns, __len (tokens) and __tf0, __tf1, ... (of each term): narrow rows.  Terms are tokens (letters and digits)."""
+    rows = docs.select(*keep, F.lower(F.coalesce(text_col, F.lit(""))).alias("__t"))
+    return rows.select(*keep, length("__t").alias("__len"), *[occurrences("__t", w).alias(f"__tf{k}") for k, w in enumerate(terms)])
 
 
 def statistics(rows: DataFrame, terms: list[str]) -> DataFrame:
