@@ -1,18 +1,17 @@
 """BM25 keyword scoring: k1 1.2, b 0.75, idf ``ln(1 + (N - df + .5) / (df + .5))``.
 
 A corpus of fewer than three documents gives no hits.  For given query terms the documents are
-never split into words: lengths and term frequencies are counted in the text by patterns, and one
+never split into words: lengths and term frequencies are counted in the text, and one
 aggregation over the scan gives N, average length and document frequencies, so only one row is exchanged.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..functions.vector import bound
 
 K1, B, LEAST = 1.2, 0.75, 3
 
@@ -22,23 +21,28 @@ def weight(tf: Column, df: Column, length: Column, mean: Column, n: Column) -> C
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-LETTER = r"[\p{L}\p{N}]"
+def occurrences(padded: Column, term: str) -> Column:
+    """How often a term stands in a text whose words have a blank on each side of their own."""
+    word = f" {term} "
+    return (F.octet_length(padded) - F.octet_length(F.replace(padded, F.lit(word), F.lit("")))) / len(word.encode())
 
 
-def occurrences(lower: Column | str, term: str) -> Column:
-    """How often a text in lower case holds a term as a whole token."""
-    return F.regexp_count(lower, F.lit(f"(?<!{LETTER}){re.escape(term)}(?!{LETTER})")).cast("double")
+def counts(text: Column, terms: list[str]) -> Column:
+    """An array of one struct: __len (tokens) and __tf0, __tf1, ... (of each term); the text is searched by one pattern."""
 
+    def of(words: Column) -> Column:
+        blanks = F.octet_length(words) - F.octet_length(F.replace(words, F.lit(" "), F.lit("")))
+        size = F.when(words == "", 0.0).otherwise((blanks + 1).cast("double"))
+        padded = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
+        return bound(padded, lambda p: F.struct(size.alias("__len"), *[occurrences(p, w).cast("double").alias(f"__tf{k}") for k, w in enumerate(terms)]))
 
-def length(lower: Column | str) -> Column:
-    """The tokens of a text in lower case."""
-    return F.regexp_count(lower, F.lit(f"{LETTER}+")).cast("double")
+    return F.transform(F.array(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))), of)
 
 
 def counted(docs: DataFrame, terms: list[str], *keep: str, text_col: str = "text") -> DataFrame:
     """``keep`` columns, __len (tokens) and __tf0, __tf1, ... (of each term): narrow rows.  Terms are tokens (letters and digits)."""
-    rows = docs.select(*keep, F.lower(F.coalesce(text_col, F.lit(""))).alias("__t"))
-    return rows.select(*keep, length("__t").alias("__len"), *[occurrences("__t", w).alias(f"__tf{k}") for k, w in enumerate(terms)])
+    # through inline, so that a filter on counts is not pushed into the scan, which would count twice
+    return docs.select(*keep, F.inline(counts(F.col(text_col), terms)))
 
 
 def statistics(rows: DataFrame, terms: list[str]) -> DataFrame:
