@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from trawl.llm import decontam, language, packing, quality, queries, topk
+from trawl.llm import decontam, packing, quality, queries, topk
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations".split()
