@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_query, query_pattern, tokens
 from ..functions.vector import cosine
-from ..operators import bm25, codemap, graph, rank, scope, storage
+from ..operators import bm25, graph, rank, scope, storage
 
 BUDGET, PREFILTER, MOST_CHARS = 60, 500, 5000
 
@@ -183,6 +183,3 @@ def usage(found: Found, query: str, where: scope.Scope | None = None) -> DataFra
 def several(found: list[DataFrame], limit: int) -> DataFrame:
     """The results of several queries as one list: each sha once, with its best score."""
     return rank.multi_query([f.withColumn("score", F.col("meta.score")) for f in found], limit)
-
-
-__all__ = ["BUDGET", "Found", "Index", "codemap", "guard", "hybrid", "mapped", "overview", "search", "search_with_code", "several", "usage", "vector_top"]

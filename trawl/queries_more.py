@@ -13,7 +13,7 @@ from .functions import text as T
 from .functions import vector as V
 from .operators import chunking, codemap, conversation, graph, maintain, rank, scope, storage
 from .plans import answer, search
-from .queries import CHUNKS, LIMITS, QUERY, STRENGTH_SQL, TERMS, TOKENS, hybrid_sql, query, query_vector, searchable, strengths, texts, versions
+from .queries import CHUNKS, LIMITS, QUERY, STRENGTH_SQL, TERMS, hybrid_sql, query, query_vector, searchable, strengths, versions
 from .sources import files, packs
 from .sources.tables import chunks, table, vectors
 
@@ -428,7 +428,7 @@ def batch_budget(spark: SparkSession, sf: str) -> DataFrame:
 
     @F.pandas_udf("array<long>")
     def batches(sizes):  # type: ignore[no-untyped-def]
-        return sizes.map(lambda x: chunking.budget_bins(list(x), 1 << 60 if len(x) and max(x) > 4000 else 4000) if len(x) == 0 or max(x) <= 4000 else greedy(list(x), 4000))
+        return sizes.map(lambda x: greedy(list(x), 4000))
 
     return turns.select("conv_id", F.explode(batches("sizes")).alias("batch")).groupBy("conv_id", "batch").agg(F.count(F.lit(1)).alias("n"))
 
@@ -454,6 +454,3 @@ def token_statistics(spark: SparkSession, sf: str) -> DataFrame:
 def chunking_statistics(spark: SparkSession, sf: str) -> DataFrame:
     rows = chunks(spark, sf).select(F.col("file_path").alias("path"), F.lit("markdown").alias("lang"), F.col("text").alias("content"))
     return chunking.chunk_statistics(rows, LIMITS)
-
-
-__all__ = ["TOKENS", "texts"]
