@@ -137,6 +137,19 @@ def key_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 400_000,
         yield table
 
 
+def lots(table: pa.Table, key: str, rows: int) -> Iterator[pa.Table]:
+    """A table sorted by ``key`` in parts of about ``rows`` rows that never cut a group in two."""
+    if not table.num_rows:
+        return
+    keys, begin = table.column(key).to_numpy(), 0
+    starts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
+    while begin < len(keys):
+        at = int(np.searchsorted(starts, begin + rows, side="right")) - 1
+        end = int(starts[at] if starts[at] > begin else starts[at + 1])
+        yield table.slice(begin, end - begin)
+        begin = end
+
+
 def group_pieces(batches: Iterator[pa.RecordBatch], key: str, rows: int, size: int = 1 << 26, most: int | None = None) -> Iterator[tuple[pa.Table, bool]]:
     """Like ``key_groups``, but a group of more than ``most`` rows comes in pieces of its own, marked False."""
     held: list[pa.Table] = []
@@ -157,8 +170,8 @@ def group_pieces(batches: Iterator[pa.RecordBatch], key: str, rows: int, size: i
             yield table.slice(0, end), False
             table, keys = table.slice(end), keys[end:]
         cut = int(np.searchsorted(keys, keys[-1], side="left")) if len(keys) else 0
-        if cut:
-            yield table.slice(0, cut), True
+        for part in lots(table.slice(0, cut), key, rows):
+            yield part, True
         table = table.slice(cut)
         if most is not None and table.num_rows > most:
             cut_key = keys[-1]
@@ -173,8 +186,8 @@ def group_pieces(batches: Iterator[pa.RecordBatch], key: str, rows: int, size: i
             if end:
                 yield table.slice(0, end), False
             table = table.slice(end)
-        if table.num_rows:
-            yield table, True
+        for part in lots(table, key, rows):
+            yield part, True
 
 
 def local_components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
