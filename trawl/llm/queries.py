@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread
-from . import decontam, language, line_dedup, packing, quality, recompression, simhash, suffix_array, topk, url_reputation
+from . import collocations, decontam, language, line_dedup, packing, quality, recompression, simhash, suffix_array, topk, url_reputation, warc, whitening
 from .common import ID, KEY, Stored, plain
 
 QUALITY_THRESHOLD = 0.3
@@ -84,6 +84,18 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(table(spark, sf_dir, "pages").select("page_id", "url"), outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 # ---- stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame
 
 
@@ -118,7 +130,7 @@ STAGES = [("quality_classifier", stage_quality), ("line_dedup", stage_lines), ("
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_benchmark_decontamination, op4_suffix_array_dedup, op5_quality_classifier, op6_substring_dedup, op7_language_id, op8_line_dedup, op9_exact_top_k, op10_url_reputation)
+    for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_benchmark_decontamination, op4_suffix_array_dedup, op5_quality_classifier, op6_substring_dedup, op7_language_id, op8_line_dedup, op9_exact_top_k, op10_url_reputation, op11_warc, op12_embedding_whitening, op13_phrase_collocations)
 }
 
 ORACLE_SQL = {
@@ -175,4 +187,28 @@ ORACLE_SQL = {
                  WHEN (pg.host = 'org' OR pg.host LIKE '%.org') AND path LIKE '/%' THEN 'allow'
                  WHEN m - 1.645 * sqrt(m * (1 - m) / (w + 1)) >= 0.6 THEN 'allow' ELSE 'block' END AS verdict
         FROM pg, r WHERE pg.host = r.host""",
+    "op11_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, html, strlen(html) AS size, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+        SELECT page_id, size AS payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+            CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM d""",
+    "op13_phrase_collocations": r"""
+        WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+        total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+        grams AS (SELECT lang, m, list_slice(w, b, b + m - 1) AS g FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS b FROM w, (VALUES (1), (2), (3), (4)) AS t(m) WHERE len(w) >= m)),
+        f AS (SELECT lang, m, g, array_to_string(g, ' ') AS phrase, count(*) AS f FROM grams GROUP BY lang, m, g HAVING count(*) >= 30),
+        cuts AS (SELECT c.lang AS lang, c.phrase AS phrase, c.f AS a, k, x.f AS l, y.f AS r, CAST(2000000 * CAST(c.f AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
+            FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1) c
+            JOIN f x ON x.lang = c.lang AND x.m = k AND x.g = list_slice(c.g, 1, k)
+            JOIN f y ON y.lang = c.lang AND y.m = c.m - k AND y.g = list_slice(c.g, k + 1, c.m)),
+        low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cuts),
+        longer AS (SELECT lang, array_to_string(list_slice(g, b, b + s - 1), ' ') AS phrase, max(f) AS f
+            FROM (SELECT lang, g, f, s, unnest(range(1, m - s + 2)) AS b FROM f, (VALUES (2), (3)) AS t(s) WHERE m > s) GROUP BY ALL),
+        kept AS (SELECT low.lang AS lang, low.phrase AS phrase, a, l, r, score FROM low LEFT JOIN longer ON low.lang = longer.lang AND low.phrase = longer.phrase
+            WHERE place = 1 AND (longer.f IS NULL OR 100 * CAST(longer.f AS HUGEINT) < 80 * CAST(a AS HUGEINT))),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT ranked.lang AS lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total ON ranked.lang = total.lang WHERE rank <= 2000""",
 }
