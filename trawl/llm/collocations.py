@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import Stored, arrow_map, as_long, mix
 
 ORDER, LEAST, SHARE = 4, 30, 80
-BLOCK, MOST_WORDS, MOST_WINDOWS = 1 << 22, 1 << 20, 1 << 22
+BLOCK, MOST_WORDS, MOST_WINDOWS = 1 << 20, 1 << 18, 1 << 20
 W = [f"w{k}" for k in range(1, ORDER + 1)]
 # pieces end at . , ; : ! ? and 0A to 0D; a tab parts words like a blank
 FORM = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
