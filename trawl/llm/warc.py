@@ -239,7 +239,8 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 def assemble(records: DataFrame) -> DataFrame:
     """One row per response or revisit record: capture_id, type, uri, date, digest, length, body, refers_to and, nested,
     request and metadata (record_id, head, body of the one with the smallest record_id; null where there is none), and
-    how many of each are concurrent to it.  ``unattached`` has the records that no row holds."""
+    how many of each are concurrent to it.  ``unattached`` has the records that no row holds.  ``records`` are read
+    by several joins, so give a written table where there are many."""
     captures = records.where(F.col("type").isin(*CAPTURES))
     attached = attachments(records)
     of = lambda kind: F.min(F.when(F.col("type") == kind, F.struct("record_id", "head", "body"))).alias(kind)
@@ -280,7 +281,10 @@ def page_id(metadata: Column) -> Column:
 
 def capture_table(spark: SparkSession, path: str) -> DataFrame:
     """Captures with their page_id and, for revisits, the page and payload length of the response that they refer to."""
-    found = Stored(spark).put(assemble(read(spark, path, payloads=False)).select("capture_id", "type", "uri", "digest", "length", "refers_to", page_id(F.col("metadata")).alias("page_id")))
+    store = Stored(spark)
+    records = store.put(read(spark, path, payloads=False))  # read by several joins
+    found = store.put(assemble(records).select("capture_id", "type", "uri", "digest", "length", "refers_to", page_id(F.col("metadata")).alias("page_id")))
+    store.drop(records)
     first = found.where("type = 'response'").groupBy(F.col("capture_id").alias("refers_to")).agg(F.min("page_id").alias("first_id"), F.max("length").alias("first_length"))
     again = found.where("type = 'revisit'").join(first, "refers_to", "left")
     return found.where("type = 'response'").unionByName(again, allowMissingColumns=True)
