@@ -1,6 +1,7 @@
 """Search: query guard, scope, BM25 prefilter, cosine, fusion, symbol boosts, rerank, results with code.
 
-The text of a chunk is read where it lies: its row becomes narrow (length, term counts, path boosts)
+With an inverted index (``operators.postings``) a search reads the asked terms' blocks and no text.  Without one the
+text of a chunk is read where it lies: its row becomes narrow (length, term counts, path boosts)
 before anything is joined or ordered.  The keyword hits, at most ``max(limit, 60, 500)``, are computed
 once and held as a small local table, like every list after them; vectors are then read for the hits
 only.  Where there are no hits (or keyword search is off) all chunks in scope are scored, with a top-k
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_query, query_pattern, tokens
 from ..functions.vector import cosine
-from ..operators import bm25, graph, rank, scope, storage
+from ..operators import bm25, graph, postings, rank, scope, storage
 
 BUDGET, PREFILTER, MOST_CHARS = 60, 500, 5000
 
@@ -32,15 +33,33 @@ def held(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def candidates(chunks: DataFrame, vectors: DataFrame, terms: list[str], query_text: str, query_vector: list[float], budget: int, where: scope.Scope) -> tuple[DataFrame, DataFrame | None]:
-    """(doc_id, score; at most 500 rows, or ``budget`` without keyword hits; doc_id, bm25 of the keyword hits or None)."""
-    inside = scope.apply(chunks, where)
+def keyword_hits(index: postings.Index, terms: list[str], limit: int, where: scope.Scope) -> DataFrame:
+    """doc_id and bm25 of the best ``limit`` chunks in scope, held; statistics are those of the scope."""
+    within = scope.apply(index.docs, where) if where.active else None
+    asked = index.docs.sparkSession.createDataFrame([(0, terms)], "query int, terms array<string>")
+    return held(postings.search(index, asked, limit, within=within, digits=9).select("doc_id", "bm25"))
+
+
+def candidates(
+    chunks: DataFrame, vectors: DataFrame, terms: list[str], query_text: str, query_vector: list[float], budget: int, where: scope.Scope, index: postings.Index | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, score; at most 500 rows, or ``budget`` without keyword hits; doc_id, bm25 of the keyword hits or None).
+
+    ``index`` holds the chunks that have a vector, with the columns that scopes and boosts read.
+    """
+    inside = scope.apply(chunks if index is None else index.docs, where)
+    chunks = inside
     intent = F.col("intent") if "intent" in chunks.columns else F.lit(None).cast("string")
     parts = {"__boost": rank.boosts(F.col("file_path"), F.col("tags"), intent, F.lit(query_text))}
     similarity = F.round(cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query_vector])), 9)
     score = rank.clip(similarity + F.col("__boost")).alias("score")
     keyword, terms = None, sorted(set(terms))
-    if where.hybrid and where.bm25 and terms:
+    if where.hybrid and where.bm25 and terms and index is not None:
+        keyword = keyword_hits(index, terms, max(budget, PREFILTER), where)
+        if not keyword.isEmpty():
+            hits = index.docs.join(F.broadcast(keyword.select("doc_id")), "doc_id").withColumns(parts).select("doc_id", "__boost")
+            return held(vectors.join(F.broadcast(hits), "doc_id").select("doc_id", score)), keyword
+    elif where.hybrid and where.bm25 and terms:
         rows = bm25.counted(inside.withColumns(parts), terms, "doc_id", "__boost").join(vectors.select("doc_id"), "doc_id", "left_semi")
         hits = bm25.scored(rows, held(bm25.statistics(rows, terms)), terms, "doc_id", "__boost")
         hits = held(hits.withColumn("bm25", F.round("bm25", 9)).orderBy(F.desc("bm25"), "doc_id").limit(max(budget, PREFILTER)))
@@ -53,14 +72,14 @@ def candidates(chunks: DataFrame, vectors: DataFrame, terms: list[str], query_te
 
 def hybrid(
     chunks: DataFrame, vectors: DataFrame, terms: list[str], query_text: str, query_vector: list[float], limit: int = 10, where: scope.Scope | None = None, symbols: DataFrame | None = None,
-    scorer: Callable[[list[str]], list[float]] | None = None,
+    scorer: Callable[[list[str]], list[float]] | None = None, index: postings.Index | None = None,
 ) -> DataFrame:
     """``chunks(doc_id, file_path, lang, tags, text, ...)``, ``vectors(doc_id, embedding)`` → the best ``limit``:
     doc_id, score, rrf, vrank, brank (ranks from 0); with ``symbols`` (a symbol map whose chunk_id is the
     doc_id as text) also symbol_boost and sources; with a ``scorer`` and the scope's reranker also rerank."""
     where = where or scope.Scope()
     budget = max(limit, BUDGET)
-    scored, keyword = candidates(chunks, vectors, terms, query_text, query_vector, budget, where)
+    scored, keyword = candidates(chunks, vectors, terms, query_text, query_vector, budget, where, index)
     scored = scored.withColumnRenamed("doc_id", "id")
     top = scored.orderBy(F.desc("score"), "id").limit(budget)
     vlist = rank.numbered(top, "vrank", F.desc("score"), F.col("id"))
@@ -112,6 +131,7 @@ class Index:
     symbols: DataFrame | None = None
     blobs: DataFrame | None = None
     keys: tuple[bytes, ...] = ()
+    postings: postings.Index | None = None
 
 
 @dataclass
@@ -155,7 +175,7 @@ def search(spark: SparkSession, index: Index, query: str, embed: Callable[[str],
     if index.chunks.isEmpty():
         return Found(None, "error", "no_chunks_found", "nothing is indexed")
     where = where or scope.Scope()
-    found = held(hybrid(index.chunks, index.vectors, asked["terms"], asked["q"], embed(asked["q"]), limit, where, index.symbols, scorer))
+    found = held(hybrid(index.chunks, index.vectors, asked["terms"], asked["q"], embed(asked["q"]), limit, where, index.symbols, scorer, index.postings))
     kind = "hybrid" if where.hybrid and where.bm25 else "vector"
     order = [F.desc_nulls_last("meta.rerank"), F.desc("meta.score"), F.col("meta.id")]
     return Found(mapped(found, index.chunks, kind).orderBy(*order), kind)

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import vector as V
-from .operators import bm25, chunking, conversation, graph, maintain, rank, scope, storage
+from .operators import chunking, conversation, graph, maintain, postings, rank, scope, storage
 from .plans import search
-from .sources.tables import chunks, spread, table, vectors
+from .sources.tables import chunks, shared_folder, spread, table, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,6 +38,23 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+BUILT: dict[tuple[str, str, bool], postings.Index] = {}
+
+
+def keyword_index(spark: SparkSession, sf: str, embedded: bool = False) -> postings.Index:
+    """The inverted index of all documents, or of those with a vector; built by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, sf, embedded)
+    if key not in BUILT:
+        rows = searchable(spark, sf)
+        rows = rows.join(vectors(spark, sf).select("doc_id"), "doc_id", "left_semi") if embedded else rows
+        BUILT[key] = postings.write(rows, shared_folder(spark), keep=("file_path", "lang", "tags"))
+    return BUILT[key]
+
+
+def one_query(spark: SparkSession, terms: list[str]) -> DataFrame:
+    return spark.createDataFrame([(0, terms)], "query int, terms array<string>")
+
+
 # ---- SQL pieces
 TOKENS = r"list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')"
 CHUNKS = r"""SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, (CASE WHEN doc_id % 5 = 0 THEN 'docs/' ELSE 'src/' END) || source || '/' || lang || '/d' || CAST(doc_id AS VARCHAR) || (CASE WHEN doc_id % 7 = 0 THEN '.md' ELSE '.txt' END) AS file_path,
@@ -56,8 +73,7 @@ def bm25_sql(terms: list[str], source: str = "documents") -> str:
 
 @query(f"WITH {bm25_sql(TERMS)} SELECT doc_id, round(bm25, 6) AS bm25 FROM (SELECT doc_id, round(bm25, 9) AS bm25 FROM bm ORDER BY bm25 DESC, doc_id LIMIT 20)")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    hits = bm25.score(texts(spark, sf), TERMS).select("doc_id", F.round("bm25", 9).alias("bm25"))
-    return hits.orderBy(F.desc("bm25"), "doc_id").limit(20).select("doc_id", F.round("bm25", 6).alias("bm25"))
+    return postings.search(keyword_index(spark, sf), one_query(spark, TERMS), 20, digits=9).select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, {TOKENS} AS t FROM documents), q AS (SELECT DISTINCT item_id, unnest({TOKENS}) AS term FROM benchmark),
@@ -66,7 +82,8 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     s AS (SELECT item_id, doc_id, round(sum({IDF} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS bm25 FROM q, tf, df, st WHERE q.term = tf.term AND tf.term = df.term GROUP BY item_id, doc_id)
     SELECT item_id, doc_id, bm25, CAST(rank AS INTEGER) AS rank FROM (SELECT item_id, doc_id, bm25, row_number() OVER (PARTITION BY item_id ORDER BY bm25 DESC, doc_id) AS rank FROM s) WHERE rank <= 5""")
 def bm25_multi_query(spark: SparkSession, sf: str) -> DataFrame:
-    return bm25.score_many(texts(spark, sf), table(spark, sf, "benchmark"), 5)
+    asked = table(spark, sf, "benchmark").select("item_id", T.tokens(F.col("text")).alias("terms"))
+    return postings.search(keyword_index(spark, sf), asked, 5, "item_id").withColumnRenamed("query", "item_id")
 
 
 COSINE = "round(CASE WHEN len(a.v) <> len(b.v) OR list_dot_product(a.v, a.v) = 0 OR list_dot_product(b.v, b.v) = 0 THEN 0.0 ELSE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) END, 6)"
@@ -123,17 +140,17 @@ def hybrid_sql(terms: list[str], text: str, where: str = "TRUE", fallback: bool
 
 @query(hybrid_sql(TERMS, QUERY))
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    return search.hybrid(searchable(spark, sf), vectors(spark, sf), TERMS, QUERY, query_vector(spark, sf))
+    return search.hybrid(searchable(spark, sf), vectors(spark, sf), TERMS, QUERY, query_vector(spark, sf), index=keyword_index(spark, sf, True))
 
 
 @query(hybrid_sql(["nosuchword"], "nosuchword", fallback=True))
 def hybrid_keyword_empty(spark: SparkSession, sf: str) -> DataFrame:
-    return search.hybrid(searchable(spark, sf), vectors(spark, sf), ["nosuchword"], "nosuchword", query_vector(spark, sf))
+    return search.hybrid(searchable(spark, sf), vectors(spark, sf), ["nosuchword"], "nosuchword", query_vector(spark, sf), index=keyword_index(spark, sf, True))
 
 
 @query(hybrid_sql(TERMS, QUERY, where="file_path LIKE 'src/%' AND ch.lang = 'en'"))
 def hybrid_scoped(spark: SparkSession, sf: str) -> DataFrame:
-    return search.hybrid(searchable(spark, sf), vectors(spark, sf), TERMS, QUERY, query_vector(spark, sf), where=scope.Scope(path_glob=["src/**"], lang=["en"]))
+    return search.hybrid(searchable(spark, sf), vectors(spark, sf), TERMS, QUERY, query_vector(spark, sf), where=scope.Scope(path_glob=["src/**"], lang=["en"]), index=keyword_index(spark, sf, True))
 
 
 @query(f"WITH ch AS ({CHUNKS}) SELECT doc_id, file_path FROM ch WHERE regexp_matches(file_path, '^src/[^/]*/(en|fr)/.*\\.md$')")

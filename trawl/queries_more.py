@@ -13,7 +13,7 @@ from .functions import text as T
 from .functions import vector as V
 from .operators import chunking, codemap, conversation, graph, maintain, rank, scope, storage
 from .plans import answer, search
-from .queries import CHUNKS, LIMITS, QUERY, STRENGTH_SQL, TERMS, hybrid_sql, query, query_vector, searchable, strengths, versions
+from .queries import CHUNKS, LIMITS, QUERY, STRENGTH_SQL, TERMS, hybrid_sql, keyword_index, query, query_vector, searchable, strengths, versions
 from .sources import files, packs
 from .sources.tables import chunks, table, vectors
 
@@ -383,7 +383,7 @@ def hybrid_symbol_boost(spark: SparkSession, sf: str) -> DataFrame:
     c = chunks(spark, sf)
     ids = c.select("doc_id", F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("sha"), "symbol")
     symbols = codemap.normalized(ids.select(F.col("doc_id").cast("string").alias("chunk_id"), "sha", "symbol", F.array(F.concat(F.lit("k"), (F.col("doc_id") + 1).cast("string"))).alias("symbol_neighbors")))
-    found = search.hybrid(searchable(spark, sf), vectors(spark, sf), TERMS, QUERY, query_vector(spark, sf), symbols=symbols)
+    found = search.hybrid(searchable(spark, sf), vectors(spark, sf), TERMS, QUERY, query_vector(spark, sf), symbols=symbols, index=keyword_index(spark, sf, True))
     place = lambda c: F.coalesce(c, F.lit(-1).cast("long")).alias(c)
     return found.select("doc_id", "score", F.round("symbol_boost", 6).alias("symbol_boost"), "rrf", place("vrank"), place("brank"))
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,3 +32,25 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, else (local mode only) a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    FOLDERS.append((spark, f"{root or tempfile.gettempdir()}/trawl-index-{uuid.uuid4().hex}"))
+    return FOLDERS[-1][1]
+
+
+FOLDERS: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def release() -> None:
+    """Deletes the folders that ``shared_folder`` gave to this driver."""
+    while FOLDERS:
+        with contextlib.suppress(Exception):  # the session may be gone
+            spark, folder = FOLDERS.pop()
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
