@@ -1,6 +1,6 @@
 """An inverted index for BM25: blocks of postings stored by term, and searches that read only the asked terms.
 
-``blocks``: one row for up to ``BLOCK`` postings of a term in a segment, ids in order: bucket, term, segment, n, ids,
+``blocks``: one row for up to ``BLOCK`` postings of a term in a segment, ids in order: bucket, term, segment, no (of the block, from 0), n, ids,
 tfs (occurrences), lens (tokens of the document), most (largest tf) and shortest (smallest length).  The last two bound
 what any posting of the block can add to a score, whatever the statistics of the searched scope.  Files are parted by
 ``bucket`` (a hash of the term) and sorted by term, so a search opens the buckets of its terms and skips row groups.
@@ -70,9 +70,9 @@ def counted(docs: DataFrame, id_col: str, text_col: str, segments: int, buckets:
 def blocked(postings: DataFrame) -> DataFrame:
     """Blocks of postings that come sorted by (bucket, term, segment, id)."""
     kind = postings.schema["id"].dataType
-    names = ["bucket", "term", "segment", "n", "ids", "tfs", "lens", "most", "shortest"]
+    names = ["bucket", "term", "segment", "no", "n", "ids", "tfs", "lens", "most", "shortest"]
 
-    def rows(table: pa.Table, begins: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    def rows(table: pa.Table, begins: np.ndarray, ends: np.ndarray, no: np.ndarray) -> pa.RecordBatch:
         offsets = pa.array(np.append(begins, ends[-1:]) - begins[0], pa.int32())
         column = lambda c: table.column(c).combine_chunks()
         listed = lambda c: pa.ListArray.from_arrays(offsets, column(c).slice(int(begins[0]), int(ends[-1] - begins[0])))
@@ -81,34 +81,36 @@ def blocked(postings: DataFrame) -> DataFrame:
         span = slice(int(begins[0]), int(ends[-1]))
         most = np.maximum.reduceat(tf[span], begins - begins[0])
         shortest = np.minimum.reduceat(length[span], begins - begins[0])
-        arrays = [column("bucket").take(first), column("term").take(first), column("segment").take(first), pa.array((ends - begins).astype(np.int32)), listed("id"), listed("tf"), listed("len"), pa.array(most, pa.int32()), pa.array(shortest, pa.int32())]
+        arrays = [column("bucket").take(first), column("term").take(first), column("segment").take(first), pa.array(no, pa.int32()), pa.array((ends - begins).astype(np.int32)), listed("id"), listed("tf"), listed("len"), pa.array(most, pa.int32()), pa.array(shortest, pa.int32())]
         return pa.RecordBatch.from_arrays(arrays, names)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        first = 0  # the number of the held rows' first block
         for batch in batches:
             if not batch.num_rows:
                 continue
             part = pa.Table.from_batches([batch])
             held = part if held is None else pa.concat_tables([held, part])
-            begins, ends = cut(held)
+            begins, ends, no = cut(held, first)
             if len(begins) > 1:  # the last block may go on in the next batch
-                yield rows(held, begins[:-1], ends[:-1])
-                held = held.slice(int(begins[-1]))
+                yield rows(held, begins[:-1], ends[:-1], no[:-1])
+                held, first = held.slice(int(begins[-1])), int(no[-1])
         if held is not None:
-            yield rows(held, *cut(held))
+            yield rows(held, *cut(held, first))
 
-    def cut(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def cut(table: pa.Table, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         term = table.column("term").combine_chunks().dictionary_encode().indices.to_numpy()
         segment = table.column("segment").to_numpy()
         at = np.arange(len(term))
         new = np.append(True, (term[1:] != term[:-1]) | (segment[1:] != segment[:-1]))
         begin_of = np.maximum.accumulate(np.where(new, at, 0))
         begins = np.flatnonzero((at - begin_of) % BLOCK == 0)
-        return begins, np.append(begins[1:], len(term))
+        no = (begins - begin_of[begins]) // BLOCK + np.where(begin_of[begins] == 0, first, 0)
+        return begins, np.append(begins[1:], len(term)), no
 
     schema = ty.StructType([
-        ty.StructField("bucket", ty.IntegerType()), ty.StructField("term", ty.StringType()), ty.StructField("segment", ty.IntegerType()), ty.StructField("n", ty.IntegerType()), ty.StructField("ids", ty.ArrayType(kind)),
+        ty.StructField("bucket", ty.IntegerType()), ty.StructField("term", ty.StringType()), ty.StructField("segment", ty.IntegerType()), ty.StructField("no", ty.IntegerType()), ty.StructField("n", ty.IntegerType()), ty.StructField("ids", ty.ArrayType(kind)),
         ty.StructField("tfs", ty.ArrayType(ty.IntegerType())), ty.StructField("lens", ty.ArrayType(ty.IntegerType())), ty.StructField("most", ty.IntegerType()), ty.StructField("shortest", ty.IntegerType()),
     ])
     return postings.mapInArrow(build, schema)
@@ -130,7 +132,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 def read(spark: SparkSession, path: str, buckets: int = 16) -> Index:
     docs = spark.read.parquet(f"{path}/docs")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"term string, segment int, n int, ids array<{kind}>, tfs array<int>, lens array<int>, most int, shortest int, bucket int"
+    schema = f"term string, segment int, no int, n int, ids array<{kind}>, tfs array<int>, lens array<int>, most int, shortest int, bucket int"
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()
     return Index(spark.read.schema(schema).parquet(f"{path}/blocks"), docs, buckets, {"n": float(row["n"]), "mean": row["mean"] or 0.0})
 
@@ -153,7 +155,7 @@ def restricted(blocks: DataFrame, docs: DataFrame) -> DataFrame:
     both = head.unionByName(blocks.select("term", "segment", "ids", "tfs", "lens", "bucket")).repartition("segment").sortWithinPartitions("segment", F.asc_nulls_first("term"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, known = None, None
+        segment, known, last, no = None, None, None, 0
         for batch in batches:
             out = []
             for k in range(batch.num_rows):
@@ -164,11 +166,14 @@ def restricted(blocks: DataFrame, docs: DataFrame) -> DataFrame:
                 there = pc.is_in(values, value_set=known) if here == segment else pa.array([False] * len(values))
                 tfs, lens = batch.column("tfs")[k].values.filter(there), batch.column("lens")[k].values.filter(there)
                 if len(tfs):
-                    out.append((batch.column("term")[k].as_py(), here, len(tfs), values.filter(there), tfs, lens, pc.max(tfs).as_py(), pc.min(lens).as_py(), batch.column("bucket")[k].as_py()))
+                    term = batch.column("term")[k].as_py()
+                    no = no + 1 if (term, here) == last else 0
+                    last = (term, here)
+                    out.append((term, here, no, len(tfs), values.filter(there), tfs, lens, pc.max(tfs).as_py(), pc.min(lens).as_py(), batch.column("bucket")[k].as_py()))
             if out:
                 columns = list(zip(*out))
                 lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(p) for p in parts])), pa.int32()), pa.concat_arrays(parts))
-                arrays = [pa.array(c, pa.string()) if i == 0 else lists(c) if i in (3, 4, 5) else pa.array(c, pa.int32()) for i, c in enumerate(columns)]
+                arrays = [pa.array(c, pa.string()) if i == 0 else lists(c) if i in (4, 5, 6) else pa.array(c, pa.int32()) for i, c in enumerate(columns)]
                 yield pa.RecordBatch.from_arrays(arrays, kind.names)
 
     return both.mapInArrow(keep, kind)
@@ -246,16 +251,17 @@ def search(index: Index, queries: DataFrame, k: int, query_col: str = "query", w
     groups = max(1, -(-queries.count() // QUERIES))
     group = F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int")
     by_term = asked.join(df, "term").groupBy("term", group.alias("group")).agg(F.collect_list(F.struct("query", idf.alias("idf"))).alias("asked"))
-    rows = blocks.join(by_term, "term").repartition("segment", "group").sortWithinPartitions("segment", "group")
-    rows = rows.select("segment", "group", "term", "n", "ids", "tfs", "lens", "most", "shortest", "asked")
+    # who asks for a term stands with the first of its blocks in a segment
+    rows = blocks.join(by_term, "term").select("segment", "group", "term", "n", "ids", "tfs", "lens", "most", "shortest", F.when(F.col("no") == 0, F.col("asked")).alias("asked"))
+    rows = rows.repartition("segment", "group").sortWithinPartitions("segment", "group")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups_of(batches):
             segment = Segment(table, mean)
             queries_: dict = {}
-            terms, lists = table.column("term").to_pylist(), table.column("asked")
-            for term, place in {t: i for i, t in enumerate(terms)}.items():
-                for x in lists[place].as_py():
+            first = table.filter(pc.is_valid(table.column("asked")))
+            for term, asked in zip(first.column("term").to_pylist(), first.column("asked").to_pylist()):
+                for x in asked:
                     queries_.setdefault(x["query"], []).append((term, x["idf"]))
             found = [(q, *segment.best(sorted(a), k, digits)) for q, a in queries_.items()]
             if found:
