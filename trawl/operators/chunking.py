@@ -213,6 +213,7 @@ def markup_nodes(text: str) -> list[Node]:
 PARSERS: dict[str, Callable[[str], list[Node]]] = {"python": python_nodes, "markdown": markdown_nodes, "json": json_nodes, "bash": shell_nodes, "css": style_nodes, "html": markup_nodes}
 PARSERS |= dict.fromkeys(("javascript", "typescript", "tsx", "php", "java", "go", "c", "cpp", "csharp", "rust", "scala", "swift", "kotlin"), brace_nodes)
 PARSERS |= dict.fromkeys(("ruby", "lua", "elixir"), end_nodes) | dict.fromkeys(("ocaml", "haskell"), edge_nodes)
+BEFORE = 500  # characters before a chunk in which its comment is sought
 COUNTS = ("nodes", "normal", "subdivided", "merged_small", "skipped_small", "statement_fallback", "file_grouped", "functions_grouped")
 
 
@@ -233,7 +234,7 @@ def chunk_file(path: str, text: str, lang: str, limits: Limits, counts: Counter
     def row(symbol: str, kind: str, start: int, code: str) -> dict:
         sha = hashlib.sha1(code.encode("utf-8", "surrogatepass")).hexdigest()
         first = text.count("\n", 0, start) + 1
-        return {"id": f"{path}:{symbol}:{sha[:8]}", "file_path": path, "symbol": symbol, "sha": sha, "lang": lang, "chunk_type": kind, "code": code, "start_line": first, "end_line": first + code.count("\n")}
+        return {"id": f"{path}:{symbol}:{sha[:8]}", "file_path": path, "symbol": symbol, "sha": sha, "lang": lang, "chunk_type": kind, "code": code, "start_line": first, "end_line": first + code.count("\n"), "before": text[max(0, start - BEFORE) : start]}
 
     def emit(node: Node, has_parent: bool) -> Iterator[dict]:
         code = text[node.start : node.end]
@@ -291,7 +292,7 @@ def chunk_file(path: str, text: str, lang: str, limits: Limits, counts: Counter
         yield row("fallback", "file", 0, text)
 
 
-CHUNK = "id string, file_path string, symbol string, sha string, lang string, chunk_type string, code string, start_line int, end_line int"
+CHUNK = "id string, file_path string, symbol string, sha string, lang string, chunk_type string, code string, start_line int, end_line int, before string"
 
 
 def chunk(files: DataFrame, limits: Limits = Limits(), strategy: Strategy = Strategy()) -> DataFrame:

@@ -44,6 +44,53 @@ def neighbours(edges: DataFrame, out_limit: int = 12, both_limit: int = 24) -> D
     return both.withColumn("both", F.slice(F.array_union("callees", "callers"), 1, both_limit))
 
 
+EDGES = "sha string, file string, chunk_id string, targets array<struct<ord:struct<chunk_id:string,k:int>,dst:string>>"
+
+
+def callers(symbols: DataFrame) -> DataFrame:
+    """The entry of the symbol map that counts for each sha: the last one.  (sha, chunk_id, file, calls)"""
+    last = F.max_by(F.struct("chunk_id", "file", F.col("symbol_calls").alias("calls")), "chunk_id")
+    return symbols.groupBy("sha").agg(last.alias("__e")).select("sha", "__e.*")
+
+
+def edge_lists(entries: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``callers`` → the ``EDGES`` row of each entry: what its calls resolve to in the whole map, in order."""
+    calls = entries.select(F.col("sha").alias("src"), "file", F.posexplode("calls").alias("k", "name"), "chunk_id")
+    calls = calls.select("src", "file", F.struct("chunk_id", "k").alias("ord"), "name")
+    named = calls.select(F.lower(F.trim("name")).alias("__n")).distinct()
+    known = symbols.where("symbol IS NOT NULL").select("sha", "file", F.col("symbol").alias("name"), F.col("chunk_id").alias("place"))
+    known = known.withColumn("__n", F.lower(F.trim("name"))).join(named, "__n", "left_semi").drop("__n")
+    found = resolve_calls(calls, known).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("ord", "dst"))).alias("targets"))  # a chunk's calls are few
+    return entries.select("sha", "file", "chunk_id").join(found.withColumnRenamed("src", "sha"), "sha", "left").withColumn("targets", F.coalesce("targets", F.array().cast("array<struct<ord:struct<chunk_id:string,k:int>,dst:string>>")))
+
+
+def affected(symbols: DataFrame, changed: DataFrame) -> DataFrame:
+    """``changed(sha, symbol)``: entries that came or went → the shas whose calls may resolve otherwise now: the changed
+    ones, and those that call a name whose definitions changed."""
+    names = changed.where("symbol IS NOT NULL").select(F.lower(F.trim("symbol")).alias("__n")).distinct()
+    calling = symbols.select("sha", F.explode("symbol_calls").alias("c")).select("sha", F.lower(F.trim("c")).alias("__n")).join(names, "__n", "left_semi")
+    return calling.select("sha").unionByName(changed.select("sha")).distinct()
+
+
+def flat(edges: DataFrame) -> DataFrame:
+    """``EDGES`` rows → (src, dst, ord)."""
+    return edges.select(F.col("sha").alias("src"), F.explode("targets").alias("t")).select("src", F.col("t.dst").alias("dst"), F.col("t.ord").alias("ord"))
+
+
+def with_neighbours(symbols: DataFrame, edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Entries of the symbol map (of ``nodes(sha)`` only, if given) with their call targets, callers and neighbours."""
+    rows = flat(edges)
+    if nodes is not None:
+        symbols = symbols.join(nodes, "sha", "left_semi")
+        out = rows.join(nodes.withColumnRenamed("sha", "src"), "src", "left_semi").unionByName(rows.join(nodes.withColumnRenamed("sha", "dst"), "dst", "left_semi"))
+        rows = out.distinct()
+    near = neighbours(rows).withColumnRenamed("node", "sha")
+    lists = {"symbol_call_targets": "callees", "symbol_callers": "callers", "symbol_neighbors": "both"}
+    joined = symbols.drop(*lists).join(near, "sha", "left")
+    empty = F.array().cast("array<string>")
+    return joined.select(*[F.coalesce(lists[c], empty).alias(c) if c in lists else F.col(c) for c in symbols.columns])
+
+
 def best_neighbour(nodes: DataFrame, strengths: DataFrame) -> DataFrame:
     """``nodes(id, both)``, ``strengths(sha, strength)`` → id, neighbour (the largest strength)."""
     return nodes.select("id", F.explode("both").alias("sha")).join(strengths, "sha").groupBy("id").agg(F.max("strength").alias("neighbour"))

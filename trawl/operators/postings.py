@@ -38,6 +38,7 @@ class Index:
     docs: DataFrame
     buckets: int
     sizes: dict[str, float] = field(default_factory=dict)  # n and mean of all documents
+    partial: bool = False  # blocks also hold documents that ``docs`` doesn't
 
 
 def bucket_of(term: Column | str, buckets: int) -> Column:
@@ -130,11 +131,30 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
 
 def read(spark: SparkSession, path: str, buckets: int = 16) -> Index:
-    docs = spark.read.parquet(f"{path}/docs")
+    return joined(spark, [path], buckets)
+
+
+def joined(spark: SparkSession, paths: list[str], buckets: int = 16, live: DataFrame | None = None) -> Index:
+    """Several parts, oldest first, as one index: of each document the newest part's postings, and only if it is in ``live(doc_id)``."""
+    docs = blocks = None
+    for k, path in enumerate(paths):
+        # segments of different parts stay apart
+        d = spark.read.parquet(f"{path}/docs").withColumn("segment", F.col("segment") + (k << 20))
+        b = _blocks(spark, path, d).withColumn("segment", F.col("segment") + (k << 20))
+        docs, blocks = (d, b) if docs is None else (docs.unionByName(d), blocks.unionByName(b))
+    if len(paths) > 1:
+        newest = F.max_by(F.struct(*[c for c in docs.columns if c != "doc_id"]), "segment").alias("__row")
+        docs = docs.groupBy("doc_id").agg(newest).select("doc_id", "__row.*")
+    if live is not None:
+        docs = docs.join(live.select("doc_id"), "doc_id", "left_semi")
+    row = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()
+    return Index(blocks, docs, buckets, {"n": float(row["n"]), "mean": row["mean"] or 0.0}, len(paths) > 1 or live is not None)
+
+
+def _blocks(spark: SparkSession, path: str, docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"term string, segment int, no int, n int, ids array<{kind}>, tfs array<int>, lens array<int>, most int, shortest int, bucket int"
-    row = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()
-    return Index(spark.read.schema(schema).parquet(f"{path}/blocks"), docs, buckets, {"n": float(row["n"]), "mean": row["mean"] or 0.0})
+    return spark.read.schema(schema).parquet(f"{path}/blocks")
 
 
 def asked_blocks(index: Index, terms: DataFrame) -> DataFrame:
@@ -241,7 +261,8 @@ def search(index: Index, queries: DataFrame, k: int, query_col: str = "query", w
     if within is not None:
         row = within.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()
         n, mean = float(row["n"]), row["mean"] or 0.0
-        blocks = restricted(blocks, within)
+    if within is not None or index.partial:
+        blocks = restricted(blocks, index.docs if within is None else within)
     id_type, query_type = index.docs.schema["doc_id"].dataType, queries.schema[query_col].dataType
     schema = ty.StructType([ty.StructField("query", query_type), ty.StructField("doc_id", id_type), ty.StructField("bm25", ty.DoubleType())])
     if n < LEAST or mean <= 0:

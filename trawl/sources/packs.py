@@ -150,26 +150,41 @@ class RemoteProvider(EmbeddingProvider):
         return out
 
 
+class TooLarge(ValueError):
+    """What a provider raises when a request holds too much."""
+
+
+def embedded(provider: EmbeddingProvider, texts: list[str]) -> list[list[float] | None]:
+    """Vectors of a batch by the kind of failure: one that is too large is halved; a service that can't be reached (after
+    the limiter's retries) fails the task, which Spark tries again; otherwise each text is tried alone, and one that
+    still fails gets null, unless all of several fail, which is an error of the service and not of the texts."""
+    try:
+        return list(provider.vectors(texts))
+    except (ConnectionError, TimeoutError):
+        raise
+    except TooLarge:
+        if len(texts) == 1:
+            return [None]
+        half = len(texts) // 2
+        return embedded(provider, texts[:half]) + embedded(provider, texts[half:])
+    except Exception as error:  # noqa: BLE001
+        if len(texts) == 1:
+            return [None]
+        out = [x for t in texts for x in embedded(provider, [t])]
+        if all(x is None for x in out):
+            raise RuntimeError(f"{provider.name} failed for every text of a batch") from error
+        return out
+
+
 def embed(df, provider: EmbeddingProvider, text: str = "code", batch: int = 100):  # type: ignore[no-untyped-def]
-    """Adds ``embedding``; a failing batch is tried text by text, and a text that still fails gets null."""
+    """Adds ``embedding``, by ``embedded`` for up to ``batch`` texts at a time."""
     from pyspark.sql import functions as F
 
     @F.pandas_udf("array<float>")
     def run(texts):  # type: ignore[no-untyped-def]
         import pandas as pd
 
-        out: list = []
         items = texts.tolist()
-        for i in range(0, len(items), batch):
-            part = items[i : i + batch]
-            try:
-                out += provider.vectors(part)
-            except Exception:  # noqa: BLE001
-                for x in part:
-                    try:
-                        out += provider.vectors([x])
-                    except Exception:  # noqa: BLE001
-                        out.append(None)
-        return pd.Series(out)
+        return pd.Series([x for i in range(0, len(items), batch) for x in embedded(provider, items[i : i + batch])], dtype=object)
 
     return df.withColumn("embedding", run(F.col(text)))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import vector as V
-from .operators import chunking, codemap, maintain, scope, storage
+from .operators import chunking, scope, storage
 from .plans import answer as A
 from .plans import indexing
 from .plans import search as S
@@ -64,8 +64,8 @@ class Project:
 
     def embed_chunks(self, df: DataFrame) -> DataFrame:
         if self.provider is None:
-            return df.withColumn("embedding", V.mock_embedding(F.col("code")).cast("array<float>"))
-        return packs.embed(df, self.provider)
+            return df.withColumn("embedding", V.mock_embedding(F.col("text")).cast("array<float>"))
+        return packs.embed(df, self.provider, "text")
 
     def embed_query(self, query: str) -> list[float]:
         if self.provider is None:
@@ -73,11 +73,10 @@ class Project:
         return self.provider.vectors([query])[0]
 
     def index(self) -> S.Index:
-        read = lambda name, schema: maintain.read_table(self.spark, f"{self.out}/{name}", schema)
-        chunks = read("chunks", indexing.CHUNKS).withColumns({"doc_id": F.col("id"), "text": F.col("code"), "tags": F.array().cast("array<string>")}).drop("code")
-        vectors = read("vectors", "id string, sha string, embedding array<float>").select(F.col("id").alias("doc_id"), "embedding")
-        blobs = read("blobs", "sha string, payload binary, encrypted boolean")
-        return S.Index(chunks, vectors, codemap.read(self.spark, f"{self.out}/symbols"), blobs, (self.key,) if self.key else ())
+        tables = indexing.Tables(self.spark, self.out)
+        chunks = tables.chunks.read().withColumns({"doc_id": F.col("id"), "text": F.col("code")}).drop("code")
+        vectors = tables.vectors.read().select(F.col("id").alias("doc_id"), "embedding")
+        return S.Index(chunks, vectors, tables.symbols.read(), tables.blobs.read(), (self.key,) if self.key else (), tables.postings())
 
     def scope_of(self, given: dict[str, Any]) -> scope.Scope:
         active = packs.load_pack(self.out, self.pack) if self.pack else packs.active(self.out)
