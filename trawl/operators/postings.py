@@ -163,8 +163,9 @@ def asked_blocks(index: Index, terms: DataFrame) -> DataFrame:
     if len(few) > FEW_TERMS:
         wanted = terms.select("term").distinct().withColumn("bucket", bucket_of("term", index.buckets))
         return index.blocks.join(wanted, ["bucket", "term"], "left_semi").select(*index.blocks.columns)
-    buckets = terms.sparkSession.createDataFrame([(t,) for t in few], "term string").select(bucket_of("term", index.buckets).alias("b")).distinct().collect() if few else []
-    return index.blocks.where(F.col("bucket").isin([r["b"] for r in buckets]) & F.col("term").isin(few))
+    local = terms.sparkSession.createDataFrame(pa.table({"term": pa.array(few, pa.string())}))  # evaluated on the driver, without a job
+    buckets = {r["b"] for r in local.select(bucket_of("term", index.buckets).alias("b")).collect()}
+    return index.blocks.where(F.col("bucket").isin(sorted(buckets)) & F.col("term").isin(few))
 
 
 def restricted(blocks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -199,6 +200,11 @@ def restricted(blocks: DataFrame, docs: DataFrame) -> DataFrame:
     return both.mapInArrow(keep, kind)
 
 
+def one_query(spark: SparkSession, terms: list[str]) -> DataFrame:
+    """The table of one query, 0, as a local relation."""
+    return spark.createDataFrame(pa.table({"query": pa.array([0], pa.int32()), "terms": pa.array([terms], pa.list_(pa.string()))}))
+
+
 def weights(tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
     """What a posting adds to a score, but for the term's idf."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))

@@ -10,11 +10,15 @@ that keeps ``budget`` rows of each task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
 
 from ..functions.text import normalize_query, query_pattern, tokens
 from ..functions.vector import cosine
@@ -30,14 +34,13 @@ def vector_top(vectors: DataFrame, query: list[float], k: int, id_col: str = "ve
 
 def held(df: DataFrame) -> DataFrame:
     """A list cut to a known length, computed once: later plans read it as a local table."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
 def keyword_hits(index: postings.Index, terms: list[str], limit: int, where: scope.Scope) -> DataFrame:
     """doc_id and bm25 of the best ``limit`` chunks in scope, held; statistics are those of the scope."""
     within = scope.apply(index.docs, where) if where.active else None
-    asked = index.docs.sparkSession.createDataFrame([(0, terms)], "query int, terms array<string>")
-    return held(postings.search(index, asked, limit, within=within, digits=9).select("doc_id", "bm25"))
+    return held(postings.search(index, postings.one_query(index.docs.sparkSession, terms), limit, within=within, digits=9).select("doc_id", "bm25"))
 
 
 def candidates(
@@ -102,6 +105,107 @@ def hybrid(
     return out.orderBy(F.desc("score"), "doc_id")
 
 
+QUERY_BLOCK = 1024
+
+
+def vector_top_many(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``rows(doc_id, embedding, base, tags, intent)``, ``queries(query, text, vector)`` → query, doc_id, score: each query's best ``k``.
+
+    A score is the cosine (to 9 places) and the boosts: ``base`` of the row, and what its tags and intent (lower case) earn in
+    the query's text.  The rows are scanned once for each block of ``QUERY_BLOCK`` queries, which is sent to the tasks; these
+    multiply matrices and keep each query's best ``k`` of their rows, so only those are exchanged.  Ties go to the smaller id.
+    """
+    spark, blocks = queries.sparkSession, max(1, -(-queries.count() // QUERY_BLOCK))
+    schema = ty.StructType([ty.StructField("query", queries.schema["query"].dataType), ty.StructField("doc_id", rows.schema["doc_id"].dataType), ty.StructField("score", ty.DoubleType())])
+    rows = rows.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"), "base", "tags", "intent")
+    out = None
+    for block in range(blocks):
+        asked = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).select("query", "text", F.col("vector").cast("array<double>").alias("vector")).toArrow()
+        if not asked.num_rows:
+            continue
+        vectors = [np.array(v if v is not None else [], float) for v in asked.column("vector").to_pylist()]
+        shared = spark.sparkContext.broadcast((asked.column("query").combine_chunks(), [t or "" for t in asked.column("text").to_pylist()], vectors))
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # type: ignore[no-untyped-def]
+            names, texts, wanted = shared.value
+            kept: dict[int, pa.Table] = {}
+            for batch in batches:
+                score = similarities(batch.column("embedding"), wanted)
+                score = np.clip(score + boosts_of(batch, texts), 0.0, 1.0)
+                ids = batch.column("doc_id")
+                for q in range(len(wanted)):
+                    found = pa.table({"score": score[q], "doc_id": ids})
+                    found = pa.concat_tables([kept[q], found]) if q in kept else found
+                    kept[q] = found.take(pc.sort_indices(found, [("score", "descending"), ("doc_id", "ascending")])[:k])
+            for q, found in kept.items():
+                yield pa.RecordBatch.from_arrays([pa.repeat(names[q], len(found)), found.column("doc_id").combine_chunks(), found.column("score").combine_chunks()], schema.names)
+
+        part = rows.mapInArrow(best, schema)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], schema)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
+    return out.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= k).drop("__place")
+
+
+def similarities(embeddings: pa.Array, wanted: list[np.ndarray]) -> np.ndarray:
+    """Cosines (to 9 places) of each query with each row; 0 where lengths differ or are nothing."""
+    out = np.zeros((len(wanted), len(embeddings)))
+    sizes = pc.list_value_length(embeddings).fill_null(0).to_numpy(zero_copy_only=False)
+    for size in {len(v) for v in wanted} - {0}:
+        place, asked = np.flatnonzero(sizes == size), [q for q, v in enumerate(wanted) if len(v) == size]
+        x = embeddings.take(pa.array(place)).flatten().to_numpy(zero_copy_only=False).reshape(len(place), size)
+        q = np.stack([wanted[k] for k in asked])
+        length = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]
+        out[np.ix_(asked, place)] = np.round(np.where(length > 0, (q @ x.T) / np.where(length > 0, length, 1.0), 0.0), 9)
+    return out
+
+
+def boosts_of(batch: pa.RecordBatch, texts: list[str]) -> np.ndarray:
+    """The boosts of each query with each row; every different tag and intent is sought in a text once."""
+    tags, intents = batch.column("tags"), batch.column("intent").dictionary_encode()
+    coded = tags.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(tags)), pc.list_value_length(tags).fill_null(0).to_numpy(zero_copy_only=False))
+    code, names, aims = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), intents.dictionary.to_pylist()
+    aim = intents.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    base = batch.column("base").to_numpy(zero_copy_only=False)
+    out = np.empty((len(texts), len(tags)))
+    for q, text in enumerate(texts):
+        hit = np.array([*(n in text for n in names), False])
+        aimed = np.array([*(bool(a) and a in text for a in aims), False])
+        out[q] = (np.where(aimed[aim], 0.2, 0.0) + 0.1 * np.bincount(row, hit[code], len(tags))) + base
+    return out
+
+
+def hybrid_many(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, index: postings.Index, limit: int = 10, where: scope.Scope | None = None) -> DataFrame:
+    """``hybrid`` for a table ``queries(query, terms, text, vector)``: query, doc_id, score, rrf, vrank, brank.
+
+    All queries share one pass over the index; a query brings at most 500 hits to the vectors.  Those without hits are
+    scored against all vectors in scope, in blocks of queries.
+    """
+    where, budget = where or scope.Scope(), max(limit, BUDGET)
+    inside = scope.apply(chunks, where)
+    meta = inside.select("doc_id", "file_path", "tags", (F.col("intent") if "intent" in chunks.columns else F.lit(None).cast("string")).alias("intent"))
+    hits = postings.search(index, queries.select("query", "terms"), max(budget, PREFILTER), within=scope.apply(index.docs, where) if where.active else None, digits=9)
+    hits = hits.select("query", "doc_id", (F.col("rank") - 1).alias("brank"))
+    boost = rank.boosts(F.col("file_path"), F.col("tags"), F.col("intent"), F.col("text"))
+    score = rank.clip(F.round(cosine(F.col("embedding"), F.col("vector")), 9) + boost).alias("score")
+    pool = hits.join(vectors, "doc_id").join(meta, "doc_id").join(queries.select("query", "text", "vector"), "query").select("query", "doc_id", "brank", score)
+    silent = queries.join(hits.select("query").distinct(), "query", "left_anti").select("query", "text", "vector")
+    base = F.when(rank.is_doc_file(F.col("file_path")), 0.15).otherwise(0.0)
+    lower = F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower)
+    rows = vectors.join(meta, "doc_id").select("doc_id", "embedding", base.alias("base"), lower.alias("tags"), F.lower("intent").alias("intent"))
+    alone = vector_top_many(rows, silent, budget).select("query", "doc_id", F.lit(None).cast("int").alias("brank"), "score")
+    by_score = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
+    ranked = pool.unionByName(alone).withColumn("vrank", F.row_number().over(by_score) - 1)
+    ranked = ranked.withColumns({c: F.when(F.col(c) < budget, F.col(c)) for c in ("vrank", "brank")})
+    part = lambda c: F.coalesce(1.0 / (rank.RRF_K + F.col(c) + 1), F.lit(0.0))
+    ranked = ranked.where("vrank IS NOT NULL OR brank IS NOT NULL").withColumn("rrf", part("vrank") + part("brank"))
+    order = Window.partitionBy("query").orderBy(F.desc("rrf"), F.asc_nulls_last("vrank"), F.asc_nulls_last("brank"), "doc_id")
+    best = ranked.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= limit)
+    return best.select("query", "doc_id", F.round("score", 6).alias("score"), F.round("rrf", 9).alias("rrf"), F.col("vrank").cast("long").alias("vrank"), F.col("brank").cast("long").alias("brank"))
+
+
 def with_symbol_boost(found: DataFrame, symbols: DataFrame, query_text: str) -> DataFrame:
     """Adds symbol_boost and sources and raises score: 0.3 of the own strength and 0.15 of the best neighbour's.
 
@@ -158,7 +262,7 @@ def overview(chunks: DataFrame, limit: int = 20) -> DataFrame:
 
 def mapped(found: DataFrame, chunks: DataFrame, kind: str) -> DataFrame:
     """Results as users see them: type, lang, path, sha and meta (id, symbol, score within 0 and 1, kind, and what ranked them)."""
-    rows = F.broadcast(found).join(chunks.drop("score"), "doc_id")
+    rows = found.join(chunks.drop("score"), "doc_id")  # a search's list is a local relation, which Spark broadcasts by its size
     optional = [F.col(c).alias(c) if c in found.columns else F.lit(None).cast(t).alias(c) for c, t in (("rrf", "double"), ("vrank", "long"), ("brank", "long"), ("rerank", "double"))]
     boost = F.when(F.col("symbol_boost") > 0, F.col("symbol_boost")) if "symbol_boost" in found.columns else F.lit(None).cast("double")
     meta = F.struct(F.col("id").alias("id"), F.col("symbol").alias("symbol"), rank.clip(F.coalesce("score", F.lit(0.0))).alias("score"), F.lit(kind).alias("kind"), *optional, boost.alias("symbol_boost"))
@@ -167,7 +271,7 @@ def mapped(found: DataFrame, chunks: DataFrame, kind: str) -> DataFrame:
 
 def search(spark: SparkSession, index: Index, query: str, embed: Callable[[str], list[float]], limit: int = 10, where: scope.Scope | None = None, scorer: Callable[[list[str]], list[float]] | None = None) -> Found:
     """The library's search: guard, overview for an empty query, hybrid search, mapped results."""
-    asked = guard(spark.createDataFrame([(query,)], "query string")).withColumn("terms", tokens(F.col("q"))).first()
+    asked = guard(spark.createDataFrame(pa.table({"query": [query]}))).withColumn("terms", tokens(F.col("q"))).first()
     if asked["status"] == "query_too_long":
         return Found(None, "error", "query_too_long", f"a query has at most {MOST_CHARS} characters")
     if asked["status"] == "overview":

@@ -51,10 +51,6 @@ def keyword_index(spark: SparkSession, sf: str, embedded: bool = False) -> posti
     return BUILT[key]
 
 
-def one_query(spark: SparkSession, terms: list[str]) -> DataFrame:
-    return spark.createDataFrame([(0, terms)], "query int, terms array<string>")
-
-
 # ---- SQL pieces
 TOKENS = r"list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')"
 CHUNKS = r"""SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, (CASE WHEN doc_id % 5 = 0 THEN 'docs/' ELSE 'src/' END) || source || '/' || lang || '/d' || CAST(doc_id AS VARCHAR) || (CASE WHEN doc_id % 7 = 0 THEN '.md' ELSE '.txt' END) AS file_path,
@@ -73,7 +69,7 @@ def bm25_sql(terms: list[str], source: str = "documents") -> str:
 
 @query(f"WITH {bm25_sql(TERMS)} SELECT doc_id, round(bm25, 6) AS bm25 FROM (SELECT doc_id, round(bm25, 9) AS bm25 FROM bm ORDER BY bm25 DESC, doc_id LIMIT 20)")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return postings.search(keyword_index(spark, sf), one_query(spark, TERMS), 20, digits=9).select("doc_id", F.round("bm25", 6).alias("bm25"))
+    return postings.search(keyword_index(spark, sf), postings.one_query(spark, TERMS), 20, digits=9).select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, {TOKENS} AS t FROM documents), q AS (SELECT DISTINCT item_id, unnest({TOKENS}) AS term FROM benchmark),
@@ -153,6 +149,29 @@ def hybrid_scoped(spark: SparkSession, sf: str) -> DataFrame:
     return search.hybrid(searchable(spark, sf), vectors(spark, sf), TERMS, QUERY, query_vector(spark, sf), where=scope.Scope(path_glob=["src/**"], lang=["en"]), index=keyword_index(spark, sf, True))
 
 
+@query(f"""WITH ch AS ({CHUNKS}), e AS ({VECS}), inside AS (SELECT ch.*, {TOPICS_SQL.replace("source", "split_part(file_path, '/', 2)")} AS tags, e.v AS v FROM ch JOIN e ON ch.doc_id = e.vec_id),
+    q AS (SELECT item_id AS query, CASE WHEN item_id % 10 = 3 THEN ['nosuchword'] ELSE list_distinct({TOKENS}) END AS terms, lower(text) AS qtext, e.v AS qv FROM benchmark JOIN e ON item_id = e.vec_id),
+    d AS (SELECT doc_id, {TOKENS} AS t FROM inside), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(t)) AS mean FROM d),
+    w AS (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM d), tf AS (SELECT doc_id, len, term, CAST(count(*) AS DOUBLE) AS tf FROM w GROUP BY doc_id, len, term), df AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY term),
+    asked AS (SELECT query, unnest(terms) AS term FROM q),
+    bm AS (SELECT query, doc_id, round(sum({IDF} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 9) AS bm25 FROM asked, tf, df, st WHERE asked.term = tf.term AND tf.term = df.term AND n >= 3 GROUP BY query, doc_id),
+    hits AS (SELECT * FROM (SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY bm25 DESC, doc_id) - 1 AS brank FROM bm) WHERE brank < 500),
+    pairs AS (SELECT query, doc_id, brank FROM hits UNION ALL SELECT query, doc_id, NULL FROM q, inside WHERE query NOT IN (SELECT query FROM hits)),
+    sc AS (SELECT p.query AS query, p.doc_id AS doc_id, CASE WHEN brank < 60 THEN brank END AS brank, least(1.0, greatest(0.0, round(list_dot_product(i.v, qv) / (sqrt(list_dot_product(i.v, i.v)) * sqrt(list_dot_product(qv, qv))), 9)
+        + 0.1 * len(list_filter(tags, lambda t: instr(qtext, t) > 0)) + CASE WHEN file_path LIKE 'docs/%' OR file_path LIKE '%.md' THEN 0.15 ELSE 0 END)) AS score FROM pairs p JOIN inside i ON p.doc_id = i.doc_id JOIN q ON p.query = q.query),
+    v0 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) - 1 AS v FROM sc), v1 AS (SELECT query, doc_id, score, brank, CASE WHEN v < 60 THEN v END AS vrank FROM v0),
+    f AS (SELECT *, coalesce(1.0 / (61 + vrank), 0) + coalesce(1.0 / (61 + brank), 0) AS rrf FROM v1 WHERE vrank IS NOT NULL OR brank IS NOT NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rrf DESC, vrank NULLS LAST, brank NULLS LAST, doc_id) AS place FROM f)
+    SELECT query, doc_id, round(score, 6) AS score, round(CAST(rrf AS DOUBLE), 9) AS rrf, CAST(coalesce(vrank, -1) AS BIGINT) AS vrank, CAST(coalesce(brank, -1) AS BIGINT) AS brank FROM r WHERE place <= 10""")
+def hybrid_many(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark item as a query, with the vector of its number; each tenth has no known word."""
+    items = table(spark, sf, "benchmark").join(vectors(spark, sf).select(F.col("doc_id").alias("item_id"), F.col("embedding").alias("vector")), "item_id")
+    terms = F.when(F.col("item_id") % 10 == 3, F.array(F.lit("nosuchword"))).otherwise(T.tokens(F.col("text")))
+    asked = items.select(F.col("item_id").alias("query"), terms.alias("terms"), F.lower("text").alias("text"), "vector")
+    found = search.hybrid_many(searchable(spark, sf), vectors(spark, sf), asked, keyword_index(spark, sf, True))
+    return found.withColumns({c: F.coalesce(c, F.lit(-1).cast("long")) for c in ("vrank", "brank")})
+
+
 @query(f"WITH ch AS ({CHUNKS}) SELECT doc_id, file_path FROM ch WHERE regexp_matches(file_path, '^src/[^/]*/(en|fr)/.*\\.md$')")
 def scope_path_glob(spark: SparkSession, sf: str) -> DataFrame:
     return chunks(spark, sf).where(scope.path_matches(F.col("file_path"), ["src/*/{en,fr}/**/*.md"])).select("doc_id", "file_path")

@@ -250,10 +250,10 @@ def stable_files(spark: SparkSession, sf: str) -> DataFrame:
     return maintain.stable(e, 60_000).select("path", "size", F.unix_micros(F.col("since").cast("timestamp")).alias("since_us"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS done, CAST(1500 - least(count(*), 1500) AS BIGINT) AS left_over, round(100.0 * count(*) / 1500, 1) AS percent, round((1500 - least(count(*), 1500)) * avg(event_id % 7 + 1), 3) AS seconds_left FROM events WHERE event_id < 1000")
+@query("SELECT CAST(count(*) AS BIGINT) AS done, CAST(200000 - least(count(*), 200000) AS BIGINT) AS left_over, round(100.0 * count(*) / 200000, 1) AS percent, round((200000 - least(count(*), 200000)) * avg(event_id % 7 + 1), 3) AS seconds_left FROM events")
 def indexing_progress(spark: SparkSession, sf: str) -> DataFrame:
-    done = table(spark, sf, "events").where("event_id < 1000").select(F.col("event_id").alias("file"), F.col("ts").cast("timestamp").alias("begin"), F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + (F.col("event_id") % 7 + 1) * 1_000_000).alias("end"))
-    return maintain.progress(done, 1500).select("done", F.col("left").cast("long").alias("left_over"), "percent", F.round("seconds_left", 3).alias("seconds_left"))
+    done = table(spark, sf, "events").select(F.col("event_id").alias("file"), F.col("ts").cast("timestamp").alias("begin"), F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + (F.col("event_id") % 7 + 1) * 1_000_000).alias("end"))
+    return maintain.progress(done, 200_000).select("done", F.col("left").cast("long").alias("left_over"), "percent", F.round("seconds_left", 3).alias("seconds_left"))
 
 
 @query("SELECT count(*) FILTER (op = 'upsert') AS changes, count(*) FILTER (op = 'delete') AS deletes FROM (SELECT user_id, CASE WHEN arg_max(event_type, CAST(epoch_us(ts) AS HUGEINT) * 100000 + event_id) = 'error' THEN 'delete' ELSE 'upsert' END AS op FROM events GROUP BY user_id)")
@@ -363,10 +363,10 @@ def query_guard(spark: SparkSession, sf: str) -> DataFrame:
     return search.guard(c, most=600).select("conv_id", "turn", "status")
 
 
-@query(f"WITH ch AS ({CHUNKS}) SELECT file_path AS path, id, symbol, least(1.0, greatest(0.0, doc_id / 500.0 - 0.2)) AS score, 'vector' AS kind, CAST(NULL AS DOUBLE) AS symbol_boost FROM ch WHERE doc_id < 900")
+@query(f"WITH ch AS ({CHUNKS}) SELECT file_path AS path, id, symbol, least(1.0, greatest(0.0, doc_id / 500.0 - 0.2)) AS score, 'vector' AS kind, CAST(NULL AS DOUBLE) AS symbol_boost FROM ch")
 def mapped_results(spark: SparkSession, sf: str) -> DataFrame:
     c = chunks(spark, sf)
-    found = table(spark, sf, "documents").where("doc_id < 900").select("doc_id", (F.col("doc_id") / 500 - 0.2).alias("score"))
+    found = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") / 500 - 0.2).alias("score"))
     return search.mapped(found, c, "vector").select("path", "meta.id", "meta.symbol", "meta.score", "meta.kind", "meta.symbol_boost")
 
 
