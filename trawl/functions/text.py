@@ -254,10 +254,19 @@ def sanitize_code(code: Column, limit: int = 4000, marker: str = "\n// ... [trun
 
 
 def redact(text: Column, env_names: Sequence[str] = ()) -> Column:
-    """Text without secrets: values of known environment variables and whatever has the form of a secret."""
-    for name in (*ENV_NAMES, *env_names):
-        text = F.regexp_replace(text, "(?i)" + ascii_edges(r"\b") + re.escape(name) + r"\s*=\s*([^\s;]+)", f"{name}=" + MARK.replace("[", r"\[").replace("]", r"\]"))
-    return reduce(lambda c, p: F.regexp_replace(c, p, MARK.replace("[", r"\[").replace("]", r"\]")), SECRETS, text)
+    """Text without secrets: values of known environment variables and whatever has the form of a secret.
+
+    Most texts have none: one search for all names and one for all forms tell whether to replace at all.
+    """
+    names = (*ENV_NAMES, *env_names)
+    mark = MARK.replace("[", r"\[").replace("]", r"\]")
+    assigned = lambda name: "(?i)" + ascii_edges(r"\b") + name + r"\s*=\s*([^\s;]+)"
+    chain = text
+    for name in names:
+        chain = F.regexp_replace(chain, assigned(re.escape(name)), f"{name}={mark}")
+    text = F.when(text.rlike(assigned("(?:" + "|".join(map(re.escape, names)) + ")")), chain).otherwise(text)
+    found = text.rlike("|".join(f"(?:{p})" for p in SECRETS))
+    return F.when(found, reduce(lambda c, p: F.regexp_replace(c, p, mark), SECRETS, text)).otherwise(text)
 
 
 def is_sensitive_key(key: Column, more: Sequence[str] = ()) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -45,13 +46,31 @@ def mock_embedding(text: Column, dims: int = 32) -> Column:
 
 
 def decode_embedding(blob: Column, dims: int) -> Column:
-    """Little-endian 32-bit floats (whole bytes of four, else empty), cut to ``dims``; for importing stored vectors."""
+    """A stored vector: a JSON array (what is no number in it counts as 0), else little-endian 32-bit floats (whole bytes
+    of four, else empty), cut to ``dims``; for importing stored vectors."""
     from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("array<float>")
-    def decode(blobs):  # type: ignore[no-untyped-def]
+    def number(x: object) -> float:
+        try:
+            value = float(x) if isinstance(x, (int, float, str)) else 0.0  # type: ignore[arg-type]
+        except ValueError:
+            return 0.0
+        return 0.0 if value != value else value
+
+    def vector(raw: bytes) -> list[float]:
         import numpy as np
 
-        return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4")[:dims].tolist() if len(b) % 4 == 0 else [])
+        if raw[:1] in (b"[", b"{", b"-") or raw[:1].isdigit():
+            try:
+                said = json.loads(raw)
+                if isinstance(said, list):
+                    return [number(x) for x in said]
+            except ValueError:
+                pass
+        return np.frombuffer(raw, "<f4")[: dims or None].tolist() if len(raw) % 4 == 0 else []
+
+    @pandas_udf("array<float>")
+    def decode(blobs):  # type: ignore[no-untyped-def]
+        return blobs.map(lambda b: None if b is None else vector(bytes(b)))
 
     return decode(blob)

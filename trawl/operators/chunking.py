@@ -19,8 +19,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
 
 
 @dataclass(frozen=True)
@@ -378,6 +380,32 @@ def budget_bins(sizes: list[int], limit: int) -> list[int]:
     return out
 
 
+def batches(items: DataFrame, key: str, order: list[str], size: Column, limit: int) -> DataFrame:
+    """``items`` with ``batch``: the greedy batches of each key's items in order, of at most ``limit`` in all; an item over the limit is an error.
+
+    Rows stream through a task in order, which holds one sum, however many items a key has.
+    """
+    rows = items.withColumn("__size", size.cast("long")).repartition(key).sortWithinPartitions(key, *order)
+    schema = ty.StructType([*rows.schema.fields, ty.StructField("batch", ty.LongType())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total, k, begun = None, 0, 0, False
+        for part in parts:
+            out = []
+            for name, n in zip(part.column(key).to_pylist(), part.column("__size").to_pylist()):
+                if n > limit:
+                    raise ValueError(f"an item of {n} exceeds {limit}")
+                if not begun or name != last:
+                    last, total, k, begun = name, 0, 0, True
+                if total + n > limit:
+                    k, total = k + 1, 0
+                total += n
+                out.append(k)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int64())], schema.names)
+
+    return rows.mapInArrow(run, schema).drop("__size")
+
+
 # Fixed values by model: tokens (all, optimal, smallest, largest, overlap), the same in characters but the first, dimensions
 PROFILES = {
     "text-embedding-3-large": (8191, 4000, 400, 6000, 100, 16000, 1600, 24000, 400, 3072),

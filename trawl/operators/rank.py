@@ -87,16 +87,41 @@ def best_per(df: DataFrame, key: str, score: str, *ties: str) -> DataFrame:
     return df.groupBy(key).agg(best.alias("__row")).select("__row.*")
 
 
-def rerank(df: DataFrame, scorer: Callable[[list[str]], list[float]], top: int = 50, text: str = "text") -> DataFrame:
-    """The best ``top`` rows by score get a scorer's rating and lead in its order; the others follow."""
+def ratings(reply: object, count: int) -> list[float]:
+    """The scores in a rerank service's reply, by place: a list of entries with index and relevance_score, alone or under
+    ``results`` or ``data``; places that it leaves out get 0.  Other replies are an error."""
+    rows = reply
+    if isinstance(reply, dict):
+        rows = reply.get("results") if isinstance(reply.get("results"), list) else reply.get("data")
+    if not isinstance(rows, list):
+        raise ValueError("a rerank reply has a list of results")
+    out = [0.0] * count
+    for row in rows:
+        if isinstance(row, dict) and isinstance(row.get("index"), int) and isinstance(row.get("relevance_score"), (int, float)) and 0 <= row["index"] < count:
+            out[row["index"]] = float(row["relevance_score"])
+    return out
+
+
+def rerank(df: DataFrame, scorer: Callable[[list[str]], object], top: int = 50, text: str = "text") -> DataFrame:
+    """The best ``top`` rows by score get a scorer's rating and lead in its order; the others follow.
+
+    A scorer gives ratings or a service's reply (``ratings``).  It is asked once, for two rows or more; if it fails, rows keep their order.
+    """
     import pandas as pd
 
-    head = df.orderBy(F.desc("score"), "id").limit(top)
-
     def rate(frames):  # type: ignore[no-untyped-def]
-        for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "rerank": scorer(frame[text].tolist())})
-
+        rows = pd.concat(list(frames))  # at most ``top``
+        scores: list[float | None] = [None] * len(rows)
+        if len(rows) > 1:
+            try:
+                said = scorer(rows[text].fillna("").tolist())
+                plain = isinstance(said, (list, tuple)) and all(isinstance(x, (int, float)) for x in said)
+                scores = [float(x) for x in said] if plain and len(said) == len(rows) else ratings(said, len(rows))  # type: ignore[arg-type, union-attr, assignment]
+            except Exception:  # noqa: BLE001
+                scores = [None] * len(rows)
+        yield pd.DataFrame({"id": rows["id"], "rerank": pd.Series(scores, index=rows.index, dtype="float64")})
+
+    head = df.orderBy(F.desc("score"), "id").limit(top).coalesce(1)
     rated = head.select("id", text).mapInPandas(rate, f"id {dict(df.dtypes)['id']}, rerank double")
     return df.join(F.broadcast(rated), "id", "left").orderBy(F.desc_nulls_last("rerank"), F.desc("score"), "id")
 

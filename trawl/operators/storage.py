@@ -12,6 +12,7 @@ import hashlib
 import hmac
 import os
 import zlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -88,37 +89,36 @@ def read_blobs(blobs: DataFrame, keys: list[bytes] = []) -> DataFrame:  # noqa:
     """sha, code, error: null, ``encrypted`` (no given key has the payload's id), ``failed`` (authentication),
     ``version`` (from the future), ``damaged`` or ``missing`` (a null payload); no row stops the job.
 
-    The key whose id stands in the header is tried first, then the others; version 1 has no key id.
+    The key whose id stands in the header is tried first, then the others; version 1 has no key id, and the oldest
+    payloads have no version byte, so that reading is tried last for every payload.
     """
     keys = list(keys)
 
+    def readings(payload: bytes) -> Iterator[tuple[int, list[bytes]]]:
+        """(place of the salt, keys in the order to try) of each way to read a payload."""
+        if payload[8:9] == b"\x02":
+            yield 17, sorted(keys, key=lambda k: key_id(k) != payload[9:17])
+        elif payload[8:9] == b"\x01":
+            yield 9, keys
+        yield 8, keys
+
     def prepare(frames):  # type: ignore[no-untyped-def]
         for frame in frames:
             out = []
             for sha, payload, encrypted in zip(frame["sha"], frame["payload"], frame["encrypted"]):
-                if payload is None:
-                    out.append((sha, None, None, [], "missing"))
+                if payload is None or not encrypted:
+                    out.append((sha, None if payload is None else bytes(payload), [], "missing" if payload is None else None))
                     continue
                 payload = bytes(payload)
-                if not encrypted:
-                    out.append((sha, payload, None, [], None))
-                    continue
+                tries = [] if payload[:8] != MAGIC else [{"sealed": payload[at + 16 :], "k": derive(k, payload[at : at + 16])} for at, fitting in readings(payload) if len(payload) >= at + 16 + 12 + 16 for k in fitting]
                 version = payload[8] if payload[:8] == MAGIC and len(payload) > 8 else 0
-                if not 1 <= version <= VERSION:
-                    out.append((sha, None, None, [], "version" if version else "damaged"))
-                    continue
-                at = 9 if version == 1 else 17
-                if len(payload) < at + 16 + 12 + 16:
-                    out.append((sha, None, None, [], "damaged"))
-                    continue
-                known = [version == 1 or key_id(k) == payload[9:17] for k in keys]
-                fitting = [k for _, k in sorted(zip(known, keys), key=lambda x: not x[0])]
-                why = None if any(known) else "encrypted"
-                out.append((sha, None, payload[at + 16 :], [derive(k, payload[at : at + 16]) for k in fitting], why))
-            yield pd.DataFrame(out, columns=["sha", "plain", "sealed", "ks", "error"])
-
-    rows = blobs.select("sha", "payload", "encrypted").mapInPandas(prepare, "sha string, plain binary, sealed binary, ks array<binary>, error string")
-    tried = F.try_element_at(F.filter(F.transform("ks", lambda k: F.try_aes_decrypt("sealed", k, F.lit("GCM"), F.lit("DEFAULT"))), lambda x: x.isNotNull()), F.lit(1))
+                whole = len(payload) >= {1: 9, 2: 17}.get(version, 8) + 16 + 12 + 16
+                why = "damaged" if payload[:8] != MAGIC or not whole else "version" if version > VERSION else "encrypted" if version == 2 and payload[9:17] not in map(key_id, keys) else None
+                out.append((sha, None, tries, why))
+            yield pd.DataFrame(out, columns=["sha", "plain", "tries", "error"])
+
+    rows = blobs.select("sha", "payload", "encrypted").mapInPandas(prepare, "sha string, plain binary, tries array<struct<sealed:binary,k:binary>>, error string")
+    tried = F.try_element_at(F.filter(F.transform("tries", lambda t: F.try_aes_decrypt(t["sealed"], t["k"], F.lit("GCM"), F.lit("DEFAULT"))), lambda x: x.isNotNull()), F.lit(1))
     rows = rows.withColumn("plain", F.coalesce("plain", tried)).withColumn("code", decompress(F.col("plain")))
     error = F.when(F.col("code").isNotNull(), F.lit(None)).when(F.col("plain").isNotNull(), "damaged").otherwise(F.coalesce("error", F.lit("failed")))
     return rows.select("sha", "code", error.cast("string").alias("error"))

@@ -40,7 +40,8 @@ def important_variable(spark: SparkSession, sf: str) -> DataFrame:
     return code(spark, sf).select("p_partkey", T.is_important_variable(F.col("code")).alias("important"))
 
 
-@query(f"""SELECT p_partkey, CASE form WHEN 0 THEN word || 'Config' WHEN 1 THEN word WHEN 3 THEN 'MAX_' || word ELSE '' END AS name, CASE WHEN form IN (0, 1, 3) THEN length(code) ELSE 0 END AS n FROM ({CODE_SQL})""")
+@query(f"""SELECT p_partkey, CASE WHEN taken THEN regexp_extract(d, '([A-Za-z_$][A-Za-z0-9_$]*)[ ]*=', 1) ELSE '' END AS name, CASE WHEN taken THEN length(d) ELSE 0 END AS n
+    FROM (SELECT p_partkey, d, {' OR '.join(f"regexp_matches(d, '{p}')" for p in T.IMPORTANT)} AS taken FROM (SELECT p_partkey, regexp_extract(code, '^[ ]*((?:export +)?(?:const|let|var|static|final)[^;]*)', 1) AS d FROM ({CODE_SQL})))""")
 def collected_variables(spark: SparkSession, sf: str) -> DataFrame:
     v = T.variables(F.concat(F.lit("// head\n"), "code"))
     rows = code(spark, sf).select("p_partkey", v.alias("v"))
@@ -61,7 +62,9 @@ def symbol_name(spark: SparkSession, sf: str) -> DataFrame:
     return code(spark, sf).select("p_partkey", T.symbol_name(F.col("code"), F.lit("node"), F.col("p_partkey")).alias("name"))
 
 
-@query(f"""SELECT p_partkey, CASE form WHEN 4 THEN word || '(first, b, args, cb, 2)) : string' WHEN 5 THEN 'class ' || word WHEN 6 THEN word || '(x)' WHEN 7 THEN word || '(' || word || ')' ELSE word || '()' END AS signature FROM ({CODE_SQL})""")
+@query(f"""SELECT p_partkey, CASE WHEN code LIKE 'class%' THEN 'class ' || word WHEN p IS NULL THEN word || '()' ELSE word || '(' || array_to_string(list_filter(list_transform(string_split(p, ','), lambda x: trim(ltrim(trim(split_part(x, '=', 1)), '*&'))), lambda x: x <> ''), ', ') || ')'
+    || coalesce(' : ' || nullif(regexp_extract(code, '[)] *: *([A-Za-z]+)', 1), ''), '') END AS signature
+    FROM (SELECT p_partkey, word, code, nullif(regexp_extract(code, '^[^(]*[(]((?:[^()]|[(][^()]*[)])*)[)]', 1), '') AS p FROM ({CODE_SQL}))""")
 def symbol_signature(spark: SparkSession, sf: str) -> DataFrame:
     """A default that holds a call is cut at its comma too, as parameters are cut at every comma."""
     kind = F.when(F.col("form") == 5, "class_declaration").otherwise("function_definition")
@@ -125,11 +128,14 @@ def citation_footer(spark: SparkSession, sf: str) -> DataFrame:
 KEYS = ("apiKey", "user-name", "Session_ID", "clientSecret", "path", "GH_TOKEN", "author", "access.token")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 8 IN (0, 2, 3, 5, 7) THEN '[REDACTED]' ELSE event_type END AS own, 'token: [REDACTED]' = 'token: [REDACTED]' AS other FROM events")
+@query(f"""WITH e AS (SELECT event_id, event_type, list_value({', '.join(f"'{k}'" for k in KEYS)})[event_id % 8 + 1] AS key FROM events),
+    w AS (SELECT *, string_split(lower(trim(regexp_replace(regexp_replace(key, '([a-z])([A-Z])', '\\1_\\2', 'g'), '[^a-zA-Z0-9]+', '_', 'g'), '_')), '_') AS words FROM e)
+    SELECT event_id, CASE WHEN len(list_intersect(words, list_value({', '.join(f"'{x}'" for x in T.SENSITIVE_WORDS)}))) > 0 {' '.join(f"OR (list_contains(words, '{a}') AND list_contains(words, '{b}'))" for a, b in T.SENSITIVE_PAIRS)}
+        OR array_to_string(words, '_') IN ({', '.join(f"'{x.lower()}'" for x in T.ENV_NAMES)}) THEN '[REDACTED]' ELSE event_type END AS own, regexp_replace('key sk-abcdefghij' || lpad(CAST(event_id AS VARCHAR), 10, '0'), '{T.SECRETS[0]}', '[REDACTED]', 'g') AS other FROM w""")
 def redact_by_key(spark: SparkSession, sf: str) -> DataFrame:
     keys = F.element_at(F.array(*map(F.lit, KEYS)), (F.col("event_id") % 8 + 1).cast("int"))
-    m = T.redact_map(F.create_map(F.lit("own"), F.lit("x"), keys, F.col("event_type"), F.lit("note"), F.lit("key sk-abcdefghijklmnop1234")))
-    return table(spark, sf, "events").select("event_id", m[keys].alias("own"), (m["note"] == "key [REDACTED]").alias("other"))
+    m = T.redact_map(F.create_map(F.lit("own"), F.lit("x"), keys, F.col("event_type"), F.lit("note"), F.concat(F.lit("key sk-abcdefghij"), F.lpad(F.col("event_id").cast("string"), 10, "0"))))
+    return table(spark, sf, "events").select("event_id", m[keys].alias("own"), m["note"].alias("other"))
 
 
 @query(f"""SELECT doc_id, CAST(1 + length(substr(text, 1, 100)) - length(replace(substr(text, 1, 100), chr(10), '')) AS INTEGER) AS line, trim(string_split(text, '.')[1]) AS head FROM documents""")
@@ -151,7 +157,11 @@ def paths(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", out.alias("path"))
 
 
-@query(f"SELECT doc_id, path, path NOT LIKE '%.txt' AS supported, doc_id % 9 IN (1, 2) AS taken, doc_id % 9 <> 6 AS safe FROM ({PATHS_SQL})")
+SOURCE_SQL = f"regexp_matches(lower(path), '[.]({'|'.join(files.LANGUAGES)})$')"
+
+
+@query(f"""SELECT doc_id, path, {SOURCE_SQL} AS supported, {SOURCE_SQL} AND NOT regexp_matches(path, '(^|/)[.][^/]') AND NOT (path GLOB '**/*.min.json' OR {' OR '.join(f"contains('/' || path, '/{d}/')" for d in ('vendor', 'node_modules', '.git', 'storage', 'dist', 'build', 'tmp', 'temp', '.npm', '.yarn', 'Library', 'System', '.Trash', 'examples', 'assets'))}
+    OR regexp_extract(path, '[^/]*$') IN ('package-lock.json', 'yarn.lock', 'pnpm-lock.yaml') OR path LIKE '%.min.json') AS taken, NOT list_contains(string_split(path, '/'), '..') AND path <> '' AND NOT starts_with(path, '/') AS safe FROM ({PATHS_SQL})""")
 def scanned_paths(spark: SparkSession, sf: str) -> DataFrame:
     path = F.col("path")
     return paths(spark, sf).select("doc_id", "path", files.is_supported(path).alias("supported"), files.is_source(path).alias("taken"), files.is_safe(path).alias("safe"))
@@ -419,29 +429,14 @@ def embed_batches(spark: SparkSession, sf: str) -> DataFrame:
     return packs.embed(c, Lengths(), batch=7).select("conv_id", "turn", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
 
 
-@query("""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, length(text) AS n FROM conversations),
+@query("""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, least(length(text), 4000) AS n FROM conversations),
     r AS (SELECT conv_id, k, n AS total, 0 AS batch FROM t WHERE k = 1 UNION ALL SELECT t.conv_id, t.k, CASE WHEN r.total + t.n > 4000 THEN t.n ELSE r.total + t.n END, r.batch + CASE WHEN r.total + t.n > 4000 THEN 1 ELSE 0 END FROM r JOIN t ON t.conv_id = r.conv_id AND t.k = r.k + 1)
     SELECT conv_id, CAST(batch AS BIGINT) AS batch, count(*) AS n FROM r GROUP BY conv_id, batch""")
 def batch_budget(spark: SparkSession, sf: str) -> DataFrame:
-    """Each conversation's turns in batches of at most 4000 characters."""
-    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.length(x["text"])).alias("sizes"))
-
-    @F.pandas_udf("array<long>")
-    def batches(sizes):  # type: ignore[no-untyped-def]
-        return sizes.map(lambda x: greedy(list(x), 4000))
-
-    return turns.select("conv_id", F.explode(batches("sizes")).alias("batch")).groupBy("conv_id", "batch").agg(F.count(F.lit(1)).alias("n"))
-
-
-def greedy(sizes: list[int], limit: int) -> list[int]:
-    """Like ``budget_bins``, an item over the limit alone in its batch."""
-    out, total, k = [], 0, 0
-    for n, size in enumerate(sizes):
-        if n and total + size > limit:
-            k, total = k + 1, 0
-        total += size
-        out.append(k)
-    return out
+    """Each conversation's turns, cut to 4000 characters, in batches of at most 4000."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    size = F.least(F.length("text"), F.lit(4000))
+    return chunking.batches(turns, "conv_id", ["turn", "role", "text"], size, 4000).groupBy("conv_id", "batch").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT lang, count(*) AS n, CAST(sum(CAST(ceil(length(text) / 4.0) AS BIGINT)) AS BIGINT) AS tokens, round(100.0 * sum(CASE WHEN octet_length(encode(text)) <= 800 THEN 1 ELSE 0 END) / count(*), 1) AS uncounted FROM documents GROUP BY lang")
