@@ -1,12 +1,18 @@
-"""The watch service as Structured Streaming: normalize events, coalesce per path, update in batches."""
+"""The watch service as Structured Streaming: normalize events, wait for silence, coalesce per path, update in batches.
+
+``debounced`` holds a repository's events until nothing has come for a while (each event starts the wait anew), with
+state and timers of the stream; ``run`` gives each batch to an update, once: a batch that was applied before the stream
+stopped is known by its number and passed over when it comes again.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.maintain import coalesced
 from ..sources.files import is_source
@@ -25,13 +31,83 @@ def bursts(events: DataFrame, gap: str = "500 milliseconds", late: str = "10 sec
     return rows.groupBy("repo", F.session_window("ts", gap).alias("w"), "path").agg(last.alias("op")).select("repo", F.col("w.start").alias("begin"), F.col("w.end").alias("end"), "path", "op")
 
 
-def run(events: DataFrame, update: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Gives each micro-batch's coalesced events to ``update``; a failed batch is tried again."""
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SHORTEST_MS, DEFAULT_MS = 50, 500
+
+
+class Debounce(StatefulProcessor):
+    """Of a repository: the last operation of each path, and when its silence ends."""
+
+    def __init__(self, silence_ms: int):
+        self.silence_ms = max(silence_ms, SHORTEST_MS)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getMapState("pending", "path string", "op string, ts timestamp, seq long")
+        self.due = handle.getValueState("due", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # type: ignore[no-untyped-def]  # noqa: N802, N803
+        for r in rows:
+            before = self.pending.getValue((r["path"],)) if self.pending.containsKey((r["path"],)) else None
+            if before is None or (before[1], before[2]) <= (r["ts"], r["seq"]):
+                self.pending.updateValue((r["path"],), ("delete" if r["op"] == "unlink" else "upsert", r["ts"], r["seq"]))
+        if self.due.exists():
+            self.handle.deleteTimer(self.due.get()[0])
+        at = timerValues.getCurrentProcessingTimeInMs() + self.silence_ms
+        self.handle.registerTimer(at)
+        self.due.update((at,))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # type: ignore[no-untyped-def]  # noqa: N802, N803
+        for (path,), (op, ts, seq) in self.pending.iterator():
+            yield Row(repo=key[0], path=path, op=op, ts=ts, seq=seq)
+        self.pending.clear()
+        self.due.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def debounced(events: DataFrame, silence_ms: int = DEFAULT_MS) -> DataFrame:
+    """``events(repo, path, op, ts, seq)`` → repo, path, op (upsert or delete), ts, seq of each path's last event, after ``silence_ms`` without
+    any event of the repository (50 at least); until then they wait in the stream's state."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = normalized(events).select("repo", "path", "op", "ts", F.col("seq").cast("long").alias("seq"))
+    return rows.groupBy("repo").transformWithState(statefulProcessor=Debounce(silence_ms), outputStructType="repo string, path string, op string, ts timestamp, seq long", outputMode="append", timeMode="processingTime")
+
+
+def once(spark: SparkSession, folder: str, update: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """``update`` that passes over batches that it has finished before: a mark in ``folder`` tells."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
 
     def each(batch: DataFrame, number: int) -> None:
+        done = path(f"{folder}/{number}.done")
+        fs = done.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(done):
+            return
+        update(batch, number)
+        fs.create(done, True).close()
+        old = path(f"{folder}/{number - 100}.done")
+        if fs.exists(old):
+            fs.delete(old, False)
+
+    return each
+
+
+def flushes(events: DataFrame, update: Callable[[DataFrame, int], None], checkpoint: str, silence_ms: int = DEFAULT_MS, every: str = "100 milliseconds") -> StreamingQuery:
+    """Gives what ``debounced`` lets go to ``update``, each batch once; one that failed is tried again when the stream starts anew."""
+    applied = once(events.sparkSession, f"{checkpoint}/applied", lambda batch, number: None if batch.isEmpty() else update(batch, number))
+    return debounced(events, silence_ms).writeStream.foreachBatch(applied).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def run(events: DataFrame, update: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Gives each micro-batch's coalesced events to ``update``, once; a failed batch is tried again."""
+
+    def some(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
             update(coalesced(batch), number)
 
+    each = once(events.sparkSession, f"{checkpoint}/applied", some)
     writer = normalized(events).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
 
