@@ -43,14 +43,14 @@ class Debounce(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "path string", "op string, ts timestamp, seq long")
+        self.pending = handle.getMapState("pending", "path string", "op string, at long, seq long")
         self.due = handle.getValueState("due", "at long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # type: ignore[no-untyped-def]  # noqa: N802, N803
         for r in rows:
             before = self.pending.getValue((r["path"],)) if self.pending.containsKey((r["path"],)) else None
-            if before is None or (before[1], before[2]) <= (r["ts"], r["seq"]):
-                self.pending.updateValue((r["path"],), ("delete" if r["op"] == "unlink" else "upsert", r["ts"], r["seq"]))
+            if before is None or (before[1], before[2]) <= (r["at"], r["seq"]):
+                self.pending.updateValue((r["path"],), ("delete" if r["op"] == "unlink" else "upsert", r["at"], r["seq"]))
         if self.due.exists():
             self.handle.deleteTimer(self.due.get()[0])
         at = timerValues.getCurrentProcessingTimeInMs() + self.silence_ms
@@ -59,8 +59,8 @@ class Debounce(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # type: ignore[no-untyped-def]  # noqa: N802, N803
-        for (path,), (op, ts, seq) in self.pending.iterator():
-            yield Row(repo=key[0], path=path, op=op, ts=ts, seq=seq)
+        for (path,), (op, at, seq) in self.pending.iterator():
+            yield Row(repo=key[0], path=path, op=op, at=at, seq=seq)
         self.pending.clear()
         self.due.clear()
 
@@ -72,8 +72,9 @@ def debounced(events: DataFrame, silence_ms: int = DEFAULT_MS) -> DataFrame:
     """``events(repo, path, op, ts, seq)`` → repo, path, op (upsert or delete), ts, seq of each path's last event, after ``silence_ms`` without
     any event of the repository (50 at least); until then they wait in the stream's state."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    rows = normalized(events).select("repo", "path", "op", "ts", F.col("seq").cast("long").alias("seq"))
-    return rows.groupBy("repo").transformWithState(statefulProcessor=Debounce(silence_ms), outputStructType="repo string, path string, op string, ts timestamp, seq long", outputMode="append", timeMode="processingTime")
+    rows = normalized(events).select("repo", "path", "op", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("seq").cast("long").alias("seq"))
+    held = rows.groupBy("repo").transformWithState(statefulProcessor=Debounce(silence_ms), outputStructType="repo string, path string, op string, at long, seq long", outputMode="append", timeMode="processingTime")
+    return held.select("repo", "path", "op", F.timestamp_micros("at").alias("ts"), "seq")
 
 
 def once(spark: SparkSession, folder: str, update: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
