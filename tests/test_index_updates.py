@@ -40,7 +40,10 @@ def test_incremental_equals_full(spark, tmp_path, monkeypatch):
     for path, body in FILES.items():
         write(root, path, body)
     project = tools.Project(spark, root, str(tmp_path / "out"), limits=chunking.Limits(200, 1, 2000, 20))
-    assert tools.index_project(project)["added"] == 5
+    got = tools.index_project(project)
+    assert got["added"] == 5
+    twice = chunking.chunk_statistics(files.scan(spark, root), project.limits).first().asDict()
+    assert got["statistics"] == twice and twice["normal"] == 5  # counted while the chunks were written
     by_symbol = {r["symbol"]: r for r in indexing.Tables(spark, project.out).symbols.read().collect()}
     sha = {s: r["sha"] for s, r in by_symbol.items()}
     assert by_symbol["process_payment"]["symbol_call_targets"] == [sha["charge"]] and by_symbol["process_payment"]["symbol_callers"] == [sha["shop"]]

@@ -90,6 +90,8 @@ def test_silence_restarts_the_wait(spark, tmp_path):
 
     got = []
     events = spark.readStream.schema(schema).json(str(source))
+    progress = watch.Progress()
+    spark.streams.addListener(progress)
     query = watch.flushes(events, lambda b, n: got.append((time.time(), {(r["repo"], r["path"], r["op"]) for r in b.collect()})), str(tmp_path / "ck"), silence_ms=15_000)
     try:
         send("1.json", ("r", "x.py", "add", 1), ("r", "y.py", "change", 2), ("s", "z.py", "add", 1), ("r", "no.txt", "add", 3))
@@ -99,6 +101,9 @@ def test_silence_restarts_the_wait(spark, tmp_path):
         wait_for(query, lambda: sum(len(o) for _, o in got) >= 3)
     finally:
         query.stop()
+    spark.streams.removeListener(progress)
+    assert progress.rows == 6 and progress.seconds > 0 and progress.left(12) == 2 * progress.left(6) and not progress.failed
+    assert watch.Progress().left(1) is None
     flushed = {e: at for at, events_ in got for e in events_}
     assert set(flushed) == {("r", "x.py", "delete"), ("r", "y.py", "upsert"), ("s", "z.py", "upsert")}
     assert flushed["r", "x.py", "delete"] - begun > 10 and flushed["r", "x.py", "delete"] == flushed["r", "y.py", "upsert"]

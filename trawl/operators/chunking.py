@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
@@ -309,6 +309,26 @@ def chunk(files: DataFrame, limits: Limits = Limits(), strategy: Strategy = Stra
     return files.select("path", "lang", "content").mapInPandas(run, CHUNK)
 
 
+def chunk_counted(files: DataFrame, seen: Observation, limits: Limits = Limits(), strategy: Strategy = Strategy()) -> DataFrame:
+    """``chunk`` whose decisions ``seen`` has (by the names in ``COUNTS``) once the chunks are written: no second pass."""
+    import pandas as pd
+
+    names = [c.split(" ")[0] for c in CHUNK.split(", ")]
+
+    def run(frames: Iterator) -> Iterator:
+        for frame in frames:
+            counts: Counter = Counter()
+            rows: dict[str, dict] = {}
+            for path, lang, text in zip(frame["path"], frame["lang"], frame["content"]):
+                if text:
+                    rows |= {x["id"]: x for x in chunk_file(path, text, lang, limits, counts, strategy)}
+            # the counts of a batch stand in a row without a chunk
+            yield pd.DataFrame([*rows.values(), {c: counts[c] for c in COUNTS}], columns=[*names, *COUNTS]).astype({c: "Int64" for c in (*COUNTS, "start_line", "end_line")})
+
+    out = files.select("path", "lang", "content").mapInPandas(run, ", ".join([CHUNK, *(f"{c} long" for c in COUNTS)]))
+    return out.observe(seen, *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]).where("id IS NOT NULL").select(*names)
+
+
 def chunk_statistics(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``files(path, lang, content)`` → one row with a count for each kind of decision."""
     import pandas as pd

@@ -10,8 +10,9 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -113,12 +114,13 @@ class Scratch:
 
 def store_changes(
     tables: Tables, scratch: Scratch, touched: DataFrame, read: DataFrame, gone: DataFrame, limits: chunking.Limits, embed: Callable[[DataFrame], DataFrame] | None, key: bytes | None
-) -> dict[str, int]:
+) -> dict[str, Any]:
     """``touched(path)``: files whose chunks may change; ``read``: contents of those that are there; ``gone(path)``: those that are not.
 
     Fingerprints come last, so what a stopped run left undone is done by the next one.
     """
-    produced = scratch.put(described(chunking.chunk(read, limits)))
+    seen = Observation()
+    produced = scratch.put(described(chunking.chunk_counted(read, seen, limits)))
     paths = touched.select(F.col("path").alias("file_path"))
     change: dict[str, DataFrame] = {}
 
@@ -130,7 +132,7 @@ def store_changes(
 
     tables.chunks.change(chunks)
     added, removed = change["added"], change["removed"]
-    counts = {"added": added.count(), "removed": removed.count(), "chunks": tables.chunks.read().count()}
+    counts = {"added": added.count(), "removed": removed.count(), "chunks": tables.chunks.read().count(), "statistics": seen.get}
     if counts["added"] or counts["removed"]:
         symbols(tables, scratch, produced, added, removed)
         blobs(tables, produced, removed, key)
@@ -186,7 +188,7 @@ def vectors(tables: Tables, scratch: Scratch, produced: DataFrame, removed: Data
         tables.vectors.change(lambda *_: (None, empty), lambda v: {"postings": [whole, *[p for p in json.loads(v.extra)["postings"] if p not in older]], "stale": v.number != after.number})
 
 
-def index_folder(spark: SparkSession, root: str, out: str, limits: chunking.Limits = chunking.Limits(), embed: Callable[[DataFrame], DataFrame] | None = None, key: bytes | None = None) -> dict[str, int]:
+def index_folder(spark: SparkSession, root: str, out: str, limits: chunking.Limits = chunking.Limits(), embed: Callable[[DataFrame], DataFrame] | None = None, key: bytes | None = None) -> dict[str, Any]:
     """A full index of ``root`` under ``out``: every file is read and chunked; what is stored already keeps its vector."""
     tables = Tables(spark, out)
     with Scratch(spark, out) as scratch:
@@ -196,7 +198,7 @@ def index_folder(spark: SparkSession, root: str, out: str, limits: chunking.Limi
         return store_changes(tables, scratch, touched, read, gone, limits, embed, key)
 
 
-def update_folder(spark: SparkSession, root: str, out: str, limits: chunking.Limits = chunking.Limits(), embed: Callable[[DataFrame], DataFrame] | None = None, key: bytes | None = None) -> dict[str, int]:
+def update_folder(spark: SparkSession, root: str, out: str, limits: chunking.Limits = chunking.Limits(), embed: Callable[[DataFrame], DataFrame] | None = None, key: bytes | None = None) -> dict[str, Any]:
     """Brings the index up to date: only files whose size or time differs are opened, only those whose content differs are chunked anew."""
     tables = Tables(spark, out)
     with Scratch(spark, out) as scratch:
@@ -205,7 +207,7 @@ def update_folder(spark: SparkSession, root: str, out: str, limits: chunking.Lim
         return changes(tables, scratch, files.contents(spark, root, files.candidates(listed, prints)), maintain.missing(prints.select("path"), listed, "path"), limits, embed, key)
 
 
-def update_paths(spark: SparkSession, root: str, out: str, events: DataFrame, limits: chunking.Limits = chunking.Limits(), embed: Callable[[DataFrame], DataFrame] | None = None, key: bytes | None = None) -> dict[str, int]:
+def update_paths(spark: SparkSession, root: str, out: str, events: DataFrame, limits: chunking.Limits = chunking.Limits(), embed: Callable[[DataFrame], DataFrame] | None = None, key: bytes | None = None) -> dict[str, Any]:
     """``events(path, op)`` (upsert or delete, one for each path, as from the watch service): only these files are looked at."""
     tables = Tables(spark, out)
     with Scratch(spark, out) as scratch:
@@ -215,12 +217,12 @@ def update_paths(spark: SparkSession, root: str, out: str, events: DataFrame, li
         return changes(tables, scratch, there, gone, limits, embed, key)
 
 
-def changes(tables: Tables, scratch: Scratch, read: DataFrame, gone: DataFrame, limits: chunking.Limits, embed: Callable[[DataFrame], DataFrame] | None, key: bytes | None) -> dict[str, int]:
+def changes(tables: Tables, scratch: Scratch, read: DataFrame, gone: DataFrame, limits: chunking.Limits, embed: Callable[[DataFrame], DataFrame] | None, key: bytes | None) -> dict[str, Any]:
     """Stores what differs of the files in ``read`` and that those in ``gone`` are no more."""
     prints = tables.prints.read()
     read, gone = scratch.put(read), scratch.put(gone)
     new = scratch.put(maintain.changed(read, prints))
-    counts = {"added": 0, "removed": 0, "chunks": tables.chunks.read().count()}
+    counts: dict[str, Any] = {"added": 0, "removed": 0, "chunks": tables.chunks.read().count()}
     if not new.isEmpty() or not gone.isEmpty():
         counts = store_changes(tables, scratch, new.select("path").unionByName(gone), new, gone, limits, embed, key)
     # a file that was only touched is not opened again

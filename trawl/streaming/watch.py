@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.maintain import coalesced
@@ -113,6 +113,31 @@ def run(events: DataFrame, update: Callable[[DataFrame, int], None], checkpoint:
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
 
 
+class Progress(StreamingQueryListener):
+    """What the streams of a session have done, from their own reports: rows and seconds, and how long ``left`` rows take at that pace."""
+
+    def __init__(self) -> None:
+        self.rows, self.seconds, self.failed = 0, 0.0, 0
+
+    def onQueryStarted(self, event) -> None:  # type: ignore[no-untyped-def]  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # type: ignore[no-untyped-def]  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # type: ignore[no-untyped-def]  # noqa: N802
+        if event.progress.numInputRows:
+            self.rows += event.progress.numInputRows
+            self.seconds += event.progress.durationMs.get("triggerExecution", 0) / 1000
+
+    def onQueryTerminated(self, event) -> None:  # type: ignore[no-untyped-def]  # noqa: N802
+        self.failed += event.exception is not None
+
+    def left(self, rows: int) -> float | None:
+        """Seconds that ``rows`` more take; None before anything was done."""
+        return rows * self.seconds / self.rows if self.rows else None
+
+
 def drain(query: StreamingQuery, settle_seconds: float = 0.2) -> None:
     """Waits until all that has arrived is processed, and once more for what arrives while it settles; then stops."""
     import time
