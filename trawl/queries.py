@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import vector as V
-from .operators import chunking, conversation, graph, maintain, postings, rank, scope, storage
+from .operators import chunking, clusters, conversation, graph, maintain, postings, rank, scope, storage
 from .plans import search
 from .sources.tables import chunks, shared_folder, spread, table, vectors
 
@@ -96,6 +96,13 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return search.vector_top(table(spark, sf, "embeddings"), query_vector(spark, sf), 10)
 
 
+@query(ORACLE_SQL["vector_topk"])
+def vector_topk_clustered(spark: SparkSession, sf: str) -> DataFrame:
+    """The same list from clusters, of which only those that may hold a better vector are read."""
+    index = clusters.Clusters.build(table(spark, sf, "embeddings").select("vec_id", "embedding"), shared_folder(spark))
+    return index.search(query_vector(spark, sf), 10).rows
+
+
 @query(f"WITH e AS ({VECS}), s AS (SELECT a.label AS label, a.vec_id AS vec_id, {COSINE} AS score FROM e a, e b WHERE b.vec_id = 7) SELECT label, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT label, vec_id, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 3")
 def vector_topk_per_label(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
