@@ -40,7 +40,7 @@ def texts(db):
 def test_sql(spark, db, name):
     want, got = db.execute(queries.ORACLE_SQL[name]).fetchdf(), queries.QUERIES[name](spark, DATA).toPandas()
     assert sorted(want.columns) == sorted(got.columns)
-    rows = lambda f: sorted(tuple(map(str, r)) for r in f[sorted(f.columns)].fillna("").itertuples(index=False))
+    rows = lambda f: sorted(tuple(map(str, r)) for r in f[sorted(f.columns)].astype(object).fillna("").itertuples(index=False))
     assert rows(got) == rows(want)
 
 
