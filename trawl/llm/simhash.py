@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ID, KEY, Stored, arrow_map, as_long, connected_components, group_pieces, keyed, local_components, plain
@@ -132,6 +132,20 @@ def close_pairs(keys: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.n
     return np.concatenate(left), np.concatenate(right)
 
 
+def cells_outside(covering: Covering, threshold: int) -> list[Column]:
+    """Names of the cells of ``(anchor, fp)`` in a large anchor group: the bits outside of the anchor's field, which the anchor
+    leaves free, are cut into ``threshold + 1`` pieces, of which two linked fingerprints share one."""
+    free = BITS - covering.length
+    outside = F.lit(0).cast("long")
+    for field in range(covering.fields):
+        begin = field * covering.width
+        low = F.col("fp").bitwiseAND(F.lit((1 << begin) - 1).cast("long"))
+        high = F.shiftleft(F.shiftrightunsigned("fp", begin + covering.length), begin)
+        outside = F.when(F.shiftrightunsigned("anchor", 58) == field, low.bitwiseOR(high)).otherwise(outside)
+    edges = [round(free * k / (threshold + 1)) for k in range(threshold + 2)]
+    return [F.xxhash64("anchor", F.lit(k), F.shiftrightunsigned(outside, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long"))) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+
+
 def links(distinct: DataFrame, threshold: int, store: Stored, dense: int = 2048) -> DataFrame:
     """``distinct(fp)`` → (u, v): links that connect all fingerprints connected by close pairs."""
     covering = Covering(threshold)
@@ -163,9 +177,7 @@ def links(distinct: DataFrame, threshold: int, store: Stored, dense: int = 2048)
     large = found.where("large").select(F.col("u").alias("anchor"), F.col("v").alias("fp"))
     if large.isEmpty():
         return small
-    width = BITS // (threshold + 1)
-    cells = [F.xxhash64("anchor", F.lit(k), F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1))) for k in range(threshold + 1)]
-    pieces = large.select(F.explode(F.array(*cells)).alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell", "fp")
+    pieces = large.select(F.explode(F.array(*cells_outside(covering, threshold))).alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell", "fp")
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         """A cell's fingerprints meet in tiles of ``dense``, so memory stays bounded for any cell but for its fingerprints."""
