@@ -166,8 +166,10 @@ def cut(runs: DataFrame, window: int, block: int) -> DataFrame:
                     highs.append(last)
                 n = len(names)
                 low, high = np.array(lows), np.array(highs)
-                own = np.array([digest(x, 8) for x in pieces], np.int64).view(np.uint64)
-                yield {"key": names, "r": as_long(own ^ shape(at - low, 0 * low, high - low)), "d": (own >> np.uint64(32)).astype(np.uint32).view(np.int32), ID: [doc] * n, KEY: [row_key] * n, "at": [at] * n, "lo": low, "hi": high, "bytes": pieces}
+                # r names the class by 64 bits of the digest; d verifies it by 32 others
+                own = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=12).digest() for x in pieces), np.uint32).reshape(-1, 3)
+                name = own[:, 0].astype(np.uint64) << np.uint64(32) | own[:, 1]
+                yield {"key": names, "r": as_long(name ^ shape(at - low, 0 * low, high - low)), "d": own[:, 2].view(np.int32), ID: [doc] * n, KEY: [row_key] * n, "at": [at] * n, "lo": low, "hi": high, "bytes": pieces}
 
     return arrow_map(runs.select("key", ID, KEY, "at", "lo", "hi", "bytes"), run, PIECE)
 
