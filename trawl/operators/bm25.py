@@ -3,14 +3,14 @@
 A corpus of fewer than three documents gives no hits.  For given query terms the documents are
 never split into words: lengths and term frequencies are counted in the text, and one
 aggregation over the scan gives N, average length and document frequencies, so only one row is exchanged.
+Stored texts that are searched again and again, or by many queries at once, have an index: ``operators.postings``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
 from ..functions.vector import bound
 
 K1, B, LEAST = 1.2, 0.75, 3
@@ -68,29 +68,3 @@ def score(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: s
 
 def top_k(docs: DataFrame, terms: list[str], k: int, id_col: str = "doc_id") -> DataFrame:
     return score(docs, terms, id_col).orderBy(F.desc("bm25"), id_col).limit(k)
-
-
-def score_many(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", query_col: str = "item_id", broadcast_terms: int = 200_000, parts: int = 64) -> DataFrame:
-    """Top k documents for each of many queries: (query, id, bm25, rank).
-
-    Terms that no query has are dropped where the text is read, before anything is exploded, if there are at most
-    ``broadcast_terms`` asked ones (counted first), else by a semi join.  A document counts its terms in its own
-    row, so no (document, term) pairs are exchanged to count them.  Postings of a common term are dealt over
-    ``parts`` parts of the documents when they meet the queries, and each query keeps its best k of a part.
-    """
-    asked = queries.select(query_col, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
-    terms = asked.select("term").distinct()
-    rows = docs.select(id_col, tokens(F.col("text")).alias("__t")).withColumn("__len", F.size("__t").cast("double"))
-    few = terms.limit(broadcast_terms + 1).count() <= broadcast_terms
-    words = rows.select(id_col, "__len", F.explode("__t").alias("term")).join(F.broadcast(terms) if few else terms, "term", "left_semi")
-    tf = words.groupBy(id_col, "__len", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    stats = rows.agg(F.count(F.lit(1)).cast("double").alias("__n"), F.avg("__len").alias("__mean"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    weighted = asked.join(df, "term").crossJoin(F.broadcast(stats)).where(F.col("__n") >= LEAST)
-    part = F.pmod(F.xxhash64(id_col), F.lit(parts))
-    dealt = weighted.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    hits = tf.withColumn("__part", part).join(dealt, ["term", "__part"])
-    w = weight(F.col("tf"), F.col("df"), F.col("__len"), F.col("__mean"), F.col("__n"))
-    found = hits.groupBy(query_col, id_col).agg(F.round(F.sum(w), 6).alias("bm25"))
-    rank = F.row_number().over(Window.partitionBy(query_col).orderBy(F.desc("bm25"), id_col))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
