@@ -113,3 +113,29 @@ def test_joins_on_the_key_need_no_exchange(spark, tmp_path):
         assert "SortMergeJoin" in plan and "Exchange" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hybrid_candidates_exchange_nothing_by_id(spark, tmp_path, monkeypatch):
+    from trawl.operators import postings, scope
+    from trawl.plans import search
+
+    chunks = tables.Table(spark, str(tmp_path / "c"), "id string, file_path string, lang string, tags array<string>, code string", buckets=4)
+    vectors = tables.Table(spark, str(tmp_path / "v"), "id string, embedding array<float>", buckets=4)
+    chunks.upsert(spark.createDataFrame([(f"k{i}", f"src/{i}.py", "python", ["a"], f"word{i % 3} text") for i in range(40)], "id string, file_path string, lang string, tags array<string>, code string"))
+    chunks.upsert(spark.createDataFrame([("k3", "docs/3.md", "markdown", ["b"], "word0 text")], "id string, file_path string, lang string, tags array<string>, code string"))
+    vectors.upsert(spark.createDataFrame([(f"k{i}", [1.0, float(i)]) for i in range(40)], "id string, embedding array<float>"))
+    c = chunks.read().withColumns({"doc_id": F.col("id"), "text": F.col("code")}).drop("code")
+    v = vectors.read().select(F.col("id").alias("doc_id"), "embedding")
+    index = postings.write(c, str(tmp_path / "i"), keep=("file_path", "lang", "tags"))
+    plans, held = [], search.held
+    monkeypatch.setattr(search, "held", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or held(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found, keyword = search.candidates(c, v, ["word1"], "word1", [1.0, 2.0], 10, scope.Scope(), index)
+        assert keyword.count() == found.count() == 13 and "hashpartitioning(id" not in plans[-1]
+        found, keyword = search.candidates(c, v, ["nothing"], "nothing", [1.0, 2.0], 10, scope.Scope(), index)
+        assert keyword.isEmpty() and found.count() == 10 and "SortMergeJoin" in plans[-1] and "Exchange hashpartitioning" not in plans[-1]
+        found, keyword = search.candidates(c, v, ["word0"], "word0", [1.0, 2.0], 10, scope.Scope(path_glob=["docs/**"]), index)
+        assert keyword.isEmpty() and [r["doc_id"] for r in found.collect()] == ["k3"]  # one document has no keyword statistics
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -48,10 +48,10 @@ def candidates(
 ) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, score; at most 500 rows, or ``budget`` without keyword hits; doc_id, bm25 of the keyword hits or None).
 
-    ``index`` holds the chunks that have a vector, with the columns that scopes and boosts read.
+    ``index`` holds the chunks that have a vector, with the columns that scopes read.  Where chunks and vectors are
+    stored in buckets of their ids, nothing is exchanged by id.
     """
-    inside = scope.apply(chunks if index is None else index.docs, where)
-    chunks = inside
+    inside = scope.apply(chunks, where)
     intent = F.col("intent") if "intent" in chunks.columns else F.lit(None).cast("string")
     parts = {"__boost": rank.boosts(F.col("file_path"), F.col("tags"), intent, F.lit(query_text))}
     similarity = F.round(cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query_vector])), 9)
@@ -60,7 +60,7 @@ def candidates(
     if where.hybrid and where.bm25 and terms and index is not None:
         keyword = keyword_hits(index, terms, max(budget, PREFILTER), where)
         if not keyword.isEmpty():
-            hits = index.docs.join(F.broadcast(keyword.select("doc_id")), "doc_id").withColumns(parts).select("doc_id", "__boost")
+            hits = inside.join(F.broadcast(keyword.select("doc_id")), "doc_id").withColumns(parts).select("doc_id", "__boost")
             return held(vectors.join(F.broadcast(hits), "doc_id").select("doc_id", score)), keyword
     elif where.hybrid and where.bm25 and terms:
         rows = bm25.counted(inside.withColumns(parts), terms, "doc_id", "__boost").join(vectors.select("doc_id"), "doc_id", "left_semi")
