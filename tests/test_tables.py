@@ -26,7 +26,7 @@ def files(path, generation):
 
 def test_changes_equal_a_dictionary(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "MOST", 3)
-    table, want, rng = tables.Table(spark, str(tmp_path / "t"), SCHEMA, buckets=4), {}, random.Random(1)
+    table, want, rng = tables.Table(spark, str(tmp_path / "it's t"), SCHEMA, buckets=4), {}, random.Random(1)
     assert content(table) == {} and table.version().number == 0
     for step in range(9):
         put = {f"k{rng.randrange(40)}": step * 100 + i for i in range(30 if step == 0 else 4)}
@@ -37,7 +37,7 @@ def test_changes_equal_a_dictionary(spark, tmp_path, monkeypatch):
     assert table.version().number == 9 and len(table.version().generations) <= 3
     assert len(table.versions()) == tables.KEPT
     live = {g for n in table.versions() for g in table.version(n).generations}
-    assert set(os.listdir(tmp_path / "t" / "data")) == live  # nothing is left over
+    assert set(os.listdir(tmp_path / "it's t" / "data")) == live  # nothing is left over
     table.delete_where(F.col("n") >= 0)
     assert content(table) == {}
 

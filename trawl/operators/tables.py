@@ -111,13 +111,13 @@ class Table:
         """A name in the session's catalog for some generations: partitions of one bucketed table."""
         at = (self.spark.sparkContext.applicationId, self.path, generations)
         if at not in Table.declared:
-            name = f"trawl_{uuid.uuid4().hex}"
+            name, data = f"trawl_{uuid.uuid4().hex}", f"{self.path}/data".replace("\\", "\\\\").replace("'", "\\'")
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema)
             self.spark.sql(
                 f"CREATE TABLE {name} ({columns}, {GONE} boolean, {GENERATION} int) USING parquet PARTITIONED BY ({GENERATION}) "
-                f"CLUSTERED BY (`{self.key}`) SORTED BY (`{self.key}`) INTO {self.buckets} BUCKETS LOCATION '{self.path}/data'"
+                f"CLUSTERED BY (`{self.key}`) SORTED BY (`{self.key}`) INTO {self.buckets} BUCKETS LOCATION '{data}'"
             )
-            parts = " ".join(f"PARTITION ({GENERATION}={k}) LOCATION '{self.path}/data/{g}'" for k, g in enumerate(generations))
+            parts = " ".join(f"PARTITION ({GENERATION}={k}) LOCATION '{data}/{g}'" for k, g in enumerate(generations))
             self.spark.sql(f"ALTER TABLE {name} ADD {parts}")
             Table.declared[at] = name
         return Table.declared[at]

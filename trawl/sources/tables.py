@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -36,8 +37,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share: under ``spark.checkpoint.dir``, else (local mode only) a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local["):
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or (found.get() if found.isDefined() else None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     FOLDERS.append((spark, f"{root or tempfile.gettempdir()}/trawl-index-{uuid.uuid4().hex}"))
     return FOLDERS[-1][1]
