@@ -297,10 +297,13 @@ def test_clashing_columns_and_nulls_of_registered_queries(spark, tmp_path):
     write(spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 0), (3, None, None), (1, 1, 0)], "doc_id long, quality int, toxic int"), "labels")
     write(spark.createDataFrame([(1, "word1 number1 word2 nothing"), (None, "a b c"), (2, None), (3, "")], "item_id long, text string"), "benchmark")
     write(spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [2.0, 3.0]), (None, [1.0, 1.0]), (2, None)], "vec_id long, embedding array<float>"), "embeddings")
-    write(spark.createDataFrame([(1, "http://a.b/c"), (1, "http://a.b/c"), (None, None), (2, "x")], "page_id long, url string"), "pages")
+    write(spark.createDataFrame([(1, "http://a.b/c", "<p>"), (1, "http://a.b/c", "<p>"), (None, None, None), (2, "x", "<p>")], "page_id long, url string, html string"), "pages")
     got = {name: f(spark, str(tmp_path)).collect() for name, f in queries.QUERIES.items()}
     assert all(len(got[n]) == len(docs) for n in got if n.split("_")[0] in ("op2", "op4", "op5", "op6", "op7", "op8"))
     assert len(got["op10_url_reputation"]) == 4 and [tuple(r) for r in got["op9_exact_top_k"]] == [(0, 1, 1, 256 * 256 * 8)]
+    warc = sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got["op11_warc"])
+    assert warc == [(0, 0, "response", None), (1, 3, "response", None), (1, 3, "response", None), (2, 3, "revisit", 1)]
+    assert len(got["op12_embedding_whitening"]) == 4 * 2 and got["op13_phrase_collocations"] == []
     d = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         d = stage(spark, d, str(tmp_path))
