@@ -36,8 +36,9 @@ def corpus(n, seed, name=lambda k: k):
 
 
 @pytest.mark.parametrize("name", [lambda k: k, lambda k: f"id{k:04}"])
-@pytest.mark.parametrize("few", [5000, 1])
-def test_search_equals_the_scan(spark, tmp_path, monkeypatch, name, few):
+@pytest.mark.parametrize(("named", "few"), [(200, 5000), (1, 5000), (1, 1)])
+def test_search_equals_the_scan(spark, tmp_path, monkeypatch, name, named, few):
+    monkeypatch.setattr(postings, "NAMED", named)
     monkeypatch.setattr(postings, "FEW_TERMS", few)
     monkeypatch.setattr(postings, "BLOCK", 8)
     texts = corpus(700, 3, name)

@@ -28,7 +28,7 @@ from pyspark.sql import types as ty
 from ..functions.text import tokens
 from .bm25 import K1, LEAST, B
 
-BLOCK, SEGMENT, QUERIES, FEW_TERMS = 128, 1 << 14, 2048, 5000
+BLOCK, SEGMENT, QUERIES, NAMED, FEW_TERMS = 128, 1 << 14, 2048, 200, 5000
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
@@ -158,12 +158,15 @@ def _blocks(spark: SparkSession, path: str, docs: DataFrame) -> DataFrame:
 
 
 def asked_blocks(index: Index, terms: DataFrame) -> DataFrame:
-    """The blocks of ``terms(term)``: few of them are named in the scan, more come by a semi join within their buckets."""
+    """The blocks of ``terms(term)``: up to ``NAMED`` are named in the scan, more come by a semi join with their buckets,
+    up to ``FEW_TERMS`` of them as a local relation."""
     few = [r["term"] for r in terms.select("term").distinct().limit(FEW_TERMS + 1).collect()]
     if len(few) > FEW_TERMS:
         wanted = terms.select("term").distinct().withColumn("bucket", bucket_of("term", index.buckets))
         return index.blocks.join(wanted, ["bucket", "term"], "left_semi").select(*index.blocks.columns)
     local = terms.sparkSession.createDataFrame(pa.table({"term": pa.array(few, pa.string())}))  # evaluated on the driver, without a job
+    if len(few) > NAMED:
+        return index.blocks.join(local.withColumn("bucket", bucket_of("term", index.buckets)), ["bucket", "term"], "left_semi").select(*index.blocks.columns)
     buckets = {r["b"] for r in local.select(bucket_of("term", index.buckets).alias("b")).collect()}
     return index.blocks.where(F.col("bucket").isin(sorted(buckets)) & F.col("term").isin(few))
 
