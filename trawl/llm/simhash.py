@@ -16,11 +16,13 @@ distributed contraction.  Null and empty texts have fingerprint zero and link li
 length are whole; an empty table gives no rows.  Repeated rows: one result each.  A null doc_id is never a
 component's id unless all of its ids are null (then null).
 
-``one_of_similar`` links by similarity instead: documents whose sets of word shingles reach a Jaccard
-similarity of ``similarity``.  At 0.8 about 10 of 64 bits differ, and anchors for so many bits would hold
-a fixed share of all pairs.  So MinHash bands of the same shingle hashes propose the candidates (at 0.8,
-12 bands of 3 miss 0.02 %), those with more than ``reach`` differing bits are passed over (at 0.8 that
-misses under one in 10**6), and the others link only if their exact sets are as similar as asked.
+``one_of_similar`` links documents whose sets of word shingles reach a Jaccard similarity of ``similarity``.
+Its SimHash search is the one above: the anchors link fingerprints of the sets at ``threshold`` or fewer differing
+bits, and a component of these is a group of candidates.  At 0.8 about 10 of 64 bits differ, and anchors for so many
+bits would hold a fixed share of all pairs.  So for pairs farther apart MinHash bands of the same shingle hashes
+propose further groups (at 0.8, 12 bands of 3 miss 0.02 %), of which those with more than ``reach`` differing bits
+are passed over (at 0.8 that misses under one in 10**6).  In all groups documents link only if their exact sets are
+as similar as asked.
 """
 
 from __future__ import annotations
@@ -292,13 +294,25 @@ def comparison(similarity: float, reach: int) -> Compare:
     return compare
 
 
-def one_of_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 12, rows: int = 3, reach: int = 28, dense: int = 512) -> DataFrame:
+def with_fingerprint_groups(distinct: DataFrame, threshold: int, store: Stored) -> DataFrame:
+    """``distinct(name, fp, keys, ...)`` with one more key for each component of two or more names whose fingerprints link."""
+    fps = store.put(distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("names")))
+    roots = connected_components(links(fps, threshold, store), store)
+    classes = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "names", F.coalesce("root", "fp").alias("root"))
+    classes = store.put(classes)
+    many = classes.groupBy("root").agg(F.sum("names").alias("names")).where("names > 1").select("root")
+    near = classes.join(many, "root").select("fp", F.xxhash64(F.lit("simhash"), "root").alias("near"))
+    keys = F.when(F.col("near").isNull(), F.col("keys")).otherwise(F.concat("keys", F.array("near")))
+    return distinct.join(near, "fp", "left").withColumn("keys", keys).select(*distinct.columns)
+
+
+def one_of_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 12, rows: int = 3, reach: int = 28, dense: int = 512, threshold: int = 3) -> DataFrame:
     """``docs`` with one row (the smallest address) of each component of documents with similar shingle sets, all columns unchanged."""
     store, texts = Stored(docs.sparkSession), plain(docs)
     sets = store.put(shingle_sets(texts, shingle, bands, rows))
     place = F.struct(F.col("doc_id").isNull().alias("n"), ID, KEY)
     distinct = store.put(sets.groupBy("name").agg(F.min(place).alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    groups = candidate_groups(distinct, store)
+    groups = candidate_groups(with_fingerprint_groups(distinct, threshold, store), store)
     wanted = groups.select("name").distinct().join(distinct, "name").select(f"rep.{ID}", f"rep.{KEY}", "name", "fp")
     found = linked(groups, store.put(sets_of(texts, wanted, shingle)), ("fp", "hashes"), comparison(similarity, reach), store, dense, 1_000)
     roots = connected_components(found, store)
