@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import Stored, arrow_map, as_long, mix
 
 ORDER, LEAST, SHARE = 4, 30, 80
-BLOCK, MOST_WORDS, MOST_WINDOWS = 1 << 20, 1 << 18, 1 << 20
+BLOCK, MOST_WORDS, MOST_WINDOWS, SLICE = 1 << 20, 1 << 18, 1 << 20, 1000
 W = [f"w{k}" for k in range(1, ORDER + 1)]
 # pieces end at . , ; : ! ? and 0A to 0D; a tab parts words like a blank
 FORM = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
@@ -78,6 +78,13 @@ def windows(codes: np.ndarray, begins: int) -> np.ndarray:
     return out
 
 
+def merged(found: list[np.ndarray]) -> np.ndarray:
+    """``found`` in one; the parts go."""
+    out = np.concatenate(found, axis=1)
+    found.clear()
+    return out
+
+
 def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words, np.ndarray]]:
     """(lang, words, windows) for lots of ``MOST_WINDOWS`` or so windows; ``Words`` is that of the lot."""
     held: dict[str, tuple[Words, list[np.ndarray]]] = {}
@@ -88,13 +95,14 @@ def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words,
             rows = pa.array([k for k, x in enumerate(langs) if x == lang])
             words, found = held.setdefault(lang, (Words(), []))
             carry = np.zeros(0, np.int64)
-            for block in blocks(b"\n".join(texts.take(rows).to_pylist())):
+            lots = (texts.take(rows.slice(at, SLICE)) for at in range(0, len(rows), SLICE))  # they are copied several times
+            for block in (block for lot in lots for block in blocks(b"\n".join(lot.to_pylist()) + END)):
                 codes = np.concatenate([carry, words.codes(block)])
                 begins = max(0, len(codes) - (ORDER - 1))
                 found.append(windows(codes, begins).astype(np.int32))
                 carry = codes[begins:]
                 if len(words.code) > MOST_WORDS or sum(x.shape[1] for x in found) > MOST_WINDOWS:
-                    yield lang, words, np.concatenate(found, axis=1)
+                    yield lang, words, merged(found)
                     kept, old = list(words.code), carry
                     words, found = held[lang] = (Words(), [])
                     carry = words.codes([kept[c] for c in old])
@@ -103,10 +111,10 @@ def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words,
             size += 1000  # a lang's own arrays
             if size > MOST_WINDOWS:
                 for key, (known, parts) in held.items():
-                    yield key, known, np.concatenate(parts, axis=1)
+                    yield key, known, merged(parts)
                 held, size = {}, 0
     for lang, (words, found) in held.items():
-        yield lang, words, np.concatenate(found, axis=1)
+        yield lang, words, merged(found)
 
 
 def pair_keys(lang: str, hashes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -118,7 +126,11 @@ def pair_keys(lang: str, hashes: np.ndarray, left: np.ndarray, right: np.ndarray
 def counts_of(keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Places of the first of each different row of ``keys``, and how often it occurs."""
     order = np.lexsort(keys[::-1])
-    new = np.append(True, np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])) if len(order) else np.zeros(0, bool)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
     begins = np.flatnonzero(new)
     return order[begins], np.diff(np.append(begins, len(order)))
 
@@ -160,11 +172,15 @@ def padded_windows(texts: DataFrame, filter_: np.ndarray) -> DataFrame:
                 there = np.flatnonzero(found[k])
                 gone = there[~is_frequent(shared.value, pair_keys(lang, hashes, found[k - 1][there], found[k][there]))]
                 found[k:, gone] = 0
-            long = found[:, found[1] > 0].astype(np.int64)
+            long = found[:, found[1] > 0]
             single = np.bincount(found[0][found[1] == 0], minlength=1)
             alone = np.flatnonzero(single)
-            first, n = counts_of((long[0] << 32 | long[1], long[2] << 32 | long[3]))
-            rows = np.concatenate([np.stack([alone, *[np.zeros_like(alone)] * (ORDER - 1)]), long[:, first]], axis=1)
+            del found
+            first, n = counts_of(tuple(long[k].astype(np.int64) << 32 | long[k + 1] for k in (0, 2)))
+            rows = np.zeros((ORDER, len(alone) + len(first)), np.int32)
+            rows[0, : len(alone)] = alone
+            rows[:, len(alone) :] = long[:, first]
+            del long
             c = np.concatenate([single[alone], n])
             for at in range(0, len(c), 1 << 17):
                 part = rows[:, at : at + (1 << 17)]
