@@ -24,19 +24,44 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ID, KEY, Stored, arrow_map, as_long, connected_components, keyed, mix, plain
-from .groups import Compare, candidate_groups, linked
+from .groups import Compare, Prepare, candidate_groups, linked
 
 PLACES = 64
 BASE = 0x9E3779B97F4A7C15
+EMPTY = 1 << 32
+#: Characters hashed at a time, so that the arrays stay in a core's cache.
+BLOCK = 1 << 16
+#: Lines whose signatures are held at a time.
+LINES = 1 << 14
+#: Bytes of the lines whose shingle sets are built at a time.
+AHEAD = 1 << 20
+#: Lines that are compared with a new one singly before more are sifted together.
+FEW = 4
+#: Latin-1 in lower case, with any white space as a space.
+FOLDED = bytes(32 if chr(c).isspace() else ord(chr(c).lower()) for c in range(256))
 
 
 def normalized(line: str) -> str:
-    return " ".join(line.lower().split())
+    try:
+        folded = line.encode("latin-1").translate(FOLDED)
+    except UnicodeEncodeError:
+        return " ".join(line.lower().split())
+    if b"  " in folded or folded[:1] == b" " or folded[-1:] == b" ":
+        folded = b" ".join(folded.split())
+    return folded.decode("latin-1")
+
+
+def code_points(text: str) -> np.ndarray:
+    try:
+        return np.frombuffer(text.encode("latin-1"), dtype=np.uint8).astype(np.uint64)
+    except UnicodeEncodeError:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
 
 
 def shingle_hashes(c: np.ndarray, size: int) -> np.ndarray:
@@ -45,7 +70,9 @@ def shingle_hashes(c: np.ndarray, size: int) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     h, done = c, 1
     for bit in bin(size)[3:]:
-        h = h[:-done] * np.uint64(pow(BASE, done, 1 << 64)) + h[done:]
+        low = h[done:]
+        h = h[:-done] * np.uint64(pow(BASE, done, 1 << 64))
+        h += low
         done *= 2
         if bit == "1":
             h = h[:-1] * np.uint64(BASE) + c[done:]
@@ -57,7 +84,7 @@ def shingles(line: str, size: int) -> np.ndarray:
     """The set of a line's shingles as sorted 64-bit hashes; a shorter line is one shingle."""
     if len(line) < size:
         return np.array([name(line)], dtype=np.int64).view(np.uint64)
-    h = shingle_hashes(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64), size)
+    h = shingle_hashes(code_points(line), size)
     h.sort()
     return h[np.append(True, h[1:] != h[:-1])]
 
@@ -83,11 +110,12 @@ def shared_ends(a: str, b: str) -> tuple[int, int]:
 
 
 class Lines:
-    """The lines of a group; shingle sets are built when a comparison needs them."""
+    """The lines of a group; shingle sets that are not given are built when a comparison needs them."""
 
-    def __init__(self, texts: list[str], size: int, similarity: float):
+    def __init__(self, texts: list[str], sets: list[np.ndarray], size: int, similarity: float):
         self.texts, self.size, self.similarity = texts, size, similarity
-        self.sets: dict[int, np.ndarray] = {}
+        self.sets: dict[int, np.ndarray] = dict(enumerate(sets))
+        self.marked = np.empty(0, dtype=np.uint8)
 
     def set_of(self, k: int) -> np.ndarray:
         if k not in self.sets:
@@ -113,6 +141,21 @@ class Lines:
         common = common_count(one, two)
         return common >= self.similarity * (len(one) + len(two) - common)
 
+    def within_reach(self, new: int, old: list[int]) -> list[int]:
+        """Those of ``old`` that may be similar, by their size and by how many of their shingles share 20 bits with one of the new line's, which no common shingle fails to do."""
+        size, sizes = len(self.set_of(new)), np.array([len(self.set_of(b)) for b in old])
+        fits = np.flatnonzero(np.minimum(sizes, size) >= self.similarity * np.maximum(sizes, size))
+        if not len(fits):
+            return []
+        if not len(self.marked):
+            self.marked = np.zeros(1 << 20, dtype=np.uint8)
+        own, sizes = self.sets[new] >> np.uint64(44), sizes[fits]
+        self.marked[own] = 1
+        met = self.marked[np.concatenate([self.sets[old[b]] for b in fits]) >> np.uint64(44)]
+        self.marked[own] = 0
+        most = np.add.reduceat(met, np.cumsum(sizes) - sizes, dtype=np.int64)
+        return [old[b] for b in fits[most >= self.similarity * (size + sizes - most)]]
+
 
 def name(line: str) -> int:
     """A normalized line's hash, as a signed long."""
@@ -121,11 +164,11 @@ def name(line: str) -> int:
 
 def minima(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """The least hash in each of the ``PLACES`` places of each of n sets, -1 where a place is empty."""
-    packed = np.sort((owner.astype(np.uint64) << np.uint64(38)) | (h >> np.uint64(26)))  # set, place (6 bits), value (32 bits)
-    slot = packed >> np.uint64(32)
-    first = np.append(True, slot[1:] != slot[:-1]) if len(slot) else np.empty(0, bool)
-    out = np.full(n * PLACES, -1, dtype=np.int64)
-    out[slot[first].astype(np.int64)] = (packed[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    out = np.full(n * PLACES, EMPTY, dtype=np.int64)
+    slot = (h >> np.uint64(58)).astype(np.int64)  # place (6 bits), then value (32 bits)
+    slot += owner * PLACES
+    np.minimum.at(out, slot, ((h >> np.uint64(26)) & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    out[out == EMPTY] = -1
     return out.reshape(-1, PLACES)
 
 
@@ -151,18 +194,49 @@ def filled_places(out: np.ndarray, wanted: int) -> np.ndarray:
 def signatures(lines: list[str], shingle: int, wanted: int = PLACES) -> np.ndarray:
     """MinHash values, one row of the first ``wanted`` of ``PLACES`` places for each line."""
     lengths = np.array([len(x) for x in lines], dtype=np.int64)
-    c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    h = shingle_hashes(c, shingle)
-    begin = np.cumsum(lengths) - lengths
-    owner = np.repeat(np.arange(len(lines)), lengths)[: len(h)]
-    whole = np.arange(len(h)) - begin[owner] <= lengths[owner] - shingle
+    out = np.empty((len(lines), PLACES), dtype=np.int64)
+    for i, j in blocks(lengths):
+        out[i:j] = minima(*whole_shingles("".join(lines[i:j]), lengths[i:j], shingle), j - i)
     short = lengths < shingle
-    h, owner = h[whole], owner[whole]
-    out = minima(h, owner, len(lines))
     out[short] = np.array([name(x) & 0xFFFFFFFF for x, s in zip(lines, short) if s], dtype=np.int64)[:, None] if short.any() else 0
     return filled_places(out, wanted)
 
 
+def blocks(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of lines of about ``BLOCK`` characters, or of one line."""
+    ends, i = np.cumsum(lengths), 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] - lengths[i] + BLOCK, side="right")))
+        yield i, j
+        i = j
+
+
+def whole_shingles(text: str, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, line) of the shingles that lie in one of the joined lines of these lengths."""
+    h = shingle_hashes(code_points(text), size)
+    across = (np.cumsum(lengths)[:-1, None] - np.arange(1, size)).ravel()
+    whole = np.ones(len(h), dtype=bool)
+    whole[across[(across >= 0) & (across < len(h))]] = False
+    return h[whole], np.repeat(np.arange(len(lengths)), np.maximum(lengths - size + 1, 0))
+
+
+def sets_of_shingles(lines: list[str], size: int) -> list[np.ndarray]:
+    """``shingles`` of each line."""
+    lengths, out = np.array([len(x) for x in lines], dtype=np.int64), []
+    for i, j in blocks(lengths):
+        h, owner = whole_shingles("".join(lines[i:j]), lengths[i:j], size)
+        ends = np.cumsum(np.maximum(lengths[i:j] - size + 1, 0))
+        starts = np.append(0, ends[:-1])
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            h[a:b].sort()
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = h[1:] != h[:-1]
+        new[starts[starts < len(h)]] = True
+        h, ends = h[new], np.cumsum(np.bincount(owner[new], minlength=j - i)).tolist()
+        out += [h[a:b] if b > a else shingles(x, size) for x, a, b in zip(lines[i:j], [0, *ends], ends)]
+    return out
+
+
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     out = np.empty((len(sig), bands), dtype=np.uint64)
     for b in range(bands):
@@ -192,16 +266,13 @@ def occurrences(docs: DataFrame, shingle: int, bands: int, rows: int, min_chars:
                         keys.append(key)
                         places.append(k)
                         names.append(n)
-            found: list = [None] * len(ids)
-            i = 0
-            while i < len(fresh):
-                j, size = i, 0
-                while j < len(fresh) and (size < 2_000_000 or j == i) and j - i < (1 << 25):
-                    size += len(fresh[j])
-                    j += 1
-                for at, row in zip(starts[i:j], as_long(band_keys(signatures(fresh[i:j], shingle, bands * rows), bands, rows)).tolist()):
-                    found[at] = row
-                i = j
+            found = [np.empty((0, bands), dtype=np.uint64)]
+            for i in range(0, len(fresh), LINES):
+                found.append(band_keys(signatures(fresh[i : i + LINES], shingle, bands * rows), bands, rows))
+            has = np.zeros(len(ids), dtype=np.int32)
+            has[starts] = bands
+            offsets = np.append(np.zeros(1, np.int32), np.cumsum(has, dtype=np.int32))
+            found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(as_long(np.concatenate(found)).ravel()), mask=pa.array(has == 0))
             halves = np.frombuffer(b"".join(names), dtype=">i8").astype(np.int64).reshape(-1, 2)
             yield {ID: ids, KEY: keys, "line": places, "name": halves[:, 1], "check": halves[:, 0], "keys": found}
 
@@ -219,11 +290,34 @@ def first_places(lines: DataFrame, store: Stored) -> tuple[DataFrame, DataFrame]
         lines = store.put(lines.join(clashing, "name", "left").withColumn("name", new).drop("low"))
 
 
+def prepared(shingle: int) -> Prepare:
+    """Gives cells their texts and shingle sets; the sets are built for many small cells at a time, and not for one of over ``AHEAD`` bytes."""
+
+    def prepare(columns: list[pa.Array]) -> Callable[[int, int], list[list]]:
+        ends = np.cumsum(pc.binary_length(columns[0]).to_numpy(zero_copy_only=False), dtype=np.int64)
+        held: tuple = (0, 0, [], [])
+
+        def cell(i: int, j: int) -> list[list]:
+            nonlocal held
+            if ends[j - 1] - ends[i] > AHEAD:
+                return [columns[0].slice(i, j - i).to_pylist(), []]
+            if j > held[1]:
+                end = max(j, int(np.searchsorted(ends, ends[i] + AHEAD)))
+                texts = columns[0].slice(i, end - i).to_pylist()
+                held = (i, i + len(texts), texts, sets_of_shingles(texts, shingle))
+            begin, _, texts, sets = held
+            return [texts[i - begin : j - begin], sets[i - begin : j - begin]]
+
+        return cell
+
+    return prepare
+
+
 def comparison(shingle: int, similarity: float) -> Compare:
-    """Compares the texts of normalized lines."""
+    """Compares normalized lines."""
 
-    def compare(values: list[pa.Array], label: np.ndarray, k: int | None) -> list[tuple[int, int]]:
-        lines, first, out = Lines(values[0].to_pylist(), shingle, similarity), {}, []
+    def compare(values: list[list], label: np.ndarray, k: int | None) -> list[tuple[int, int]]:
+        lines, first, out = Lines(*values, shingle, similarity), {}, []
         root = [first.setdefault(x, i) for i, x in enumerate(label.tolist())]
 
         def find(x: int) -> int:
@@ -232,12 +326,18 @@ def comparison(shingle: int, similarity: float) -> Compare:
                 x = root[x]
             return x
 
-        for a in range(k or 0, len(root)):
-            for b in range(a if k is None else k):
+        def connect(a: int, others: list[int]) -> None:
+            for b in others:
                 x, y = find(a), find(b)
                 if x != y and lines.similar(a, b):
                     root[max(x, y)] = min(x, y)
                     out.append((a, b))
+
+        for a in range(k or 0, len(root)):
+            end = a if k is None else k
+            connect(a, range(min(end, FEW)))
+            rest = [b for b in range(FEW, end) if find(b) != find(a)]
+            connect(a, lines.within_reach(a, rest) if len(rest) > FEW else rest)
             if k is not None:
                 lines.sets.pop(a, None)
         return out
@@ -270,7 +370,7 @@ def duplicate_lines(docs: DataFrame, shingle: int = 8, similarity: float = 0.8,
     groups = candidate_groups(lines, store)
     wanted = groups.select("name").distinct().join(firsts.select("name", "at"), "name").select(f"at.{ID}", f"at.{KEY}", "at.line", "name")
     texts = store.put(texts_of(docs, wanted).groupBy("name").agg(F.first("text").alias("text")))
-    roots = connected_components(linked(groups, texts, ("text",), comparison(shingle, similarity), store, dense, 20_000), store)
+    roots = connected_components(linked(groups, texts, ("text",), comparison(shingle, similarity), store, dense, 20_000, prepared(shingle)), store)
     first = firsts.join(roots, firsts["name"] == roots["node"], "left").select("name", "at", "n", F.coalesce("root", "name").alias("root"))
     first = store.put(first)
     kept = first.groupBy("root").agg(F.min("at").alias("kept"), F.sum("n").alias("m")).where("m > 1")
